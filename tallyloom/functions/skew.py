@@ -184,13 +184,12 @@ def running(
         before = Window.partitionBy(*keys).orderBy(*blocks).rowsBetween(Window.unboundedPreceding, -1)
     openings = marked.where("_is_hot").groupBy(*keys, *blocks).agg(*totals)
     openings = openings.select(
-        *keys,
-        *blocks,
+        *[F.col(c).alias(f"_o_{c}") for c in [*keys, *blocks]],
         *[_CARRY[s.kind](F.col(f"{n}_t")).over(before).alias(f"{n}_c") for n, s in zip(inputs, specs)],
     )
 
-    on = [rows[b] == openings[b] for b in blocks] + [rows[k] == openings[k] for k in keys]
-    joined = rows.join(openings, on, "left").drop(*[openings[c] for c in [*keys, *blocks]])
+    on = [F.col(c) == F.col(f"_o_{c}") for c in [*keys, *blocks]]
+    joined = rows.join(openings, on, "left").drop(*[f"_o_{c}" for c in [*keys, *blocks]])
     for name, spec in zip(inputs, specs):
         joined = joined.withColumn(spec.out, _combine(spec.kind, F.col(f"{name}_c"), F.col(f"{name}_in")))
     helper = ["_is_hot", *blocks]

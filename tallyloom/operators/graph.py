@@ -19,34 +19,36 @@ def first_targets(edges: DataFrame) -> DataFrame:
     return edges.groupBy("src").agg(F.min("dst").alias("dst"))
 
 
-def _double(state: DataFrame, share: float, floor: int) -> DataFrame:
+def _double(active: DataFrame, every: DataFrame, share: float, floor: int) -> DataFrame:
     """One doubling: (id, at, hops) to (id, at of at, hops + hops of at).
 
-    Finished rows are not joined, and the other side has one row per entity, so a popular target
-    costs its rows once and is salted.
+    Only moving rows are joined; the other side has one row per entity, and a popular target
+    is salted.
     """
-    active, done = state.where("moving"), state.where(~F.col("moving"))
-    step = state.select(
+    step = every.select(
         F.col("id").alias("at"), F.col("at").alias("next"), F.col("hops").alias("more"), F.col("moving").alias("on")
     )
     hot = hot_groups(active, ["at"], share=share, floor=floor)
     moved = spread_join(active, step, ["at"], ["id"], hot)
-    walked = moved.select(
+    return moved.select(
         "id",
         F.coalesce("next", "at").alias("at"),
         (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"),
         F.coalesce("on", F.lit(False)).alias("moving"),
     )
-    return walked.unionByName(done)
 
 
 def _follow(start: DataFrame, rounds: int, share: float, floor: int, label: str) -> DataFrame:
+    """Walk until nothing moves or ``rounds`` are over; finished rows are not written again."""
     state = materialise(start, label)
+    finished, active = state.where(~F.col("moving")), state.where("moving")
     for _ in range(rounds):
-        if not state.where("moving").limit(1).count():
+        if not active.limit(1).count():
             break
-        state = materialise(_double(state, share, floor), label)
-    return state
+        state = materialise(_double(active, finished.unionByName(active), share, floor), label)
+        finished = finished.unionByName(state.where(~F.col("moving")))
+        active = state.where("moving")
+    return finished.unionByName(active)
 
 
 def canonicalise(
