@@ -4,8 +4,8 @@ A window or join key may own a third of all rows. The helpers here keep every
 task bounded in that case while leaving ordinary keys on the plain path.
 
 ``hot_groups`` finds heavy keys by share of the input, so by pigeonhole there are
-at most ``1 / HOT_SHARE`` of them: that is the proven bound behind the only
-broadcast hints of this module (64-bit hashes, under one megabyte).
+at most ``1 / HOT_SHARE`` of them. It runs one aggregation when the plan is built and returns 64-bit
+hashes (under one megabyte). Without hot keys the plain plan is used unchanged.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ def hot_groups(
     rows: str | None = None,
     share: float = HOT_SHARE,
     floor: int = HOT_FLOOR,
-) -> DataFrame:
+) -> list[int]:
     """Hashes of the keys holding more than ``share`` of all rows and more than ``floor``.
 
     ``rows`` names a column with pre-aggregated row counts, if there is one.
@@ -37,17 +37,12 @@ def hot_groups(
     weight = F.sum(rows) if rows else F.count(F.lit(1))
     counts = df.groupBy(F.xxhash64(*keys).alias("_hot")).agg(weight.alias("_n"))
     total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("t")).scalar()
-    return counts.where((F.col("_n") > floor) & (F.col("_n") > total * F.lit(share))).select("_hot")
+    heavy = counts.where((F.col("_n") > floor) & (F.col("_n") > total * F.lit(share)))
+    return [r[0] for r in heavy.select("_hot").collect()]
 
 
-def mark_hot(df: DataFrame, keys: Sequence[str], hot: DataFrame, out: str = "_is_hot") -> DataFrame:
-    flagged = hot.select(F.col("_hot"), F.lit(True).alias(out))
-    return (
-        df.withColumn("_hot", F.xxhash64(*keys))
-        .join(F.broadcast(flagged), "_hot", "left")
-        .withColumn(out, F.coalesce(F.col(out), F.lit(False)))
-        .drop("_hot")
-    )
+def is_hot(keys: Sequence[str], hot: Sequence[int]) -> Column:
+    return F.xxhash64(*keys).isin(list(hot)) if hot else F.lit(False)
 
 
 def spread_join(
@@ -55,7 +50,7 @@ def spread_join(
     lookup: DataFrame,
     keys: Sequence[str],
     spread: Sequence[str],
-    hot: DataFrame,
+    hot: Sequence[int],
     how: str = "left",
     salts: int = SALTS,
 ) -> DataFrame:
@@ -63,22 +58,21 @@ def spread_join(
 
     ``spread`` are row columns whose hash fans a hot key out; the hash is fixed, so
     a retried task sends each row to the same place. Rows with a null key can match
-    nothing and are spread as well.
+    nothing: an inner join drops them first, a left join spreads them.
     """
     keys = list(keys)
-    fan = F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")
     null_key = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
-    left = mark_hot(rows, keys, hot).withColumn(
-        "_salt", F.when(F.col("_is_hot") | null_key, fan).otherwise(F.lit(0))
-    )
-    right = mark_hot(lookup, keys, hot).withColumn(
-        "_salt",
-        F.explode(
-            F.when(F.col("_is_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-        ),
-    )
-    joined = left.drop("_is_hot").join(right.drop("_is_hot"), [*keys, "_salt"], how)
-    return joined.drop("_salt")
+    if how == "inner":
+        rows = rows.where(~null_key)
+        if not hot:
+            return rows.join(lookup, keys, how)
+    fan = F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")
+    heavy = is_hot(keys, hot)
+    left = rows.withColumn("_salt", F.when(heavy | null_key, fan).otherwise(F.lit(0)))
+    every = F.sequence(F.lit(0), F.lit(salts - 1))
+    copies = F.explode(F.when(heavy, every).otherwise(F.array(F.lit(0)))) if hot else F.lit(0)
+    right = lookup.withColumn("_salt", copies)
+    return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
 def id_block(column: str, dtype: T.DataType, width: int = 1_000_000, skip: int = 0) -> Column:
@@ -147,12 +141,16 @@ def running(
     keys, order = list(keys), list(order)
     types = {f.name: f.dataType for f in df.schema.fields}
     blocks = [f"_b{i}" for i in range(len(order))]
-    if keys:
-        hot = hot_groups(df, keys, share=share, floor=floor)
-        keyed = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
-        marked = mark_hot(df, keys, hot).withColumn("_is_hot", F.col("_is_hot") & keyed)
-    else:
-        marked = df.withColumn("_is_hot", F.lit(True))
+    hot = hot_groups(df, keys, share=share, floor=floor) if keys else []
+    if keys and not hot:
+        whole = (
+            Window.partitionBy(*keys)
+            .orderBy(*[F.col(c).asc_nulls_first() for c in order])
+            .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        )
+        return df.withColumns({s.out: _IN_BLOCK[s.kind](s.expr).over(whole) for s in specs})
+    keyed = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys], F.lit(True))
+    marked = df.withColumn("_is_hot", (is_hot(keys, hot) & keyed) if keys else F.lit(True))
     for name, column in zip(blocks, order):
         block = id_block(column, types[column], width=width, skip=skip)
         marked = marked.withColumn(

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions.normalise import file_prefix, fill_template, kebab, squash
 from tallyloom.functions.skew import first_per_key, hot_groups, spread_join
+from tallyloom.runtime import materialise
 
 # Confidence of the match tiers and factors of the resolver.
 EXACT_NAME, EXACT_VARIATION, CONTAINED = 1.0, 0.95, 0.70
@@ -115,15 +116,25 @@ def match_names(texts: DataFrame, registry: DataFrame, min_length: int = 3) -> D
 
 
 def lookup(
-    df: DataFrame, registry: DataFrame, text: Column, prefix: str, spread: Sequence[str] = ("tx_id",)
+    df: DataFrame,
+    registry: DataFrame,
+    text: Column,
+    prefix: str,
+    spread: Sequence[str] = ("tx_id",),
+    output: Mapping[str, str] | None = None,
 ) -> DataFrame:
-    """Add ``{prefix}_text``, ``_entity``, ``_canonical``, ``_match``, ``_confidence``, ``_resolved``."""
+    """Add ``{prefix}_text``, ``_entity``, ``_canonical``, ``_match``, ``_confidence``, ``_resolved``,
+    and the registry columns named in ``output``."""
     name = f"{prefix}_text"
     made = [f"{prefix}_{c}" for c in ("entity", "canonical", "match", "confidence", "resolved")]
-    rows = df.drop(*made).withColumn(name, text).withColumn("text", squash(F.col(name)))
-    counted = rows.where(F.col("text").isNotNull()).groupBy("text").agg(F.count(F.lit(1)).alias("_rows"))
-    canonical = registry.select("entity_id", F.col("canonical_name").alias(f"{prefix}_canonical"))
-    found = match_names(counted.select("text"), registry).join(canonical, "entity_id", "left")
+    rows = df.drop(*made, *(output or {})).withColumn(name, text).withColumn("text", squash(F.col(name)))
+    # The distinct texts are written out: several joins read them, and later steps build on them.
+    counted = materialise(
+        rows.where(F.col("text").isNotNull()).groupBy("text").agg(F.count(F.lit(1)).alias("_rows")), "texts"
+    )
+    columns = [F.col(c).alias(n) for n, c in (output or {}).items()]
+    extra = registry.select("entity_id", F.col("canonical_name").alias(f"{prefix}_canonical"), *columns)
+    found = materialise(match_names(counted.select("text"), registry).join(extra, "entity_id", "left"), "matches")
     hot = hot_groups(counted, ["text"], rows="_rows")
     joined = spread_join(rows, found, ["text"], spread, hot).drop("text")
     return (
@@ -152,14 +163,9 @@ def resolve_entity(
     df: DataFrame, definition: Mapping, registry: DataFrame, spread: Sequence[str] = ("tx_id",)
 ) -> DataFrame:
     """One entity type as its definition says, with the configured registry columns added."""
-    out = lookup(df, registry, search_text(df, definition), definition["id"], spread)
-    fields = definition.get("output", {})
-    if not fields:
-        return out
-    key = f"{definition['id']}_entity"
-    extra = registry.select(F.col("entity_id").alias(key), *[F.col(c).alias(n) for n, c in fields.items()])
-    hot = hot_groups(out.where(F.col(key).isNotNull()), [key])
-    return spread_join(out.drop(*fields), extra, [key], spread, hot)
+    return lookup(
+        df, registry, search_text(df, definition), definition["id"], spread, definition.get("output")
+    )
 
 
 def enabled_definitions(definitions: DataFrame) -> DataFrame:

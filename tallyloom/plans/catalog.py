@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-PARTS = ["ledger", "rules"]
+PARTS = ["ledger", "rules", "entities"]
 
 
 def all_queries() -> dict:

@@ -297,29 +297,29 @@ def _of(rules, at, name, default):
     return f"CASE {at} " + " ".join(f"WHEN {i} THEN {show(r[name])}" for i, r in enumerate(rules)) + f" ELSE {default} END"
 
 
-_S1 = "a1 AS (SELECT *, description || ' ' || context_line AS full_text FROM statement_rows), a2 AS (SELECT *, " + \
+_S1 = "a1 AS (SELECT *, description || ' ' || context_line AS full_text FROM statement_rows), a2 AS MATERIALIZED (SELECT *, " + \
     _case([(_type_test(r), i) for i, r in enumerate(_TYPES)], "NULL") + " AS pos FROM a1)"
-_S1B = f"""s1 AS (SELECT tx_id, description, context_line, beneficiary_name, full_text, {_of(_TYPES, 'pos', 'type', "'unknown'")} AS type,
+_S1B = f"""s1 AS MATERIALIZED (SELECT tx_id, description, context_line, beneficiary_name, full_text, {_of(_TYPES, 'pos', 'type', "'unknown'")} AS type,
   {_of(_TYPES, 'pos', 'direction', "'unknown'")} AS direction, {_of(_TYPES, 'pos', 'merchant_expected', 'true')} AS merchant_expected,
   CAST({_of(_TYPES, 'pos', 'confidence', 0.3)} AS DOUBLE) AS confidence FROM a2)"""
-_S2 = "b1 AS (SELECT *, CASE WHEN merchant_expected THEN " + _case([(_found("full_text", r["patterns"]), i) for i, r in enumerate(_PARTIES)], "NULL") + " END AS cp FROM s1)"
+_S2 = "b1 AS MATERIALIZED (SELECT *, CASE WHEN merchant_expected THEN " + _case([(_found("full_text", r["patterns"]), i) for i, r in enumerate(_PARTIES)], "NULL") + " END AS cp FROM s1)"
 _HINTS = _case([(f"cp = {i}", f"CASE WHEN regexp_matches(full_text, {_quote('(?i)' + r['extract_after'])}) THEN trim(regexp_extract(full_text, {_quote('(?is)^.*?(?:' + r['extract_after'] + ')(.*)$')}, 1)) END")
                 for i, r in enumerate(_PARTIES) if r["extract_after"]], "NULL")
-_S2B = f"""b2 AS (SELECT *, {_of(_PARTIES, 'cp', 'id', 'NULL')} AS counterparty_id, CAST({_of(_PARTIES, 'cp', 'confidence', 'NULL')} AS DOUBLE) AS cp_confidence,
+_S2B = f"""b2 AS MATERIALIZED (SELECT *, {_of(_PARTIES, 'cp', 'id', 'NULL')} AS counterparty_id, CAST({_of(_PARTIES, 'cp', 'confidence', 'NULL')} AS DOUBLE) AS cp_confidence,
   CASE WHEN merchant_expected AND type = 'domiciliacion' AND (contains(upper(description), 'COBRANZA') OR contains(upper(description), 'DOMICILIACION'))
     THEN NULLIF(regexp_extract(context_line, '([A-Z]{{3,4}}\\d{{6}}[A-Z0-9]{{3}})', 1), '') END AS rfc, {_HINTS} AS rule_hint FROM b1),
-s2 AS (SELECT * EXCLUDE (confidence), CASE WHEN merchant_expected THEN COALESCE(rfc, CASE WHEN cp IS NOT NULL THEN rule_hint ELSE COALESCE(beneficiary_name, description) END) END AS hint,
+s2 AS MATERIALIZED (SELECT * EXCLUDE (confidence), CASE WHEN merchant_expected THEN COALESCE(rfc, CASE WHEN cp IS NOT NULL THEN rule_hint ELSE COALESCE(beneficiary_name, description) END) END AS hint,
   CASE WHEN cp IS NOT NULL THEN least(confidence, cp_confidence) ELSE confidence END AS confidence FROM b2)"""
 
 
 def _noise_steps():
-    steps = ["n0 AS (SELECT *, CASE WHEN merchant_expected THEN COALESCE(NULLIF(hint, ''), beneficiary_name, description) END AS source, "
+    steps = ["n0 AS MATERIALIZED (SELECT *, CASE WHEN merchant_expected THEN COALESCE(NULLIF(hint, ''), beneficiary_name, description) END AS source, "
              "CASE WHEN merchant_expected THEN COALESCE(NULLIF(hint, ''), beneficiary_name, description) END AS txt, 0 AS removed FROM s2)"]
     for i, r in enumerate(_NOISE):
         hit = "0" if r["keep_as_context"] else f"COALESCE(len(regexp_extract_all(txt, {_quote(r['regex'])})), 0)"
-        steps.append(f"n{i + 1} AS (SELECT * EXCLUDE (txt, removed), regexp_replace(txt, {_quote(r['regex'])}, ' ', 'g') AS txt, removed + {hit} AS removed FROM n{i})")
-    steps.append(f"n AS (SELECT *, substr(regexp_replace(trim(regexp_replace(txt, '\\s+', ' ', 'g')), '^\\d+\\s+', ''), 1, 100) AS tidy FROM n{len(_NOISE)})")
-    steps.append("""s3 AS (SELECT * EXCLUDE (confidence), CASE WHEN merchant_expected THEN CASE WHEN length(tidy) >= 3 THEN tidy ELSE COALESCE(source, 'UNKNOWN') END END AS clean_merchant,
+        steps.append(f"n{i + 1} AS MATERIALIZED (SELECT * EXCLUDE (txt, removed), regexp_replace(txt, {_quote(r['regex'])}, ' ', 'g') AS txt, removed + {hit} AS removed FROM n{i})")
+    steps.append(f"n AS MATERIALIZED (SELECT *, substr(regexp_replace(trim(regexp_replace(txt, '\\s+', ' ', 'g')), '^\\d+\\s+', ''), 1, 100) AS tidy FROM n{len(_NOISE)})")
+    steps.append("""s3 AS MATERIALIZED (SELECT * EXCLUDE (confidence), CASE WHEN merchant_expected THEN CASE WHEN length(tidy) >= 3 THEN tidy ELSE COALESCE(source, 'UNKNOWN') END END AS clean_merchant,
   CASE WHEN merchant_expected THEN length(tidy) >= 3 END AS is_clean, CASE WHEN NOT merchant_expected THEN confidence WHEN length(tidy) >= 3
   THEN CASE WHEN removed > 0 THEN confidence * 0.97 ELSE confidence END ELSE 0.1 END AS confidence FROM n)""")
     return ",\n".join(steps)

@@ -130,7 +130,7 @@ def tax_id_line(context: Column) -> Column:
 
 def reference_lines(context: Column) -> Column:
     refs = F.filter(context, lambda x: x.contains("REFERENCIA:") | x.contains("FOLIO:"))
-    return F.when(F.size(refs) > 0, F.array_join(F.transform(refs, F.trim), " | "))
+    return F.when(F.size(refs) > 0, F.array_join(F.transform(refs, lambda x: F.trim(x)), " | "))
 
 
 def parse_records(records: DataFrame) -> DataFrame:
