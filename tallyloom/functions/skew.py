@@ -76,14 +76,14 @@ def spread_join(
 
 
 def id_block(column: str, dtype: T.DataType, width: int = 1_000_000, skip: int = 0) -> Column:
-    """Coarse bigint that grows with ``column``: id ranges, days, or leading characters."""
+    """Coarse bigint that grows with ``column``: id ranges, days, minutes or leading characters."""
     col = F.col(column)
     if isinstance(dtype, T.IntegralType):
         return F.floor(col / F.lit(width)).cast("bigint")
     if isinstance(dtype, T.DateType):
         return F.datediff(col, F.lit("1970-01-01").cast("date")).cast("bigint")
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
-        return F.floor(F.unix_micros(col.cast("timestamp")) / F.lit(3_600_000_000)).cast("bigint")
+        return F.floor(F.unix_micros(col.cast("timestamp")) / F.lit(60_000_000)).cast("bigint")
     text = F.coalesce(F.substring(col.cast("string"), skip + 1, 4), F.lit(""))
     points = [F.coalesce(F.ascii(F.substring(text, i, 1)), F.lit(0)).cast("bigint") for i in (1, 2, 3)]
     return points[0] * F.lit(1 << 42) + points[1] * F.lit(1 << 21) + points[2]
@@ -129,18 +129,28 @@ def running(
     share: float = HOT_SHARE,
     floor: int = HOT_FLOOR,
     width: int = 1_000_000,
+    exact: Sequence[str] = (),
 ) -> DataFrame:
     """Running aggregates over ``order`` within ``keys``, current row included.
 
     ``order`` must be a total order. Ordinary groups are one window. A hot group is cut
     into blocks along its order; block totals are aggregated first, carried
     forward over the short list of blocks, and added to a window inside each block.
+    Days are blocks by themselves, and so are the values of ``exact`` columns; other columns are
+    cut into ranges (minutes, ``width`` ids, leading characters after ``skip``).
+
     With no keys the whole input is treated as one hot group. Rows with a null key form
     one plain group, so callers give such rows a key of their own if they are many.
     """
     keys, order = list(keys), list(order)
     types = {f.name: f.dataType for f in df.schema.fields}
-    blocks = [f"_b{i}" for i in range(len(order))]
+    # A block may only be cut by the next column where the former one is a single value.
+    cut = []
+    for column in order:
+        cut.append(column)
+        if column not in exact and not isinstance(types[column], T.DateType):
+            break
+    blocks = [f"_b{i}" for i in range(len(cut))]
     hot = hot_groups(df, keys, share=share, floor=floor) if keys else []
     if keys and not hot:
         whole = (
@@ -151,8 +161,8 @@ def running(
         return df.withColumns({s.out: _IN_BLOCK[s.kind](s.expr).over(whole) for s in specs})
     keyed = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys], F.lit(True))
     marked = df.withColumn("_is_hot", (is_hot(keys, hot) & keyed) if keys else F.lit(True))
-    for name, column in zip(blocks, order):
-        block = id_block(column, types[column], width=width, skip=skip)
+    for name, column in zip(blocks, cut):
+        block = F.col(column) if column in exact else id_block(column, types[column], width=width, skip=skip)
         marked = marked.withColumn(
             name, F.when(F.col("_is_hot"), F.coalesce(block, F.lit(-1))).otherwise(F.lit(0)).cast("bigint")
         )

@@ -276,9 +276,9 @@ add("entity_history", lambda s, d: entities.entity_history(view(s, d, "facts"),
 
 # ---- graph -----------------------------------------------------------------------------------
 
-_WALK = """walk AS (SELECT src AS id, src AS at, 0 AS hops, [src] AS path, false AS loop, false AS done FROM same_as UNION ALL
-SELECT w.id, e.dst, w.hops + 1, list_append(w.path, e.dst), list_contains(w.path, e.dst), list_contains(w.path, e.dst) FROM walk w JOIN same_as e ON w.at = e.src WHERE NOT w.done),
-ends AS (SELECT id, at AS canonical_id, CAST(hops AS BIGINT) AS hops, loop FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY hops DESC) AS rn FROM walk) WHERE rn = 1)"""
+_WALK = """walk AS (SELECT src AS id, src AS cur, 0 AS hops, [src] AS path, false AS loop, false AS done FROM same_as UNION ALL
+SELECT w.id, e.dst, w.hops + 1, list_append(w.path, e.dst), list_contains(w.path, e.dst), list_contains(w.path, e.dst) FROM walk w JOIN same_as e ON w.cur = e.src WHERE NOT w.done),
+ends AS (SELECT id, cur AS canonical_id, CAST(hops AS BIGINT) AS hops, loop FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY hops DESC) AS rn FROM walk) WHERE rn = 1)"""
 
 
 def _graph(s, d):

@@ -63,7 +63,7 @@ def numbered_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
         F.col("value").alias("text"),
     )
     counted = running(
-        lines, ["source_file"], ["_start", "_rank"], [Running("source_line", "count", F.lit(1))]
+        lines, ["source_file"], ["_start", "_rank"], [Running("source_line", "count", F.lit(1))], exact=["_start"]
     )
     return counted.drop("_start", "_rank")
 

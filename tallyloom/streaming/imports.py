@@ -14,9 +14,12 @@ from tallyloom.operators.cleaning import import_rows
 from tallyloom.operators.events import classified, imported
 
 
-def read_stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 100, fmt: str = "parquet") -> DataFrame:
-    """Files as a stream; the trigger size is the back-pressure."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).format(fmt).load(path)
+def read_stream(
+    spark: SparkSession, folder: str, schema, files: str = "*", files_per_trigger: int = 100, fmt: str = "parquet"
+) -> DataFrame:
+    """The files of a folder that match ``files`` as a stream; the trigger size is the back-pressure."""
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
+    return reader.option("pathGlobFilter", files).format(fmt).load(folder)
 
 
 def parse_stream(raw: DataFrame, parser_version: str = "1.0.0") -> tuple[DataFrame, DataFrame]:
