@@ -159,8 +159,8 @@ add("store_counts", lambda s, d: _store(s, d).groupBy("entity_type").agg(F.count
     "SELECT status AS entity_type, COUNT(*) AS rows, COUNT(DISTINCT (merchant, amount)) AS distinct_rows FROM coarse GROUP BY 1")
 add("import_metrics", lambda s, d: T.import_metrics(view(s, d, "feed").withColumn("category_id", F.when(F.col("source") == "N", "x")), view(s, d, "feed").where("source = 'A'")), ["feed"], """
 SELECT COUNT(*) AS offered, COUNT(*) FILTER (source = 'A') AS skipped, COUNT(*) FILTER (source <> 'A') AS imported, COUNT(*) FILTER (source = 'N') AS classified FROM feed""")
-add("unprocessed_files", lambda s, d: T.unprocessed_files(table(s, d, "documents").select(F.col("source").alias("source_file")).distinct(), table(s, d, "documents").where("lang = 'es'").select(F.col("source").alias("source_file"))), [],
-    "SELECT DISTINCT source AS source_file FROM documents WHERE source NOT IN (SELECT source FROM documents WHERE lang = 'es')")
+add("unprocessed_files", lambda s, d: T.unprocessed_files(table(s, d, "documents").select(F.col("source").alias("source_file")).distinct(), table(s, d, "documents").where("n_chars > 15000").select(F.col("source").alias("source_file"))), [],
+    "SELECT DISTINCT source AS source_file FROM documents WHERE source NOT IN (SELECT source FROM documents WHERE n_chars > 15000)")
 
 # ---- streams ---------------------------------------------------------------------------------
 

@@ -204,7 +204,7 @@ def test_stripe_feed(spark, tmp_path):
 
 
 def test_plans_have_no_cross_join_or_python(spark):
-    df = near_rows(spark).withColumn("merchant", F.lit("m"))
+    df = near_rows(spark).withColumn("merchant", F.col("source"))
     for plan in (duplicates.near_duplicates(df), zscore_anomalies(df)):
         text = plan._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in text and "BatchEvalPython" not in text and "NestedLoop" not in text
