@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -51,7 +52,11 @@ def first_containing(col: Column, words: list[tuple[str, str]], default: Column)
 
 def parse_date(col: Column, formats: list[str] | None = None) -> Column:
     """Strict parse of the known formats; anything else is null."""
-    parsed = [F.try_to_timestamp(col, F.lit(f)).cast("date") for f in formats or DATE_FORMATS]
+    # The shape test spares the parser the cost of failing on rows of another format.
+    parsed = [
+        F.when(col.rlike("^" + re.sub("[A-Za-z]", "[0-9]", f) + "$"), F.try_to_timestamp(col, F.lit(f)).cast("date"))
+        for f in formats or DATE_FORMATS
+    ]
     return F.coalesce(*parsed)
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions.normalise import content_hash
 from tallyloom.functions.skew import HOT_FLOOR, HOT_SHARE, first_per_key, hot_groups, spread_join
+from tallyloom.runtime import materialise
 from tallyloom.sources.tables import load_config
 
 # Near-duplicate limits and the weights of the two distances.
@@ -132,7 +133,8 @@ def near_duplicates(df: DataFrame, share: float = HOT_SHARE, floor: int = HOT_FL
     sources, so the cost depends neither on copies nor on the number of sources: a cell has
     at most fifty spots and a spot at most 297 neighbours.
     """
-    points = near_points(df)
+    # Points and links are written out, as several steps read them.
+    points = materialise(near_points(df), "points")
     spots = _best_two(points, ["day", "cents"], share, floor)
     here = F.floor(F.col("cents") / MAX_CENTS).alias("cell")
     a = _around(spots, ["day", "cents"])
@@ -172,6 +174,7 @@ def near_duplicates(df: DataFrame, share: float = HOT_SHARE, floor: int = HOT_FL
     linked = placed.withColumn("matches", F.col("all_rows") - F.col("own_rows")).where(F.col("matches") > 0)
     linked = linked.withColumn("best", F.array_min(F.filter(ranked, lambda r: r["id"].isNotNull())))
     keys = ["day", "cents", "source"]
+    linked = materialise(linked.select(*keys, "rows", "matches", "best"), "links")
     rows = df.withColumns({"day": day_number(F.col("date")), "cents": cents(F.col("amount"))})
     hot = hot_groups(linked, keys, rows="rows", share=share, floor=floor)
     joined = spread_join(rows, linked.select(*keys, "matches", "best"), keys, ["tx_id"], hot, how="inner")
