@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyloom.llm.near_dedup import near_duplicates
 from tallyloom.llm.substring_dedup import remove_repeats
 from tallyloom.llm.suffix_index import remove_repeated_bytes
 
@@ -13,6 +14,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", F.col("__total").alias("n_words"), F.col("__removed").alias("n_removed"), F.sha2("__kept", 256).alias("kept_sha256"))
@@ -24,6 +29,7 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 Q = {
+    "op2_near_dedup": (op2_near_dedup, None),
     "op9_substring_dedup": (op9_substring_dedup, None),
     "op10_suffix_array_dedup": (op10_suffix_array_dedup, None),
 }
