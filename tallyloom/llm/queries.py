@@ -5,19 +5,43 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyloom.llm import mixing, quality_rules, warc
+from tallyloom.llm.extract import extract
 from tallyloom.llm.near_dedup import near_duplicates
 from tallyloom.llm.substring_dedup import remove_repeats
 from tallyloom.llm.suffix_index import remove_repeated_bytes
+from tallyloom.runtime import materialise, shared_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "archives")
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    out = warc.resolve_revisits(warc.read_archives(spark, path, with_payload=False))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.facts_and_verdict(table(spark, sf_dir, "documents"))
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = materialise(table(spark, sf_dir, "documents").select("doc_id", "source", mixing.size_of("text").alias("size")), "document-sizes")
+    mix = mixing.mixed(sizes, text=None, size="size")
+    return mix.select("doc_id", "size", F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("size") * F.col("__copies")).alias("taken"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", F.col("__total").alias("n_words"), F.col("__removed").alias("n_removed"), F.sha2("__kept", 256).alias("kept_sha256"))
@@ -29,7 +53,11 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 Q = {
+    "op1_html_extraction": (op1_html_extraction, None),
     "op2_near_dedup": (op2_near_dedup, None),
+    "op4_warc": (op4_warc, warc.SQL),
+    "op7_quality_rules": (op7_quality_rules, quality_rules.SQL),
+    "op8_mixing": (op8_mixing, mixing.SQL),
     "op9_substring_dedup": (op9_substring_dedup, None),
     "op10_suffix_array_dedup": (op10_suffix_array_dedup, None),
 }
