@@ -4,16 +4,17 @@ A window is ``width`` consecutive symbols (words or bytes). Its anchor is the sm
 ``gram``-symbol runs inside it, so equal windows have equal anchors, and an anchor that
 occurs in one document only rules all its windows out. The steps:
 
-1. Documents are dealt to parts by a hash. Each part sends its distinct anchors, as packed hashes, to buckets
+1. Documents are dealt to parts by a hash, packed and compressed. Each part sends its distinct anchors, as packed hashes, to buckets
    that find those of two or more documents and tell every part which of its own are shared.
-2. Each part cuts its texts into fragments: runs of windows with one shared anchor. A fragment goes once per part
-   to the shard of its anchor. Where more than ``hot`` documents share an anchor, each window is a fragment of its own,
-   dealt by its own hash, so a passage that a third of all documents hold is spread over all shards.
-3. Each shard compares its distinct fragments by an engine (a suffix automaton, suffix arrays) on their true symbols.
-4. The verdicts go back to the parts that sent the fragment, and each document marks what it loses.
-
-Text is shuffled once: all three uses read the same exchange. Anchors take eight bytes each, and no bucket holds
-an anchor more often than there are parts. All sizes follow from the bytes of the input.
+2. Each part cuts its texts into fragments: runs of windows with one shared anchor. It tells the shard of the anchor that it
+   has the fragment, by a hash, and its smallest document with it. Where more than ``hot`` documents share an anchor, each window is a
+   fragment of its own, dealt by its own hash, so a passage that a third of all documents hold is spread over all shards.
+3. Each shard asks for the text of a distinct fragment once, from the part with the smallest document, so copies cost no text.
+4. Each shard compares its distinct fragments by an engine (a suffix automaton, suffix arrays) on their true symbols, and tells the parts
+   which fragments all their documents lose, and which windows of others the smallest one loses.
+
+Text is shuffled once: all four uses read the same exchange. Anchors take six bytes each, and no bucket or shard hears of
+an anchor or fragment more often than there are parts. All sizes follow from the bytes of the input.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ from pyspark.sql import types as T
 from tallyloom.llm import grams
 
 PART, KEEP = "__part", "__spans"
+SHORT = np.uint64((1 << 48) - 1)
 
 
 @dataclass(frozen=True)
@@ -104,8 +106,8 @@ def each_window(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.repeat(begin - (total - count), count) + np.arange(total[-1] if len(total) else 0)
 
 
-def packed(groups: np.ndarray, *values: np.ndarray) -> Iterator[tuple[int, list[bytes]]]:
-    """For each group number the bytes of its values, in order of the groups."""
+def packed(groups: np.ndarray, *values: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """For each group number its values, in order of the groups."""
     if not len(groups):
         return
     order = np.argsort(groups, kind="stable")
@@ -113,7 +115,72 @@ def packed(groups: np.ndarray, *values: np.ndarray) -> Iterator[tuple[int, list[
     cut = np.flatnonzero(np.diff(groups)) + 1
     parts = [np.split(v[order], cut) for v in values]
     for i, g in enumerate(groups[np.append(0, cut)]):
-        yield int(g), [p[i].tobytes() for p in parts]
+        yield int(g), [p[i] for p in parts]
+
+
+def squeeze(*columns: np.ndarray) -> bytes:
+    """Columns of numbers as compressed bytes; a zstandard frame each, behind its sizes."""
+    codec = pa.Codec("zstd")
+    out = []
+    for c in columns:
+        body = codec.compress(np.ascontiguousarray(c).tobytes(), asbytes=True) if len(c) else b""
+        out.append(np.array([c.nbytes, len(body)], np.int64).tobytes() + body)
+    return b"".join(out)
+
+
+def unsqueeze(blob: bytes, *kinds) -> list[np.ndarray]:
+    codec, at, out = pa.Codec("zstd"), 0, []
+    for kind in kinds:
+        size, length = np.frombuffer(blob, np.int64, 2, at)
+        at += 16
+        out.append(np.frombuffer(codec.decompress(blob[at : at + length], int(size), asbytes=True), kind) if size else np.zeros(0, kind))
+        at += length
+    return out
+
+
+def unsqueezed(blobs: list[bytes], *kinds) -> tuple[list[np.ndarray], np.ndarray]:
+    """All columns of several blobs, and the number of the blob of each row."""
+    parts = [unsqueeze(b, *kinds) for b in blobs]
+    sizes = [len(p[0]) for p in parts]
+    return [np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, k) for i, k in enumerate(kinds)], np.repeat(np.arange(len(parts)), sizes)
+
+
+def short(hashes: np.ndarray) -> np.ndarray:
+    """The low six bytes of hashes, a byte table."""
+    return np.ascontiguousarray(hashes).view(np.uint8).reshape(-1, 8)[:, :6]
+
+
+def wide(table: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(table) // 6, 8), np.uint8)
+    out[:, :6] = table.reshape(-1, 6)
+    return out.view(np.uint64).ravel()
+
+
+def _rows(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.Table:
+    columns = list(zip(*rows)) if rows else [[] for _ in names]
+    return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+
+
+def _pack(batches):
+    """Rows of each part as one compressed stream."""
+    options = pa.ipc.IpcWriteOptions(compression="zstd")
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        part = np.asarray(batch.column(PART))
+        order = np.argsort(part, kind="stable")
+        ordered = pa.Table.from_batches([batch]).take(pa.array(order))
+        cut = np.flatnonzero(np.diff(part[order])) + 1
+        bounds = [0, *cut.tolist(), len(part)]
+        for a, b in zip(bounds, bounds[1:]):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, ordered.schema, options=options) as writer:
+                writer.write_table(ordered.slice(a, b - a).combine_chunks())
+            yield pa.RecordBatch.from_arrays([pa.array([int(part[order[a]])], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], [PART, "docs"])
+
+
+def _unpack(blobs) -> pa.Table:
+    return pa.concat_tables([pa.ipc.open_stream(b.as_buffer()).read_all() for b in blobs])
 
 
 def anchors_of(parts: np.ndarray, docs: np.ndarray, anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -129,176 +196,278 @@ def anchors_of(parts: np.ndarray, docs: np.ndarray, anchors: np.ndarray) -> tupl
     return p[start], a[start], np.minimum(seen, 255).astype(np.uint8)
 
 
-def _send_anchors(unit: Unit, text: str, id_column: str, buckets: int) -> Callable:
-    def run(batches):
-        for batch in batches:
-            for piece in grams.slices(batch, text):
-                body = Text.of(piece.column(text), unit)
-                begin, _, anchor = body.windows(unit)
+@dataclass(frozen=True)
+class Plan:
+    """What every step needs to know."""
+
+    unit: Unit
+    text: str
+    id_column: str
+    buckets: int
+    shards: int
+    hot: int
+    joined: bool
+    schema: pa.Schema
+
+    def send_anchors(self, batches):
+        def flush(blobs):
+            for piece in grams.slices(_unpack(blobs), self.text):
+                body = Text.of(piece.column(self.text), self.unit)
+                begin, _, anchor = body.windows(self.unit)
                 row = grams.rows_of(body.first, begin)
-                known = ~np.asarray(piece.column(id_column).is_null())
-                use = known[row]
+                use = ~np.asarray(piece.column(self.id_column).is_null())[row]
                 row, anchor = row[use], anchor[use]
                 part, anchor, seen = anchors_of(np.asarray(piece.column(PART))[row].astype(np.int64), row, anchor)
-                bucket = (anchor >> np.uint64(20)) % np.uint64(buckets)
-                rows = [(g // buckets, g % buckets, a, n) for g, (a, n) in packed(part * buckets + bucket.astype(np.int64), anchor, seen)]
-                if rows:
-                    cols = list(zip(*rows))
-                    yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary())], [PART, "bucket", "anchors", "seen"])
+                bucket = (anchor % np.uint64(self.buckets)).astype(np.int64)
+                rows = [(g // self.buckets, g % self.buckets, squeeze(short(a).ravel(), n)) for g, (a, n) in packed(part * self.buckets + bucket, anchor, seen)]
+                yield from _rows(rows, [PART, "bucket", "anchors"], [pa.int32(), pa.int32(), pa.binary()]).to_batches()
 
-    return run
-
-
-def _shared_anchors(hot: int) -> Callable:
-    def run(table: pa.Table) -> pa.Table:
-        anchors = np.frombuffer(b"".join(table.column("anchors").to_pylist()), np.uint64)
-        seen = np.frombuffer(b"".join(table.column("seen").to_pylist()), np.uint8)
-        sizes = np.asarray([len(s) for s in table.column("seen").to_pylist()])
-        part = np.repeat(np.asarray(table.column(PART)), sizes)
+        blobs, size = [], 0
+        for batch in batches:
+            for blob in batch.column("docs"):
+                blobs.append(blob)
+                size += len(blob.as_buffer())
+                if size > 1 << 20:
+                    yield from flush(blobs)
+                    blobs, size = [], 0
+        if blobs:
+            yield from flush(blobs)
+
+    def shared_anchors(self, table: pa.Table) -> pa.Table:
+        pairs = [unsqueeze(b, np.uint8, np.uint8) for b in table.column("anchors").to_pylist()]
+        anchors = np.concatenate([wide(a) for a, _ in pairs])
+        seen = np.concatenate([n for _, n in pairs]).astype(np.int64)
+        part = np.repeat(np.asarray(table.column(PART)), [len(n) for _, n in pairs])
         order = np.argsort(anchors, kind="stable")
         anchors, part = anchors[order], part[order]
         start = np.flatnonzero(np.append(True, anchors[1:] != anchors[:-1]))
-        total = np.repeat(np.add.reduceat(seen[order].astype(np.int64), start), np.diff(np.append(start, len(anchors))))
+        total = np.repeat(np.add.reduceat(seen[order], start), np.diff(np.append(start, len(anchors))))
         shared = total > 1
-        found = list(packed(part[shared], anchors[shared], (total[shared] > hot).astype(np.uint8)))
-        return pa.table({PART: pa.array([g for g, _ in found], pa.int32()), "anchors": pa.array([v[0] for _, v in found], pa.binary()), "hot": pa.array([v[1] for _, v in found], pa.binary())})
-
-    return run
-
-
-def _send_fragments(unit: Unit, text: str, id_column: str, shards: int) -> Callable:
-    def run(docs: pa.Table, shared: pa.Table) -> pa.Table:
-        known = np.frombuffer(b"".join(shared.column("anchors").to_pylist()), np.uint64)
-        is_hot = np.frombuffer(b"".join(shared.column("hot").to_pylist()), np.uint8).astype(bool)
+        rows = [(g, squeeze(short(a).ravel(), h)) for g, (a, h) in packed(part[shared], anchors[shared], (total[shared] > self.hot).astype(np.uint8))]
+        return _rows(rows, [PART, "shared"], [pa.int32(), pa.binary()])
+
+    def _pieces(self, docs: pa.Table):
+        return grams.slices(_unpack(docs.column("docs")), self.text)
+
+    def _ids(self, piece: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        ids = piece.column(self.id_column).combine_chunks()
+        return ~np.asarray(ids.is_null()), np.asarray(ids.fill_null(0))
+
+    def send_fragments(self, docs: pa.Table, shared: pa.Table) -> pa.Table:
+        names, kinds = ["shard", PART, "known"], [pa.int32(), pa.int32(), pa.binary()]
+        pairs = [unsqueeze(b, np.uint8, np.uint8) for b in shared.column("shared").to_pylist()]
+        if not pairs or not docs.num_rows:
+            return _rows([], names, kinds)
+        known = np.concatenate([wide(a) for a, _ in pairs])
+        is_hot = np.concatenate([h for _, h in pairs]).astype(bool)
         order = np.argsort(known)
         known, is_hot = known[order], is_hot[order]
-        out = []
-        for piece in grams.slices(docs, text) if len(known) else []:
-            body = Text.of(piece.column(text), unit)
-            begin, count, anchor = body.windows(unit)
+        found = []
+        for piece in self._pieces(docs):
+            body = Text.of(piece.column(self.text), self.unit)
+            begin, count, anchor = body.windows(self.unit)
+            anchor = anchor & SHORT
             at = np.minimum(np.searchsorted(known, anchor), len(known) - 1)
             use = known[at] == anchor
             heat = is_hot[at] & use
-            ids = piece.column(id_column).combine_chunks()
-            named = ~np.asarray(ids.is_null())
-            value = np.asarray(ids.fill_null(0))
+            use &= ~heat
+            # A window of a hot anchor goes by its own hash.
             single = each_window(begin[heat], count[heat])
-            begin = np.concatenate([begin[use & ~heat], single])
-            count = np.concatenate([count[use & ~heat], np.ones(len(single), np.int64)])
-            row = grams.rows_of(body.first, begin)
+            alone = body.hashes(single, np.ones(len(single), np.int64), self.unit)
+            key = np.concatenate([body.hashes(begin[use], count[use], self.unit), alone])
+            spot = np.concatenate([anchor[use], alone])
+            named, value = self._ids(piece)
+            row = grams.rows_of(body.first, np.concatenate([begin[use], single]))
             ok = named[row]
-            begin, count, row = begin[ok], count[ok], row[ok]
-            if not len(begin):
-                continue
-            key = body.hashes(begin, count, unit)
-            # By the anchor; a window that stands alone by itself. A lone window of an anchor that is not hot may not leave its shard.
-            spot = np.concatenate([anchor[use & ~heat], np.zeros(len(single), np.uint64)])[ok]
-            alone = np.concatenate([np.zeros(int((use & ~heat).sum()), bool), np.ones(len(single), bool)])[ok]
-            shard = np.where(alone, key, spot) % np.uint64(shards)
-            doc = value[row]
-            by = np.lexsort((doc, key, alone))
-            start = np.flatnonzero(np.append(True, (key[by][1:] != key[by][:-1]) | (alone[by][1:] != alone[by][:-1])))
-            last = np.append(start[1:], len(by)) - 1
-            one = by[start]
-            out.append(pa.table({"shard": pa.array(shard[one].astype(np.int32)), "fragment": body.fragments(begin[one], count[one], unit), "key": pa.array(key[one].view(np.int64)), PART: pa.array(np.full(len(one), docs.column(PART)[0].as_py(), np.int32)), "low": pa.array(doc[one]), "high": pa.array(doc[by[last]])}))
-        kinds = pa.schema([("shard", pa.int32()), ("fragment", pa.binary()), ("key", pa.int64()), (PART, pa.int32()), ("low", pa.int64()), ("high", pa.int64())])
-        return pa.concat_tables(out) if out else kinds.empty_table()
-
-    return run
-
-
-def _judge(engine: Callable[[list[bytes], np.ndarray], list[np.ndarray]]) -> Callable:
-    def run(table: pa.Table) -> pa.Table:
-        coded = table.column("fragment").combine_chunks().dictionary_encode()
-        code = np.asarray(coded.indices)
-        distinct = coded.dictionary.to_pylist()
-        low, high = np.asarray(table.column("low")), np.asarray(table.column("high"))
-        first = np.full(len(distinct), np.iinfo(np.int64).max)
-        np.minimum.at(first, code, low)
-        order = sorted(range(len(distinct)), key=lambda i: (first[i], distinct[i]))
-        masks = engine([distinct[i] for i in order], first[order])
-        mask = [b""] * len(distinct)
-        for i, m in zip(order, masks):
-            mask[i] = np.packbits(m).tobytes() if m.any() else b""
-        some = np.asarray([bool(m) for m in mask])
-        keep = (high > first[code]) | some[code]
-        code = code[keep]
-        return pa.table({PART: table.column(PART).filter(pa.array(keep)), "key": table.column("key").filter(pa.array(keep)), "first": pa.array(first[code]), "mask": pa.array([mask[c] for c in code], pa.binary())})
-
-    return run
-
-
-def _mark(unit: Unit, text: str, id_column: str, schema: pa.Schema, joined: bool) -> Callable:
-    """Adds to each row the spans it loses, in bytes of its text, and the number of symbols it has and loses."""
-
-    def run(docs: pa.Table, verdicts: pa.Table) -> pa.Table:
-        order = np.argsort(np.asarray(verdicts.column("key")).view(np.uint64), kind="stable")
-        keys = np.asarray(verdicts.column("key")).view(np.uint64)[order]
-        firsts = np.asarray(verdicts.column("first"))[order]
-        masks = verdicts.column("mask").take(pa.array(order)).to_pylist()
+            found.append((key[ok], spot[ok], value[row][ok]))
+        key, spot, doc = (np.concatenate(x) for x in zip(*found))
+        order = np.lexsort((doc, spot, key))
+        key, spot, doc = key[order], spot[order], doc[order]
+        one = np.append(True, (key[1:] != key[:-1]) | (spot[1:] != spot[:-1])) if len(key) else np.zeros(0, bool)
+        key, spot, doc = key[one], spot[one], doc[one]
+        part = docs.column(PART)[0].as_py()
+        rows = [(g, part, squeeze(s, k, d)) for g, (s, k, d) in packed((spot % np.uint64(self.shards)).astype(np.int64), spot, key, doc)]
+        return _rows(rows, names, kinds)
+
+    @staticmethod
+    def _heard(table: pa.Table):
+        """What a shard was told: spot, key, smallest document and part of each fragment, in order; then where each distinct one begins."""
+        (spot, key, low), blob = unsqueezed(table.column("known").to_pylist(), np.uint64, np.uint64, np.int64)
+        part = np.asarray(table.column(PART))[blob]
+        order = np.lexsort((part, low, key, spot))
+        spot, key, low, part = spot[order], key[order], low[order], part[order]
+        start = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (spot[1:] != spot[:-1]))) if len(key) else np.zeros(0, np.int64)
+        # A window of a hot anchor is dealt by its own hash.
+        return key, low, part, start, spot == key
+
+    def ask(self, table: pa.Table) -> pa.Table:
+        """The part with the smallest document is asked for a fragment's text."""
+        key, _, part, start, alone = self._heard(table)
+        shard = table.column("shard")[0].as_py()
+        rows = [(g, shard, squeeze(k[~h]), squeeze(k[h])) for g, (k, h) in packed(part[start], key[start], alone[start])]
+        return _rows(rows, [PART, "shard", "runs", "alone"], [pa.int32(), pa.int32(), pa.binary(), pa.binary()])
+
+    def answer(self, docs: pa.Table, asked: pa.Table) -> pa.Table:
+        names, kinds = ["shard", "keys", "ends", "fragments"], [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+        if not asked.num_rows or not docs.num_rows:
+            return _rows([], names, kinds)
+        want = {}
+        for column in ("runs", "alone"):
+            (key,), blob = unsqueezed(asked.column(column).to_pylist(), np.uint64)
+            order = np.argsort(key, kind="stable")
+            want[column] = key[order], np.asarray(asked.column("shard"))[blob][order], np.ones(len(key), bool)
+        rows = []
+        for piece in self._pieces(docs):
+            body = Text.of(piece.column(self.text), self.unit)
+            begin, count, _ = body.windows(self.unit)
+            for column, (key, shard, missing) in want.items():
+                if not len(key):
+                    continue
+                if column == "alone":
+                    begin, count = each_window(begin, count), np.ones(count.sum(), np.int64)
+                have = body.hashes(begin, count, self.unit)
+                use = np.flatnonzero(isin(have, key))
+                first, place = np.unique(have[use], return_index=True)
+                if not len(first):
+                    continue
+                # One key may be asked for by several shards.
+                at = np.minimum(np.searchsorted(first, key), len(first) - 1)
+                hit = np.flatnonzero((first[at] == key) & missing)
+                missing[hit] = False
+                for g, (i,) in packed(shard[hit], hit):
+                    take = use[place[at[i]]]
+                    data, ends = grams.utf8(body.fragments(begin[take], count[take], self.unit))
+                    rows.append((g, squeeze(key[i]), squeeze(ends[1:]), squeeze(data)))
+        return _rows(rows, names, kinds)
+
+    def judge(self, engine: Callable) -> Callable:
+        def run(told: pa.Table, texts: pa.Table) -> pa.Table:
+            names, kinds = [PART, "lost", "alone", "shared", "some", "masks"], [pa.int32(), *[pa.binary()] * 4, pa.list_(pa.binary())]
+            if not told.num_rows:
+                return _rows([], names, kinds)
+            key, low, part, start, alone = self._heard(told)
+            text_of = {}
+            for keys, ends, body in zip(*(texts.column(c).to_pylist() for c in ("keys", "ends", "fragments"))):
+                (keys,), (ends,), (body,) = unsqueeze(keys, np.uint64), unsqueeze(ends, np.int64), unsqueeze(body, np.uint8)
+                body = body.tobytes()
+                at = 0
+                for k, end in zip(keys.tolist(), ends.tolist()):
+                    text_of[k] = body[at:end]
+                    at = end
+            distinct = [text_of[k] for k in key[start].tolist()]
+            first = low[start]
+            order = sorted(range(len(distinct)), key=lambda i: (first[i], distinct[i]))
+            masks = engine([distinct[i] for i in order], first[order])
+            rows: dict[int, tuple] = {}
+            sizes = np.diff(np.append(start, len(key)))
+            later = low > np.repeat(first, sizes)
+            for g, (k, out, h) in packed(part, key, later, alone):
+                if out.any() or h.any():
+                    rows[g] = (k[out & ~h], k[out & h], k[~out & h], [], [])
+            none = np.zeros(0, np.uint64)
+            for i, mask in zip(order, masks):
+                if mask.any():
+                    # The parts that hold the smallest document; rows of one id may lie in several.
+                    for j in range(start[i], start[i] + sizes[i]):
+                        if low[j] == first[i]:
+                            some, bits = rows.setdefault(int(part[j]), (none, none, none, [], []))[3:]
+                            some.append(int(key[j]))
+                            bits.append(np.packbits(mask).tobytes())
+            return _rows([(g, *map(squeeze, v[:3]), squeeze(np.asarray(v[3], np.uint64)), v[4]) for g, v in rows.items()], names, kinds)
+
+        return run
+
+    def mark(self, docs: pa.Table, verdicts: pa.Table) -> pa.Table:
+        """Adds to each row what is left, the spans it loses, and the number of symbols it has and loses."""
+        if not docs.num_rows:
+            return self.schema.empty_table()
+        lost, alone, together, some = (unsqueezed(verdicts.column(c).to_pylist(), np.uint64)[0][0] for c in ("lost", "alone", "shared", "some"))
+        bits = [b for masks in verdicts.column("masks").to_pylist() for b in masks]
+        lost, alone, together = np.unique(lost), np.unique(alone), np.unique(together)
+        mask_of: dict[int, list[bytes]] = {}
+        for k, b in zip(some.tolist(), bits):
+            mask_of.setdefault(k, []).append(b)
+        some = np.unique(some)
+        pieces = []
+        for piece in self._pieces(docs):
+            body = Text.of(piece.column(self.text), self.unit)
+            begin, count, _ = body.windows(self.unit)
+            named, value = self._ids(piece)
+            use = named[grams.rows_of(body.first, begin)]
+            pieces.append((piece, body, value, begin[use], count[use], body.hashes(begin[use], count[use], self.unit)))
+
+        def later(parts: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+            """Marks keys that a smaller document of this part has as well."""
+            key, doc = (np.concatenate(x) for x in zip(*parts))
+            order = np.lexsort((doc, key))
+            start = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1])) if len(key) else order
+            least = np.repeat(doc[order][start], np.diff(np.append(start, len(key))))
+            out = np.empty(len(key), bool)
+            out[order] = doc[order] > least
+            return np.split(out, np.cumsum([len(k) for k, _ in parts])[:-1])
+
+        doc_of = lambda body, value, at: value[grams.rows_of(body.first, at)]
+        again = later([(key, doc_of(body, value, begin)) for _, body, value, begin, _, key in pieces])
+        singles = []
+        if len(alone) or len(together):
+            for _, body, value, begin, count, _ in pieces:
+                at = each_window(begin, count)
+                key = body.hashes(at, np.ones(len(at), np.int64), self.unit)
+                use = isin(key, together)
+                singles.append((at[isin(key, alone)], at[use], key[use], doc_of(body, value, at[use])))
+            single_again = later([x[2:] for x in singles])
         out = []
-        for piece in grams.slices(docs, text):
-            body = Text.of(piece.column(text), unit)
-            n = len(body.prefix) - 1
-            lost = np.zeros(n, bool)
-            if len(keys):
-                begin, count, _ = body.windows(unit)
-                ids = piece.column(id_column).combine_chunks()
-                named, value = ~np.asarray(ids.is_null()), np.asarray(ids.fill_null(0))
-                gone = np.zeros(n + 1, np.int32)
-
-                def apply(begin, count):
-                    key = body.hashes(begin, count, unit)
-                    at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-                    hit = np.flatnonzero(keys[at] == key)
-                    row = grams.rows_of(body.first, begin[hit])
-                    hit, row = hit[named[row]], row[named[row]]
-                    later = value[row] > firsts[at[hit]]
-                    np.add.at(gone, begin[hit[later]], 1)
-                    np.add.at(gone, begin[hit[later]] + count[hit[later]] + unit.width - 1, -1)
-                    # Only the smallest document that holds a fragment goes by the mask.
-                    for i in hit[value[row] == firsts[at[hit]]]:
-                        if masks[at[i]]:
-                            bits = np.flatnonzero(np.unpackbits(np.frombuffer(masks[at[i]], np.uint8), count=int(count[i])))
-                            np.add.at(gone, begin[i] + bits, 1)
-                            np.add.at(gone, begin[i] + bits + unit.width, -1)
-
-                if len(begin):
-                    apply(begin, count)
-                    alone = each_window(begin[count > 1], count[count > 1])
-                    if len(alone):
-                        apply(alone, np.ones(len(alone), np.int64))
-                lost = np.cumsum(gone[:-1]) > 0
-            out.append(finish(piece, body, lost))
-        return pa.concat_tables(out).cast(schema) if out else schema.empty_table()
-
-    def finish(piece: pa.Table, body: Text, lost: np.ndarray) -> pa.Table:
+        width = self.unit.width
+        for n, (piece, body, value, begin, count, key) in enumerate(pieces):
+            gone = np.zeros(len(body.prefix), np.int32)
+
+            def cover(begin, count):
+                np.add.at(gone, begin, 1)
+                np.add.at(gone, begin + count + width - 1, -1)
+
+            out_of = again[n] | isin(key, lost)
+            cover(begin[out_of], count[out_of])
+            for i in np.flatnonzero(~out_of & isin(key, np.unique(some))) if len(some) else []:
+                for b in mask_of[int(key[i])]:
+                    place = begin[i] + np.flatnonzero(np.unpackbits(np.frombuffer(b, np.uint8), count=int(count[i])))
+                    cover(place, np.ones(len(place), np.int64))
+            if singles:
+                place = np.concatenate([singles[n][0], singles[n][1][single_again[n]]])
+                cover(place, np.ones(len(place), np.int64))
+            out.append(self._finish(piece, body, np.cumsum(gone[:-1]) > 0))
+        return pa.concat_tables(out).cast(self.schema)
+
+    def _finish(self, piece: pa.Table, body: Text, lost: np.ndarray) -> pa.Table:
         total = np.diff(body.first)
         sums = np.append(0, np.cumsum(lost))
         removed = sums[body.first[1:]] - sums[body.first[:-1]]
         kept, spans = [], []
         for row in range(len(total)):
             a, b = int(body.first[row]), int(body.first[row + 1])
-            gone = lost[a:b]
-            if not removed[row] and joined:
+            if not removed[row] and self.joined:
                 kept.append(body.data[body.starts[a] : body.ends[b - 1]].tobytes() if b > a else b"")
                 spans.append([])
                 continue
-            edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]])))
+            edge = np.flatnonzero(np.diff(np.concatenate([[0], lost[a:b].view(np.int8), [0]])))
             spans.append([{"start": int(s), "end": int(e)} for s, e in edge.reshape(-1, 2)])
             stay = np.concatenate([[0], edge, [b - a]]).reshape(-1, 2) + a
-            if joined:
+            if self.joined:
                 parts = [body.data[body.starts[s] : body.ends[e - 1]].tobytes() for s, e in stay if e > s]
             else:
                 parts = [body.raw[body.raw_starts[s] : body.raw_starts[e] if e < b else body.raw_ends[row]].tobytes() for s, e in stay if e > s]
-            kept.append((b" " if unit.words and joined else b"").join(parts))
+            kept.append((b" " if self.unit.words and self.joined else b"").join(parts))
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         table = piece.drop_columns([PART])
         for name, values, kind in (("__kept", kept, pa.binary()), (KEEP, spans, span), ("__total", total, pa.int64()), ("__removed", removed, pa.int64())):
             table = table.append_column(name, pa.array(values, kind))
         return table
 
-    return run
+
+def isin(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values are in the sorted ``known``."""
+    if not len(known):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
 
 
 def text_bytes(docs: DataFrame, text: str) -> int:
@@ -320,12 +489,16 @@ def removed_spans(docs: DataFrame, unit: Unit, engine: Callable, text: str = "te
     size = text_bytes(docs, text)
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // (32 << 20))
     parts = max(1, size // part_bytes)
-    dealt = docs.withColumn(PART, F.pmod(F.xxhash64(F.col(id_column), F.col(text)), F.lit(parts)).cast("int")).withColumn(id_column, F.col(id_column).cast("long")).repartition(tasks, PART)
+    dealt = docs.withColumn(PART, F.pmod(F.xxhash64(F.col(id_column), F.col(text)), F.lit(parts)).cast("int")).withColumn(id_column, F.col(id_column).cast("long"))
     span = T.ArrayType(T.StructType().add("start", T.LongType()).add("end", T.LongType()))
     more = [("__kept", T.BinaryType()), (KEEP, span), ("__total", T.LongType()), ("__removed", T.LongType())]
     result = T.StructType([T.StructField(f.name, f.dataType) for f in dealt.schema.fields if f.name != PART] + [T.StructField(*m) for m in more])
-    sent = dealt.mapInArrow(_send_anchors(unit, text, id_column, tasks), f"{PART} int, bucket int, anchors binary, seen binary")
-    shared = sent.groupBy("bucket").applyInArrow(_shared_anchors(hot), f"{PART} int, anchors binary, hot binary")
-    pieces = dealt.groupBy(PART).cogroup(shared.groupBy(PART)).applyInArrow(_send_fragments(unit, text, id_column, max(tasks, parts)), f"shard int, fragment binary, key long, {PART} int, low long, high long")
-    verdicts = pieces.groupBy("shard").applyInArrow(_judge(engine), f"{PART} int, key long, first long, mask binary")
-    return dealt.groupBy(PART).cogroup(verdicts.groupBy(PART)).applyInArrow(_mark(unit, text, id_column, to_arrow_schema(result), joined), result)
+    plan = Plan(unit, text, id_column, tasks, max(tasks, parts), hot, joined, to_arrow_schema(result))
+    dealt = dealt.mapInArrow(_pack, f"{PART} int, docs binary").repartition(tasks, PART)
+    sent = dealt.mapInArrow(plan.send_anchors, f"{PART} int, bucket int, anchors binary")
+    shared = sent.groupBy("bucket").applyInArrow(lambda t: plan.shared_anchors(t), f"{PART} int, shared binary")
+    told = dealt.groupBy(PART).cogroup(shared.groupBy(PART)).applyInArrow(lambda d, t: plan.send_fragments(d, t), f"shard int, {PART} int, known binary")
+    asked = told.groupBy("shard").applyInArrow(lambda t: plan.ask(t), f"{PART} int, shard int, runs binary, alone binary")
+    texts = dealt.groupBy(PART).cogroup(asked.groupBy(PART)).applyInArrow(lambda d, t: plan.answer(d, t), "shard int, keys binary, ends binary, fragments binary")
+    verdicts = told.groupBy("shard").cogroup(texts.groupBy("shard")).applyInArrow(plan.judge(engine), f"{PART} int, lost binary, alone binary, shared binary, some binary, masks array<binary>")
+    return dealt.groupBy(PART).cogroup(verdicts.groupBy(PART)).applyInArrow(lambda d, t: plan.mark(d, t), result)
