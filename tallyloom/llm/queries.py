@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import mixing, quality_rules, warc
+from tallyloom.llm import mixing, pieces, quality_rules, warc
 from tallyloom.llm.extract import extract
 from tallyloom.llm.near_dedup import near_duplicates
 from tallyloom.llm.substring_dedup import remove_repeats
@@ -13,6 +13,10 @@ from tallyloom.llm.suffix_index import remove_repeated_bytes
 from tallyloom.runtime import materialise, shared_path
 
 
+#: A public model file; another one may be given to the query's function.
+MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -25,6 +29,10 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str, model: str = MODEL) -> DataFrame:
+    return pieces.round_trips(table(spark, sf_dir, "documents"), model)
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "archives")
     warc.write_archives(table(spark, sf_dir, "pages"), path)
@@ -55,6 +63,7 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 Q = {
     "op1_html_extraction": (op1_html_extraction, None),
     "op2_near_dedup": (op2_near_dedup, None),
+    "op3_sentencepiece": (op3_sentencepiece, None),
     "op4_warc": (op4_warc, warc.SQL),
     "op7_quality_rules": (op7_quality_rules, quality_rules.SQL),
     "op8_mixing": (op8_mixing, mixing.SQL),
