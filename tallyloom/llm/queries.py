@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.llm import mixing, pieces, quality_rules, warc
+from tallyloom.llm.discriminant import quality
 from tallyloom.llm.extract import extract
 from tallyloom.llm.near_dedup import near_duplicates
 from tallyloom.llm.substring_dedup import remove_repeats
 from tallyloom.llm.suffix_index import remove_repeated_bytes
+from tallyloom.llm.topk import top_products
 from tallyloom.runtime import materialise, shared_path
 
 
@@ -40,6 +42,14 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_products(table(spark, sf_dir, "embeddings"))
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.facts_and_verdict(table(spark, sf_dir, "documents"))
 
@@ -65,6 +75,8 @@ Q = {
     "op2_near_dedup": (op2_near_dedup, None),
     "op3_sentencepiece": (op3_sentencepiece, None),
     "op4_warc": (op4_warc, warc.SQL),
+    "op5_topk": (op5_topk, None),
+    "op6_quality_classifier": (op6_quality_classifier, None),
     "op7_quality_rules": (op7_quality_rules, quality_rules.SQL),
     "op8_mixing": (op8_mixing, mixing.SQL),
     "op9_substring_dedup": (op9_substring_dedup, None),
