@@ -16,36 +16,37 @@ from pyspark.sql import functions as F
 from tallyloom.runtime import materialise
 
 SPACES, SYMBOLS = " \t\n\x0b\f\r", "#*$%&|<>"
-WORDS, LINES, GRAMS, AGAIN = "__words", "__lines", "__grams", "__again"
+WORDS, CHARS, LINES, GRAMS = "__words", "__chars", "__lines", "__grams"
 
 
 def _text(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-def count_of(text: Column, characters: str) -> Column:
-    return (F.char_length(text) - F.char_length(F.translate(text, characters, ""))).cast("long")
-
-
-def matches_of(text: Column, pattern: str) -> Column:
+def count_of(text: Column, pattern: str) -> Column:
     """Number of characters of a class."""
-    return F.char_length(F.regexp_replace(text, f"[^{pattern}]+", "")).cast("long")
+    return F.regexp_count(text, F.lit(f"[{pattern}]")).cast("long")
 
 
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(text, "[ \\t-\\r]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.btrim(text, F.lit(SPACES)), "[ \\t-\\r]+"), "")
 
 
 def lines_of(text: Column) -> Column:
-    return F.filter(F.split(text, "\n"), lambda x: F.translate(x, SPACES, "") != "")
+    return F.filter(F.split(text, "\n"), lambda x: x.rlike("[^ \\t-\\r]"))
 
 
 def n_words(_: str = "") -> Column:
     return F.size(WORDS).cast("long")
 
 
-def word_chars(text: str) -> Column:
-    return F.char_length(F.translate(_text(text), SPACES, "")).cast("long")
+def word_chars(_: str = "") -> Column:
+    return F.col(CHARS)
+
+
+def letters(text: str) -> Column:
+    """Word characters but those that are no letters, which are few."""
+    return word_chars() - count_of(_text(text), "^\\p{L} \\t-\\r")
 
 
 def n_symbols(text: str) -> Column:
@@ -62,9 +63,9 @@ def n_dup_lines(_: str = "") -> Column:
 
 def n_repeat_words(_: str = "") -> Column:
     """Words in 3-word windows that occur more than once: sort the windows' hashes with their places, keep those equal to a neighbour."""
-    after = F.slice(GRAMS, 2, F.greatest(F.size(GRAMS) - 1, F.lit(0)))
-    pairs = F.filter(F.arrays_zip(F.col(GRAMS).alias("x"), after.alias("y")), lambda p: p["x"]["h"] == p["y"]["h"])
-    places = F.flatten(F.transform(pairs, lambda p: F.array(*[p[s]["i"] + F.lit(k) for s in ("x", "y") for k in range(3)])))
+    grams = F.col(GRAMS)
+    beside = lambda g, j: (g["h"] == F.get(grams, j + 1)["h"]) | (g["h"] == F.get(grams, j - 1)["h"])
+    places = F.flatten(F.transform(F.filter(grams, beside), lambda g: F.array(g["i"], g["i"] + 1, g["i"] + 2)))
     return F.size(F.array_distinct(places)).cast("long")
 
 
@@ -98,15 +99,15 @@ MORE = (
     Rule("exclamations", lambda t: 10 * count_of(_text(t), "!") > n_words()),
     Rule("repeated_lines", lambda t: 2 * n_dup_lines() > n_lines()),
     Rule("word_length", lambda t: (word_chars(t) < 2 * n_words()) | (word_chars(t) > 20 * n_words())),
-    Rule("capitals", lambda t: 10 * matches_of(_text(t), "\\p{Lu}") > 3 * matches_of(_text(t), "\\p{L}")),
-    Rule("letters", lambda t: 2 * matches_of(_text(t), "\\p{L}") < word_chars(t)),
+    Rule("capitals", lambda t: 10 * count_of(_text(t), "\\p{Lu}") > 3 * letters(t)),
+    Rule("letters", lambda t: 2 * letters(t) < word_chars(t)),
 )
 RULES = BASE + MORE
 
 
 def prepared(docs: DataFrame, text: str) -> DataFrame:
     """``docs`` with the helper columns that rules read; those that no expression reads are pruned."""
-    return docs.withColumn(WORDS, words_of(_text(text))).withColumn(LINES, lines_of(_text(text))).withColumn(GRAMS, grams_of())
+    return docs.withColumn(WORDS, words_of(_text(text))).withColumn(CHARS, F.char_length(F.array_join(WORDS, "")).cast("long")).withColumn(LINES, lines_of(_text(text))).withColumn(GRAMS, grams_of())
 
 
 def measure(docs: DataFrame, rules=RULES, text: str = "text", sample_rows: int = 2000, seed: int = 7) -> list[tuple[Rule, float, float]]:
@@ -142,13 +143,13 @@ def cascade(rules: list[Rule], text: str) -> Column:
 def judge(docs: DataFrame, rules=RULES, text: str = "text") -> DataFrame:
     """Adds ``rejected_by``: a rule that rejects the row, or null. Null texts have no words and are rejected as short."""
     order = in_order(measure(docs, rules, text))
-    return prepared(docs, text).withColumn("rejected_by", cascade(order, text)).drop(WORDS, LINES, GRAMS)
+    return prepared(docs, text).withColumn("rejected_by", cascade(order, text)).drop(WORDS, CHARS, LINES, GRAMS)
 
 
 def accepted(docs: DataFrame, rules=RULES, text: str = "text") -> DataFrame:
     """Rows that no rule rejects, with their columns."""
     order = in_order(measure(docs, rules, text))
-    return prepared(docs, text).where(cascade(order, text).isNull()).drop(WORDS, LINES, GRAMS)
+    return prepared(docs, text).where(cascade(order, text).isNull()).drop(WORDS, CHARS, LINES, GRAMS)
 
 
 def facts_and_verdict(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -156,13 +157,13 @@ def facts_and_verdict(docs: DataFrame, id_column: str = "doc_id", text: str = "t
     order = in_order(measure(docs, MORE, text))
     ready = prepared(docs.select(id_column, text), text)
     facts = ready.select(
-        id_column, text, WORDS, LINES,
+        id_column, text, WORDS, CHARS, LINES,
         n_words().alias("n_words"), word_chars(text).alias("word_chars"), n_symbols(text).alias("n_symbols"),
         n_dup_lines().alias("n_dup_lines"), n_repeat_words().alias("n_repeat_words"),
     )
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     judged = facts.withColumn("base_failed", failed).withColumn("kept", F.when(F.col("base_failed"), F.lit(False)).otherwise(cascade(order, text).isNull()))
-    return judged.drop(text, WORDS, LINES)
+    return judged.drop(text, WORDS, CHARS, LINES)
 
 
 SQL = r"""
