@@ -114,11 +114,11 @@ def mixed(docs: DataFrame, text: str | None = "text", source: str = "source", id
     return rows.drop("__key", "__order", "__bucket", "_before", "__rank", "__middle").select(*docs.columns, "__size", "__source_size", "__target", "__copies", "__positions")
 
 
-def curriculum(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each row as often as it is taken, with ``position``, sorted by ranges of it."""
+def curriculum(docs: DataFrame, position_column: str = "position", **options) -> DataFrame:
+    """The mix itself: each row as often as it is taken, with its position, sorted by ranges of it."""
     mix = mixed(docs, **options)
-    placed = mix.withColumn("position", F.explode("__positions")).drop("__size", "__source_size", "__target", "__copies", "__positions")
-    return placed.repartitionByRange("position").sortWithinPartitions("position")
+    placed = mix.withColumn(position_column, F.explode("__positions")).drop("__size", "__source_size", "__target", "__copies", "__positions")
+    return placed.repartitionByRange(position_column).sortWithinPartitions(position_column)
 
 
 SQL = r"""
