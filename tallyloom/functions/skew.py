@@ -1,26 +1,27 @@
 """Skew-safe building blocks.
 
 A window or join key may own a third of all rows. The helpers here keep every
-task bounded in that case while leaving ordinary keys on the plain path.
+task bounded in that case while leaving ordinary keys on the plain path; both paths give the same rows.
 
 ``hot_groups`` finds heavy keys by share of the input, so by pigeonhole there are
 at most ``1 / HOT_SHARE`` of them. It runs one aggregation when the plan is built and returns 64-bit
-hashes (under one megabyte). Without hot keys the plain plan is used unchanged.
+hashes with the number of pieces to cut each key into (under two megabytes).
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from tallyloom.runtime import materialise
 
 HOT_SHARE = 1e-5
 HOT_FLOOR = 200_000
-SALTS = 64
+LISTED = 64
 
 
 def hot_groups(
@@ -29,8 +30,9 @@ def hot_groups(
     rows: str | None = None,
     share: float = HOT_SHARE,
     floor: int = HOT_FLOOR,
-) -> list[int]:
-    """Hashes of the keys holding more than ``share`` of all rows and more than ``floor``.
+) -> dict[int, int]:
+    """Hashes of the keys holding more than ``share`` of all rows and more than ``floor``, each with the
+    number of pieces that bring it down to ``floor`` rows.
 
     ``rows`` names a column with pre-aggregated row counts, if there is one.
     """
@@ -38,11 +40,18 @@ def hot_groups(
     counts = df.groupBy(F.xxhash64(*keys).alias("_hot")).agg(weight.alias("_n"))
     total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("t")).scalar()
     heavy = counts.where((F.col("_n") > floor) & (F.col("_n") > total * F.lit(share)))
-    return [r[0] for r in heavy.select("_hot").collect()]
+    return {r["_hot"]: 1 + int(r["_n"]) // max(1, floor) for r in heavy.select("_hot", "_n").collect()}
 
 
-def is_hot(keys: Sequence[str], hot: Sequence[int]) -> Column:
-    return F.xxhash64(*keys).isin(list(hot)) if hot else F.lit(False)
+def with_pieces(df: DataFrame, keys: Sequence[str], hot: Mapping[int, int], out: str) -> DataFrame:
+    """Add the number of pieces of each row's key, null for a key that is not hot. Many hot keys are joined as a small table."""
+    if not hot:
+        return df.withColumn(out, F.lit(None).cast("int"))
+    if len(hot) <= LISTED:
+        cases = reduce(lambda c, h: c.when(F.col("_hash") == h, F.lit(hot[h])), hot, F)
+        return df.withColumn("_hash", F.xxhash64(*keys)).withColumn(out, cases.otherwise(F.lit(None))).drop("_hash")
+    table = df.sparkSession.createDataFrame(list(hot.items()), f"_hash long, {out} int")
+    return df.withColumn("_hash", F.xxhash64(*keys)).join(F.broadcast(table), "_hash", "left").drop("_hash")
 
 
 def spread_join(
@@ -50,11 +59,10 @@ def spread_join(
     lookup: DataFrame,
     keys: Sequence[str],
     spread: Sequence[str],
-    hot: Sequence[int],
+    hot: Mapping[int, int],
     how: str = "left",
-    salts: int = SALTS,
 ) -> DataFrame:
-    """Join many rows to a lookup with one row per key, salting the hot keys only.
+    """Join many rows to a lookup with one row per key, salting the hot keys only, each by its share.
 
     ``spread`` are row columns whose hash fans a hot key out; the hash is fixed, so
     a retried task sends each row to the same place. Rows with a null key can match
@@ -66,29 +74,16 @@ def spread_join(
         rows = rows.where(~null_key)
         if not hot:
             return rows.join(lookup, keys, how)
-    fan = F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")
-    heavy = is_hot(keys, hot)
-    left = rows.withColumn("_salt", F.when(heavy | null_key, fan).otherwise(F.lit(0)))
-    every = F.sequence(F.lit(0), F.lit(salts - 1))
-    copies = F.explode(F.when(heavy, every).otherwise(F.array(F.lit(0)))) if hot else F.lit(0)
-    right = lookup.withColumn("_salt", copies)
+    # Rows with a null key meet nothing, so any spread will do.
+    scatter = max([64, *hot.values()])
+    pieces = F.when(null_key, F.lit(scatter)).otherwise(F.coalesce("_pieces", F.lit(1)))
+    left = with_pieces(rows, keys, hot, "_pieces")
+    left = left.withColumn("_salt", F.pmod(F.xxhash64(*spread), pieces).cast("int")).drop("_pieces")
+    right = with_pieces(lookup, keys, hot, "_pieces")
+    right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_pieces", F.lit(1)) - 1))).drop("_pieces")
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
-def id_block(column: str, dtype: T.DataType, width: int = 1_000_000, skip: int = 0) -> Column:
-    """Coarse bigint that grows with ``column``: id ranges, days, minutes or leading characters."""
-    col = F.col(column)
-    if isinstance(dtype, T.IntegralType):
-        return F.floor(col / F.lit(width)).cast("bigint")
-    if isinstance(dtype, T.DateType):
-        return F.datediff(col, F.lit("1970-01-01").cast("date")).cast("bigint")
-    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
-        return F.floor(F.unix_micros(col.cast("timestamp")) / F.lit(60_000_000)).cast("bigint")
-    text = F.coalesce(F.substring(col.cast("string"), skip + 1, 4), F.lit(""))
-    points = [F.coalesce(F.ascii(F.substring(text, i, 1)), F.lit(0)).cast("bigint") for i in (1, 2, 3)]
-    return points[0] * F.lit(1 << 42) + points[1] * F.lit(1 << 21) + points[2]
-
-
 @dataclass(frozen=True)
 class Running:
     """A running aggregate: ``kind`` is sum, count, last (non-null), max or min."""
@@ -125,60 +120,38 @@ def running(
     keys: Sequence[str],
     order: Sequence[str],
     specs: Sequence[Running],
-    skip: int = 0,
     share: float = HOT_SHARE,
     floor: int = HOT_FLOOR,
-    width: int = 1_000_000,
-    exact: Sequence[str] = (),
 ) -> DataFrame:
-    """Running aggregates over ``order`` within ``keys``, current row included.
-
-    ``order`` must be a total order. Ordinary groups are one window. A hot group is cut
-    into blocks along its order; block totals are aggregated first, carried
-    forward over the short list of blocks, and added to a window inside each block.
-    Days are blocks by themselves, and so are the values of ``exact`` columns; other columns are
-    cut into ranges (minutes, ``width`` ids, leading characters after ``skip``).
+    """Running aggregates over ``order`` within ``keys``, current row included; nulls come first.
 
-    With no keys the whole input is treated as one hot group. Rows with a null key form
-    one plain group, so callers give such rows a key of their own if they are many.
+    ``order`` must be a total order, of any types. Ordinary groups are one window. Rows of hot groups, or all rows if there are
+    no keys, are cut into blocks by range of the keys and the order itself and written out; a window runs inside each block, and the
+    totals of the blocks before are added. There are as many blocks as partitions, so what is summed across blocks is small.
     """
     keys, order = list(keys), list(order)
-    types = {f.name: f.dataType for f in df.schema.fields}
-    # A block may only be cut by the next column where the former one is a single value.
-    cut = []
-    for column in order:
-        cut.append(column)
-        if column not in exact and not isinstance(types[column], T.DateType):
-            break
-    blocks = [f"_b{i}" for i in range(len(cut))]
-    hot = hot_groups(df, keys, share=share, floor=floor) if keys else []
-    if keys and not hot:
-        whole = (
-            Window.partitionBy(*keys)
-            .orderBy(*[F.col(c).asc_nulls_first() for c in order])
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        )
-        return df.withColumns({s.out: _IN_BLOCK[s.kind](s.expr).over(whole) for s in specs})
-    keyed = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys], F.lit(True))
-    marked = df.withColumn("_is_hot", (is_hot(keys, hot) & keyed) if keys else F.lit(True))
-    for name, column in zip(blocks, cut):
-        block = F.col(column) if column in exact else id_block(column, types[column], width=width, skip=skip)
-        marked = marked.withColumn(
-            name, F.when(F.col("_is_hot"), F.coalesce(block, F.lit(-1))).otherwise(F.lit(0)).cast("bigint")
-        )
-    inputs = [f"_v{i}" for i in range(len(specs))]
-    for name, spec in zip(inputs, specs):
-        marked = marked.withColumn(name, spec.expr)
+    ordered = [F.col(c).asc_nulls_first() for c in order]
 
-    order_cols = [F.col(c).asc_nulls_first() for c in order]
-    inside = (
-        Window.partitionBy(*keys, *blocks)
-        .orderBy(*order_cols)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    rows = marked
-    for name, spec in zip(inputs, specs):
-        rows = rows.withColumn(f"{name}_in", _IN_BLOCK[spec.kind](F.col(name)).over(inside))
+    def plain(rows: DataFrame) -> DataFrame:
+        window = Window.partitionBy(*keys).orderBy(*ordered).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return rows.withColumns({s.out: _IN_BLOCK[s.kind](s.expr).over(window) for s in specs})
+
+    if keys:
+        hot = hot_groups(df, keys, share=share, floor=floor)
+        if not hot:
+            return plain(df)
+        marked = with_pieces(df, keys, hot, "_pieces")
+        heavy, light = (marked.where(c).drop("_pieces") for c in ("_pieces IS NOT NULL", "_pieces IS NULL"))
+    else:
+        heavy, light = df, None
+
+    kinds = {s.out: plain(df.limit(0)).schema[s.out].dataType for s in specs}
+    inputs = [f"_v{i}" for i in range(len(specs))]
+    valued = heavy.withColumns({n: s.expr for n, s in zip(inputs, specs)})
+    dealt = valued.repartitionByRange(*[F.col(c).asc_nulls_first() for c in keys], *ordered)
+    blocks = materialise(dealt.withColumn("_block", F.spark_partition_id()), "blocks")
+    inside = Window.partitionBy(*keys, "_block").orderBy(*ordered).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = blocks.withColumns({f"{n}_in": _IN_BLOCK[s.kind](F.col(n)).over(inside) for n, s in zip(inputs, specs)})
 
     totals = []
     for name, spec in zip(inputs, specs):
@@ -187,23 +160,19 @@ def running(
             totals.append(F.max_by(F.col(name), F.when(F.col(name).isNotNull(), stamped)).alias(f"{name}_t"))
         else:
             totals.append(_IN_BLOCK[spec.kind](F.col(name)).alias(f"{name}_t"))
-    before = Window.orderBy(*blocks).rowsBetween(Window.unboundedPreceding, -1)
-    if keys:
-        before = Window.partitionBy(*keys).orderBy(*blocks).rowsBetween(Window.unboundedPreceding, -1)
-    openings = marked.where("_is_hot").groupBy(*keys, *blocks).agg(*totals)
-    openings = openings.select(
-        *[F.col(c).alias(f"_o_{c}") for c in [*keys, *blocks]],
+    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    at = [*keys, "_block"]
+    openings = blocks.groupBy(*at).agg(*totals).select(
+        *[F.col(c).alias(f"_o_{c}") for c in at],
         *[_CARRY[s.kind](F.col(f"{n}_t")).over(before).alias(f"{n}_c") for n, s in zip(inputs, specs)],
     )
-
-    on = [F.col(c) == F.col(f"_o_{c}") for c in [*keys, *blocks]]
-    joined = rows.join(openings, on, "left").drop(*[f"_o_{c}" for c in [*keys, *blocks]])
-    for name, spec in zip(inputs, specs):
-        joined = joined.withColumn(spec.out, _combine(spec.kind, F.col(f"{name}_c"), F.col(f"{name}_in")))
-    helper = ["_is_hot", *blocks]
-    for name in inputs:
-        helper += [name, f"{name}_in", f"{name}_c"]
-    return joined.drop(*helper)
+    # One row for each block and each hot key that begins in it.
+    on = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_o_{c}")) for c in at])
+    joined = rows.join(F.broadcast(openings), on, "left")
+    joined = joined.withColumns(
+        {s.out: _combine(s.kind, F.col(f"{n}_c"), F.col(f"{n}_in")).cast(kinds[s.out]) for n, s in zip(inputs, specs)}
+    ).select(*df.columns, *[s.out for s in specs])
+    return joined if light is None else joined.unionByName(plain(light))
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:

@@ -27,7 +27,6 @@ def running_balance(
     order: tuple[str, str] = ("date", "tx_id"),
     share: float = HOT_SHARE,
     floor: int = HOT_FLOOR,
-    width: int = 1_000_000,
 ) -> DataFrame:
     opening = start if isinstance(start, Column) else F.lit(start).cast("decimal(18,2)")
     moved = running(
@@ -37,7 +36,6 @@ def running_balance(
         [Running("_moved", "sum", signed_amount())],
         share=share,
         floor=floor,
-        width=width,
     )
     return moved.withColumn("balance", opening + F.col("_moved")).drop("_moved")
 

@@ -69,12 +69,15 @@ def classify(df: DataFrame, rules: Sequence[Rule] | None = None, by_priority: bo
     matched, ordered = best_rule(df, load_rules() if rules is None else rules, by_priority)
     at = F.col("_rule")
     miss = at.isNull()
+    kept = lambda c, kind: F.col(c).cast(kind) if c in df.columns else F.lit(None).cast(kind)
     out = {
-        "merchant_id": _pick([r.merchant for r in ordered], at, "string"),
+        "merchant_id": F.when(~miss, F.coalesce(_pick([r.merchant for r in ordered], at, "string"), kept("merchant_id", "string"))),
         "category_id": F.when(miss, "uncategorized").otherwise(
-            _pick([r.category for r in ordered], at, "string")
+            F.coalesce(_pick([r.category for r in ordered], at, "string"), kept("category_id", "string"))
+        ),
+        "confidence": F.when(miss, F.lit(0.0)).otherwise(
+            F.coalesce(_pick([r.confidence for r in ordered], at, "double"), kept("confidence", "double"))
         ),
-        "confidence": F.when(miss, F.lit(0.0)).otherwise(_pick([r.confidence for r in ordered], at, "double")),
         "rule_id": _pick([r.id for r in ordered], at, "string"),
     }
     if "type" in df.columns:

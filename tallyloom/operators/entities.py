@@ -100,11 +100,12 @@ def count_entities(facts: DataFrame) -> DataFrame:
 
 
 def entity_sightings(
-    df: DataFrame, share: float = HOT_SHARE, floor: int = HOT_FLOOR, skip: int = 0
+    df: DataFrame, share: float = HOT_SHARE, floor: int = HOT_FLOOR
 ) -> DataFrame:
     """Which sighting of its merchant each row is, and whether a human should look.
 
-    ``df``: merchant_id, date, tx_id, confidence, fallback. The order (date, tx_id) is total.
+    ``df``: merchant_id, date, tx_id, confidence, fallback. The order (date, tx_id) is total. A row that needs no look but has
+    a name from the fallback carries that as its reason.
     """
     rows = df.where(F.col("merchant_id").isNotNull())
     counted = running(
@@ -114,7 +115,6 @@ def entity_sightings(
         [Running("sighting", "count", F.lit(1)), Running("first_seen", "min", F.col("date"))],
         share=share,
         floor=floor,
-        skip=skip,
     )
     low, new = F.col("confidence") < REVIEW_BELOW, F.col("sighting") == 1
     return counted.withColumns(
@@ -123,19 +123,20 @@ def entity_sightings(
             "needs_verification": low | new,
             "verification_reason": F.when(low, REASONS["low"])
             .when(new, REASONS["new"])
-            .when(F.lit(False), REASONS["fallback"]),
+            .when(F.col("fallback"), REASONS["fallback"]),
         }
     )
 
 
 def entity_upsert(df: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """Merchants seen in ``df`` folded into the existing table: counts, first and last day,
-    confidence range and state. Aliases are kept in their own table (``entity_aliases``), since a merchant may
+    confidence range and state. Name and fallback are those of the first row by (date, tx_id). Aliases are kept in their own table (``entity_aliases``), since a merchant may
     have any number of them."""
     batch = df.where(F.col("merchant_id").isNotNull()).groupBy("merchant_id").agg(
         F.count(F.lit(1)).alias("tx_count"),
         F.min("date").alias("first_seen"),
         F.max("date").alias("last_seen"),
+        F.min(F.struct("date", "tx_id"))["tx_id"].alias("first_tx"),
         F.min_by("merchant_name", F.struct("date", "tx_id")).alias("merchant_name"),
         F.min_by("fallback", F.struct("date", "tx_id")).alias("fallback"),
         F.avg("confidence").alias("avg_confidence"),
@@ -146,8 +147,9 @@ def entity_upsert(df: DataFrame, existing: DataFrame | None = None) -> DataFrame
         F.sum("tx_count").alias("tx_count"),
         F.min("first_seen").alias("first_seen"),
         F.max("last_seen").alias("last_seen"),
-        F.min_by("merchant_name", "first_seen").alias("merchant_name"),
-        F.min_by("fallback", "first_seen").alias("fallback"),
+        F.min(F.struct("first_seen", "first_tx"))["first_tx"].alias("first_tx"),
+        F.min_by("merchant_name", F.struct("first_seen", "first_tx")).alias("merchant_name"),
+        F.min_by("fallback", F.struct("first_seen", "first_tx")).alias("fallback"),
         (F.sum(F.col("avg_confidence") * F.col("tx_count")) / F.sum("tx_count")).alias("avg_confidence"),
         F.min("min_confidence").alias("min_confidence"),
     )
@@ -181,8 +183,20 @@ def find_entity(df: DataFrame, entities: DataFrame, aliases: DataFrame, tax_ids:
     ).drop("_by_id", "_by_alias", "_by_rfc")
 
 
+def merge_aliases(aliases: DataFrame, merges: DataFrame) -> DataFrame:
+    """Aliases under the entity that theirs is folded into; the name of a source is an alias of its target."""
+    to = merges.select(F.col("source_id").alias("merchant_id"), "target_id")
+    moved = aliases.join(to, "merchant_id", "left").withColumn("merchant_id", F.coalesce("target_id", "merchant_id"))
+    own = merges.select(F.col("target_id").alias("merchant_id"), F.col("source_id").alias("alias"), F.lit(0).cast("bigint").alias("rows"), F.lit(None).cast("date").alias("first_seen"))
+    every = moved.select("merchant_id", "alias", "rows", "first_seen").unionByName(own)
+    return every.groupBy("merchant_id", "alias").agg(F.sum("rows").alias("rows"), F.min("first_seen").alias("first_seen"))
+
+
 def merge_entities(entities: DataFrame, merges: DataFrame) -> DataFrame:
-    """Fold each source entity of ``merges`` (source_id, target_id) into its target."""
+    """Fold each source entity of ``merges`` (source_id, target_id) into its target: counts, days, confidences and state.
+
+    The target's name stays; without a target row the largest source lends its name, ties by name.
+    """
     to = merges.select(F.col("source_id").alias("merchant_id"), "target_id")
     moved = entities.join(to, "merchant_id", "left")
     own = F.col("target_id").isNull()
@@ -191,9 +205,12 @@ def merge_entities(entities: DataFrame, merges: DataFrame) -> DataFrame:
         F.sum("tx_count").alias("tx_count"),
         F.min("first_seen").alias("first_seen"),
         F.max("last_seen").alias("last_seen"),
-        F.max_by("merchant_name", F.struct("_own", "tx_count")).alias("merchant_name"),
+        F.max_by("merchant_name", F.struct("_own", "tx_count", "merchant_name")).alias("merchant_name"),
+        F.max_by("fallback", F.struct("_own", "tx_count", "merchant_name")).alias("fallback"),
+        (F.sum(F.col("avg_confidence") * F.col("tx_count")) / F.sum("tx_count")).alias("avg_confidence"),
+        F.min("min_confidence").alias("min_confidence"),
         F.count_if(~F.col("_own")).alias("merged_from"),
-    )
+    ).withColumn("state", entity_state(F.col("fallback"), F.col("tx_count")))
 
 
 def sighting_stats(df: DataFrame) -> DataFrame:

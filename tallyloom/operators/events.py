@@ -17,6 +17,8 @@ IMPORTED = "transaction-imported"
 MERGING = ["transaction-classified", "transaction-corrected", "transaction-verified"]
 DUPLICATE_DETECTED, DUPLICATE_RESOLVED = "duplicate-detected", "duplicate-resolved"
 RECONCILED, DISCREPANCY = "balance-reconciled", "discrepancy-detected"
+#: Place of an event among others of the same time, if its maker gives none: the order of a transaction's life.
+DEFAULT_SEQ = {name: i for i, name in enumerate([IMPORTED, *MERGING, DUPLICATE_DETECTED, DUPLICATE_RESOLVED, RECONCILED, DISCREPANCY])}
 EVENT_SCHEMA = (
     "event_id STRING, seq BIGINT, event_type STRING, aggregate_type STRING, aggregate_id STRING, "
     "ts TIMESTAMP, author STRING, source STRING, data STRING, metadata STRING"
@@ -44,9 +46,12 @@ def build_events(
     source: str = "batch",
     seq: Column | None = None,
 ) -> DataFrame:
-    """Rows as events. Null payload fields are left out, so absence means "not changed"."""
+    """Rows as events. Null payload fields are left out, so absence means "not changed".
+
+    ``seq`` orders events of one time; by default an import comes first and a verification after what it verifies.
+    """
     body = F.to_json(F.struct(*[F.col(c) for c in payload]))
-    number = seq if seq is not None else F.lit(None).cast("bigint")
+    number = seq if seq is not None else F.lit(DEFAULT_SEQ.get(event_type, len(DEFAULT_SEQ)))
     return df.select(
         F.sha2(F.concat_ws("|", F.lit(event_type), F.col(aggregate_id).cast("string"), ts.cast("string"), body), 256)
         .alias("event_id"),
@@ -183,7 +188,7 @@ def project_state(
     """Current transactions, or those at time ``at``: one row per transaction.
 
     An import replaces the row, later classified, corrected and verified events overwrite the fields
-    they carry, unknown types are ignored, ties in time go by ``seq``. ``ids`` restricts the
+    they carry, unknown types are ignored, ties in time go by ``seq``, then by the event's type and content. ``ids`` restricts the
     projection before anything is aggregated.
     """
     fields = dict(fields or LEDGER_FIELDS)
@@ -194,7 +199,7 @@ def project_state(
     schema = ", ".join(f"`{n}` {t}" for n, t in fields.items())
     rows = log.select(
         "aggregate_id",
-        F.struct("ts", "seq").alias("o"),
+        F.struct("ts", "seq", F.array_position(F.array(*map(F.lit, [IMPORTED, *MERGING])), F.col("event_type")).alias("rank"), "data").alias("o"),
         (F.col("event_type") == IMPORTED).alias("is_import"),
         F.from_json("data", schema).alias("p"),
     )

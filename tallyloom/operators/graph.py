@@ -1,6 +1,6 @@
 """Equivalence chains and relations between entities.
 
-Each entity points to at most one other (its first ``same_as`` target). Chains are followed by
+Each entity points to at most one other (its latest ``same_as`` target). Chains are followed by
 pointer doubling: the number of rounds grows with the logarithm of the longest chain. Every
 round is written to the shared folder, which cuts lineage and survives lost executors.
 """
@@ -14,9 +14,33 @@ from tallyloom.functions.skew import HOT_FLOOR, HOT_SHARE, hot_groups, spread_jo
 from tallyloom.runtime import materialise
 
 
-def first_targets(edges: DataFrame) -> DataFrame:
-    """One out-edge per entity; self references are loops and stay."""
-    return edges.groupBy("src").agg(F.min("dst").alias("dst"))
+def latest_targets(edges: DataFrame, order: str | None = "ts") -> DataFrame:
+    """One out-edge per entity, the latest by column ``order``, ties to the smallest target; self references are loops and stay.
+
+    Edges without such a column are of one time.
+    """
+    if order is None or order not in edges.columns:
+        return edges.groupBy("src").agg(F.min("dst").alias("dst"))
+    newest = edges.groupBy("src", "dst").agg(F.max(order).alias("_at"))
+    best = newest.groupBy("src").agg(F.max("_at").alias("_at"))
+    return newest.join(best, "src").where(newest["_at"].eqNullSafe(best["_at"])).groupBy("src").agg(F.min("dst").alias("dst"))
+
+
+def chain_paths(edges: DataFrame, ids: DataFrame, order: str | None = "ts") -> DataFrame:
+    """The places that the chains of ``ids`` (column ``id``) pass, a row each: id, hop, at.
+
+    A chain ends at an entity without a target, or where it would meet an entity again. One round per hop, over the rows still walking.
+    """
+    step = materialise(latest_targets(edges, order), "links").select(F.col("src").alias("at"), F.col("dst").alias("next"))
+    walked = materialise(ids.select("id", F.lit(0).cast("bigint").alias("hop"), F.col("id").alias("at")).distinct(), "path")
+    front, hop = walked, 0
+    while True:
+        hop += 1
+        ahead = front.join(step, "at").select("id", F.lit(hop).cast("bigint").alias("hop"), F.col("next").alias("at"))
+        front = materialise(ahead.join(walked.select("id", "at"), ["id", "at"], "left_anti").select("id", "hop", "at"), "path")
+        if front.isEmpty():
+            return walked
+        walked = walked.unionByName(front)
 
 
 def _double(active: DataFrame, every: DataFrame, share: float, floor: int) -> DataFrame:
@@ -52,14 +76,14 @@ def _follow(start: DataFrame, rounds: int, share: float, floor: int, label: str)
 
 
 def canonicalise(
-    edges: DataFrame, entities: DataFrame | None = None, share: float = HOT_SHARE, floor: int = HOT_FLOOR
+    edges: DataFrame, entities: DataFrame | None = None, share: float = HOT_SHARE, floor: int = HOT_FLOOR, order: str | None = "ts"
 ) -> DataFrame:
     """Canonical entity of each entity: (id, canonical_id, hops, loop).
 
     On a chain that runs into a loop, the walk ends where it first meets an entity again: the
     entry of the loop, after the hops to it and once around.
     """
-    links = materialise(first_targets(edges), "links")
+    links = materialise(latest_targets(edges, order), "links")
     nodes = links.count()
     rounds = max(1, nodes.bit_length() + 1)
     ends = links.select(F.col("dst").alias("at")).distinct().join(

@@ -72,7 +72,10 @@ def variation_rows(registry: DataFrame, entity: str = "entity_id") -> DataFrame:
     )
 
 
-def match_names(texts: DataFrame, registry: DataFrame, min_length: int = 3) -> DataFrame:
+HEAD = 3
+
+
+def match_names(texts: DataFrame, registry: DataFrame, min_length: int = 1) -> DataFrame:
     """Best entity for each text of column ``text`` (comparison form, distinct).
 
     Canonical name, then exact variation, then longest contained variation; ties by id. Contained
@@ -84,13 +87,14 @@ def match_names(texts: DataFrame, registry: DataFrame, min_length: int = 3) -> D
 
     inner = names.where((F.col("tier") == 2) & (F.length("name") >= min_length))
     owner = inner.groupBy("name").agg(F.min("entity_id").alias("owner"))
-    heads = owner.groupBy(F.substring("name", 1, min_length).alias("head")).agg(
+    # A name is looked for where its first characters stand: up to three, so short names have heads of their own.
+    heads = owner.groupBy(F.substring("name", 1, HEAD).alias("head")).agg(
         F.collect_set(F.length("name")).alias("lengths")
     )
     open_texts = tried.where(F.col("hit").isNull()).select("text").where(F.length("text") >= min_length)
-    places = open_texts.select(
-        "text", F.explode(F.sequence(F.lit(1), F.length("text") - (min_length - 1))).alias("at")
-    ).withColumn("head", F.substr("text", F.col("at"), F.lit(min_length)))
+    places = open_texts.select("text", F.explode(F.sequence(F.lit(1), F.length("text"))).alias("at")).select(
+        "text", "at", F.explode(F.sequence(F.lit(1), F.least(F.lit(HEAD), F.length("text") - F.col("at") + 1))).alias("_n")
+    ).select("text", "at", F.substr("text", F.col("at"), F.col("_n")).alias("head"))
     spans = places.join(heads, "head").select("text", "at", F.explode("lengths").alias("len"))
     spans = spans.where(F.col("at") + F.col("len") - 1 <= F.length("text"))
     pieces = spans.select("text", F.substr("text", F.col("at"), F.col("len")).alias("name"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-PARTS = ["ledger", "rules", "entities", "events"]
+PARTS = ["ledger", "rules", "entities", "events", "cases"]
 
 
 def all_queries() -> dict:

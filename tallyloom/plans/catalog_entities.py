@@ -221,12 +221,13 @@ def _seen(s, d):
 
 
 _SEEN = "seen AS (SELECT tx_id, date, merchant AS merchant_id, CAST(amount AS DOUBLE) / 100000 AS confidence, source = 'A' AS fallback FROM feed)"
-add("entity_sightings", lambda s, d: entities.entity_sightings(_seen(s, d), skip=3).select("tx_id", "sighting", "resolution", "needs_verification", "verification_reason", "first_seen"), ["feed"], """
+add("entity_sightings", lambda s, d: entities.entity_sightings(_seen(s, d)).select("tx_id", "sighting", "resolution", "needs_verification", "verification_reason", "first_seen"), ["feed"], """
 SELECT tx_id, sighting, CASE WHEN sighting = 1 THEN 'new-entity' ELSE 'existing-entity' END AS resolution, confidence < 0.7 OR sighting = 1 AS needs_verification,
-  CASE WHEN confidence < 0.7 THEN 'Confidence below manual review threshold' WHEN sighting = 1 THEN 'First time seeing this merchant' END AS verification_reason,
+  CASE WHEN confidence < 0.7 THEN 'Confidence below manual review threshold' WHEN sighting = 1 THEN 'First time seeing this merchant'
+    WHEN fallback THEN 'Generated from fallback (no rule match)' END AS verification_reason,
   strftime(first_seen, '%Y-%m-%d') AS first_seen FROM (SELECT *, row_number() OVER w AS sighting, min(date) OVER w AS first_seen FROM seen
   WINDOW w AS (PARTITION BY merchant_id ORDER BY date, tx_id ROWS UNBOUNDED PRECEDING))""", _SEEN)
-add("sighting_stats", lambda s, d: entities.sighting_stats(entities.entity_sightings(_seen(s, d), skip=3)), ["feed"], """
+add("sighting_stats", lambda s, d: entities.sighting_stats(entities.entity_sightings(_seen(s, d))), ["feed"], """
 SELECT COUNT(*) AS total, COUNT(*) FILTER (n = 1) AS new_entities, COUNT(*) FILTER (n > 1) AS existing, COUNT(*) FILTER (n = 1 OR confidence < 0.7) AS needs_verification,
   COUNT(DISTINCT merchant_id) AS unique_merchants FROM (SELECT *, row_number() OVER (PARTITION BY merchant_id ORDER BY date, tx_id) AS n FROM seen)""", _SEEN)
 

@@ -60,7 +60,7 @@ SELECT tx_id, CASE WHEN account_id % 3 = 0 THEN 'main' ELSE 'side' END AS book,
   CAST(SUM({SIGNED}) OVER (PARTITION BY CASE WHEN account_id % 3 = 0 THEN 'main' ELSE 'side' END
   ORDER BY date, tx_id ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS balance FROM orders_ledger""")
 
-add("running_balance_global", lambda s, d: balance.running_balance(led(s, d), 0, None, width=2000).select(
+add("running_balance_global", lambda s, d: balance.running_balance(led(s, d), 0, None).select(
     "tx_id", "balance"), ["orders_ledger"], f"""
 SELECT tx_id, CAST(SUM({SIGNED}) OVER (ORDER BY date, tx_id ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS balance
 FROM orders_ledger""")
@@ -232,14 +232,14 @@ add("keep_first_by_key", lambda s, d: first_per_key(
 SELECT account_id, merchant, tx_id, CAST(amount AS DOUBLE) AS amount FROM (SELECT *, row_number() OVER (
   PARTITION BY account_id, merchant ORDER BY tx_id) AS rn FROM orders_ledger) WHERE rn = 1""")
 
-add("row_batches", lambda s, d: sequences.row_batches(led(s, d), ["date", "tx_id"], 50, ["tx_id", "amount"], width=2000).select(
+add("row_batches", lambda s, d: sequences.row_batches(led(s, d), ["date", "tx_id"], 50, ["tx_id", "amount"]).select(
     "batch", "rows", F.aggregate("items", F.lit(0).cast("decimal(28,2)"), lambda a, x: (a + x["amount"]).cast("decimal(28,2)")).alias("total"),
     F.col("items")[0]["tx_id"].alias("first_id")), ["orders_ledger"], """
 SELECT CAST(p // 50 AS BIGINT) AS batch, COUNT(*) AS rows, CAST(SUM(amount) AS DOUBLE) AS total, arg_min(tx_id, p) AS first_id
 FROM (SELECT *, row_number() OVER (ORDER BY date, tx_id) - 1 AS p FROM orders_ledger) GROUP BY 1""")
 
 add("sliding_windows", lambda s, d: sequences.sliding_windows(
-    led(s, d), ["date", "tx_id"], 3, ["tx_id", "amount"], chunk=1000, width=2000).select(
+    led(s, d), ["date", "tx_id"], 3, ["tx_id", "amount"], chunk=1000).select(
         "start", F.aggregate("items", F.lit(0).cast("decimal(28,2)"), lambda a, x: (a + x["amount"]).cast("decimal(28,2)")).alias("total"),
         F.col("items")[2]["tx_id"].alias("last_id")), ["orders_ledger"], """
 SELECT start, CAST(total AS DOUBLE) AS total, last_id FROM (SELECT p AS start, amount + LEAD(amount, 1) OVER w + LEAD(amount, 2) OVER w AS total,

@@ -439,10 +439,10 @@ _SEG = """own AS (SELECT *, regexp_matches(text, '^\\d{1,2}\\s+[A-Z]{3}\\s+') AS
   OVER (PARTITION BY file ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS rec FROM lines),
 ctx AS (SELECT file, rec, text, row_number() OVER (PARTITION BY file, rec ORDER BY line_no) AS k FROM own
   WHERE rec IS NOT NULL AND NOT st AND text NOT LIKE 'SALDO%' AND text <> '-----'),
-grp AS (SELECT file, rec, string_agg(text, '|' ORDER BY k) AS context_lines, min(CASE WHEN text LIKE 'RFC/CURP:%' THEN k END) AS rk, arg_min(CASE WHEN text LIKE 'RFC/CURP:%' THEN trim(replace(text, 'RFC/CURP:', '')) END, k) FILTER (text LIKE 'RFC/CURP:%') AS rfc,
+grp AS (SELECT file, rec, string_agg(CASE WHEN k <= 10 THEN text END, '|' ORDER BY k) AS context_lines, min(CASE WHEN text LIKE 'RFC/CURP:%' THEN k END) AS rk, arg_min(CASE WHEN text LIKE 'RFC/CURP:%' THEN trim(replace(text, 'RFC/CURP:', '')) END, k) FILTER (text LIKE 'RFC/CURP:%') AS rfc,
   string_agg(CASE WHEN contains(text, 'FOLIO:') THEN text END, ' | ' ORDER BY k) AS reference,
   CASE WHEN bool_or(contains(text, 'TRANSFERENCIA A')) THEN 'JUANA PEREZ' WHEN bool_or(text = 'MARIA LOPEZ DIAZ') THEN 'MARIA LOPEZ DIAZ' END AS beneficiary_name
-  FROM ctx WHERE k <= 10 GROUP BY 1, 2)"""
+  FROM ctx GROUP BY 1, 2)"""
 add("segment_statement_lines", lambda s, d: L.segment_statement_lines(_lines(s, d)).select(
     "file", "record_line", "date", "description", "amount", "retiro", "deposit", "beneficiary_name", "rfc", "reference", "context_lines"), [], """
 SELECT m.file, m.line_no AS record_line, '17-JUN' AS date, regexp_extract(m.text, '^17 JUN (.+?) \\$', 1) AS description, a AS amount,

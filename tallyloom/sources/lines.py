@@ -54,10 +54,9 @@ def relevant_context(text: Column) -> Column:
 def segment_lines(
     lines: DataFrame, start_pattern: str = RECORD_START, max_context: int = MAX_CONTEXT
 ) -> DataFrame:
-    """One row per record: file, first line number, main line and its first relevant lines.
+    """One row per record: file, first line number, main line, its relevant lines (``all_lines``) and the first ``max_context`` of them.
 
-    Lines before the first record of a file belong to none. Surplus context is cut by a ranked
-    filter, which Spark applies before the shuffle, so lists and groups stay short.
+    Lines before the first record of a file belong to none.
     """
     marked = lines.select("file", "line_no", "text", F.col("text").rlike(start_pattern).alias("_start"))
     owned = running(
@@ -67,15 +66,14 @@ def segment_lines(
     useful = owned.where(
         F.col("record_line").isNotNull() & (F.col("_start") | relevant_context(F.col("text")))
     )
-    place = F.row_number().over(Window.partitionBy("file", "record_line").orderBy("line_no"))
-    kept = useful.withColumn("_place", place).where(F.col("_place") <= max_context + 1)
     context = F.collect_list(F.when(~F.col("_start"), F.struct("line_no", "text")))
-    records = kept.groupBy("file", "record_line").agg(
+    records = useful.groupBy("file", "record_line").agg(
         F.max(F.when(F.col("_start"), F.col("text"))).alias("main_line"),
         F.array_sort(context).alias("_lines"),
     )
+    texts = F.transform("_lines", lambda x: x["text"])
     return records.select(
-        "file", "record_line", "main_line", F.transform("_lines", lambda x: x["text"]).alias("context_lines")
+        "file", "record_line", "main_line", F.slice(texts, 1, max_context).alias("context_lines"), texts.alias("all_lines")
     )
 
 
@@ -134,8 +132,9 @@ def reference_lines(context: Column) -> Column:
 
 
 def parse_records(records: DataFrame) -> DataFrame:
-    """Records as statement rows; main lines without the two amounts are left out."""
+    """Records as statement rows; main lines without the two amounts are left out. Fields are read from all context lines."""
     line = F.col("main_line")
+    context = F.col("all_lines" if "all_lines" in records.columns else "context_lines")
     part = lambda i: F.regexp_extract(line, RECORD_LINE, i)
     amount = parse_money(part(4))
     side = direction_of(line)
@@ -147,9 +146,9 @@ def parse_records(records: DataFrame) -> DataFrame:
         amount.alias("amount"),
         F.when(side == "retiro", amount).alias("retiro"),
         F.when(side == "deposit", amount).alias("deposit"),
-        beneficiary(F.col("context_lines")).alias("beneficiary_name"),
-        tax_id_line(F.col("context_lines")).alias("rfc"),
-        reference_lines(F.col("context_lines")).alias("reference"),
+        beneficiary(context).alias("beneficiary_name"),
+        tax_id_line(context).alias("rfc"),
+        reference_lines(context).alias("reference"),
         "context_lines",
         (F.size("context_lines") > 0).alias("has_context"),
     )

@@ -51,21 +51,22 @@ def detect_source(file_name: Column) -> Column:
 
 
 def numbered_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Text lines with their file and 1-based line number.
+    """Text lines with their file's name and 1-based line number; files of one name in several folders are numbered apart.
 
     A file may be split over many tasks: a line's place is the start of its split and its rank
     in that split, counted with the block-wise running count.
     """
     lines = spark.read.text(paths).select(
+        F.col("_metadata.file_path").alias("_path"),
         F.col("_metadata.file_name").alias("source_file"),
         F.col("_metadata.file_block_start").alias("_start"),
         F.monotonically_increasing_id().alias("_rank"),
         F.col("value").alias("text"),
     )
     counted = running(
-        lines, ["source_file"], ["_start", "_rank"], [Running("source_line", "count", F.lit(1))], exact=["_start"]
+        lines, ["_path"], ["_start", "_rank"], [Running("source_line", "count", F.lit(1))]
     )
-    return counted.drop("_start", "_rank")
+    return counted.drop("_path", "_start", "_rank")
 
 
 def split_fields(lines: DataFrame, layout: str, text: str = "text") -> DataFrame:
@@ -134,12 +135,13 @@ def _project(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
         "original_amount": "decimal(18,2)", "exchange_rate": "decimal(18,6)", "source_line": "bigint",
     }
     filled = {n: columns.get(n, F.lit(None)).cast(types.get(n, "string")) for n in OUTPUT if n != "amount"}
-    out = df.select(*[c.alias(n) for n, c in filled.items()])
+    line = [F.col("raw_line")] if "raw_line" in df.columns else []
+    out = df.select(*[c.alias(n) for n, c in filled.items()], *line)
     out = out.withColumn("amount", F.abs("raw_amount"))
     made = N.transaction_id(
         F.col("date"), F.col("description"), F.col("amount"), F.col("source_file"), F.col("source_line")
     )
-    return out.withColumn("tx_id", F.coalesce("tx_id", made)).select(*OUTPUT)
+    return out.withColumn("tx_id", F.coalesce("tx_id", made)).select(*OUTPUT, *line)
 
 
 def project_bofa(rows: DataFrame) -> DataFrame:
@@ -251,17 +253,23 @@ def _split_source(lines: DataFrame, source: str) -> tuple[DataFrame, DataFrame]:
     broken = rows.where(F.col("date").isNull() | F.col("amount").isNull()).select(
         "source_file",
         "source_line",
-        F.col("description").alias("raw_line"),
+        "raw_line",
         F.when(F.col("date").isNull(), "bad-date").otherwise("bad-amount").alias("reason"),
     )
-    good = rows.where(F.col("date").isNotNull() & F.col("amount").isNotNull())
+    good = rows.where(F.col("date").isNotNull() & F.col("amount").isNotNull()).drop("raw_line")
     return good, short.unionByName(broken)
 
 
-def read_stripe(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    feed = spark.read.schema(STRIPE_SCHEMA).option("multiLine", "true").json(paths)
-    rows = feed.select(F.col("_metadata.file_name").alias("source_file"), F.explode("data").alias("tx"))
-    return project_stripe(rows)
+def read_stripe(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame, DataFrame]:
+    """Transactions of Stripe feeds, and the files that are no such feed, with their text."""
+    reader = spark.read.schema(f"{STRIPE_SCHEMA}, _broken STRING").option("columnNameOfCorruptRecord", "_broken")
+    feed = reader.option("multiLine", "true").json(paths).select(F.col("_metadata.file_name").alias("source_file"), "data", "_broken")
+    rows = feed.where("_broken IS NULL").select("source_file", F.explode("data").alias("tx"))
+    unreadable = F.col("_broken").isNotNull() | F.col("data").isNull()
+    broken = feed.where(unreadable).select(
+        "source_file", F.lit(None).cast("bigint").alias("source_line"), F.col("_broken").alias("raw_line"), F.lit("bad-json").alias("reason")
+    )
+    return project_stripe(rows), broken
 
 
 def read_combined(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame, DataFrame]:
@@ -295,5 +303,7 @@ def read_statements(spark: SparkSession, csv_glob: str, json_glob: str | None =
     for g, b in zip(good[1:], bad[1:]):
         rows, quarantine = rows.unionByName(g), quarantine.unionByName(b)
     if json_glob:
-        rows = rows.unionByName(read_stripe(spark, json_glob), allowMissingColumns=True)
+        feed, broken = read_stripe(spark, json_glob)
+        rows = rows.unionByName(feed, allowMissingColumns=True)
+        quarantine = quarantine.unionByName(broken)
     return rows, quarantine

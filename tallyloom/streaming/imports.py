@@ -70,7 +70,8 @@ def event_sink(ledger_path: str, events_path: str, key: str = "tx_id") -> Callab
         store(batch, batch_id)
         fresh = batch.sparkSession.read.parquet(f"{ledger_path}/batch_id={batch_id}")
         at = F.lit(batch_id).cast("bigint")
-        when = F.to_timestamp(F.col("date"))
+        # When it was imported, not the transaction's day, so that the log's past shows what was known then.
+        when = F.current_timestamp()
         first = imported(fresh, when, seq=at * 2)
         second = classified(fresh, when, seq=at * 2 + 1)
         first.unionByName(second).write.mode("overwrite").parquet(f"{events_path}/batch_id={batch_id}")

@@ -82,7 +82,7 @@ def test_running_equals_plain_window(spark, floor):
         F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") % 11).cast("int")).alias("d"), F.col("id").alias("i"),
         F.when(F.col("id") % 4 == 0, F.col("id")).alias("v"))
     specs = [Running("s", "sum", F.col("v")), Running("n", "count", F.lit(1)), Running("l", "last", F.col("v")), Running("m", "max", F.col("v"))]
-    got = running(df, ["k"], ["d", "i"], specs, share=0.2, floor=floor, width=50)
+    got = running(df, ["k"], ["d", "i"], specs, share=0.2, floor=floor)
     df.createOrReplaceTempView("plain_rows")
     want = spark.sql("""SELECT k, d, i, sum(v) OVER w AS s, count(1) OVER w AS n, last(v, true) OVER w AS l, max(v) OVER w AS m
         FROM plain_rows WINDOW w AS (PARTITION BY k ORDER BY d, i ROWS UNBOUNDED PRECEDING)""")
@@ -182,7 +182,11 @@ def test_statement_files(spark, tmp_path):
     (tmp_path / "bofa_march.csv").write_text('Date,Description,Amount\n03/20/2024,"STARBUCKS, #1 DES:X",-45.99\n03/21/2024,short\nbad,X,1.00\n')
     (tmp_path / "apple_1.csv").write_text("Date,Description,Amount,Category,Merchant\n03/20/2024,PAYMENT THANK YOU,10.00,Payment,\n")
     (tmp_path / "other.csv").write_text("h\nx\n")
-    good, bad = S.read_statements(spark, str(tmp_path / "*.csv"))
+    (tmp_path / "more").mkdir()
+    (tmp_path / "more" / "bofa_march.csv").write_text("Date,Description,Amount\n03/22/2024,SHOP,x1\n")
+    good, bad = S.read_statements(spark, [str(tmp_path / "*.csv"), str(tmp_path / "more" / "*.csv")])
+    assert [(r.source_line, r.raw_line) for r in bad.where("reason = 'bad-amount'").collect()] == [(2, "03/22/2024,SHOP,x1")]
+    bad = bad.where("reason <> 'bad-amount'")
     assert values(good, "bank", "source_line", "merchant", "amount", "type") == [
         ("apple-card", 2, "PAYMENT", Decimal("10.00"), "transfer"), ("bofa", 2, "STARBUCKS,", Decimal("45.99"), "expense")]
     assert values(bad, "source_line", "reason") == [(2, "unknown-source"), (3, "short-row"), (4, "bad-date")]
@@ -199,7 +203,10 @@ def test_combined_file(spark, tmp_path):
 
 def test_stripe_feed(spark, tmp_path):
     (tmp_path / "stripe.json").write_text('{"data":[{"id":"t1","amount":286770,"currency":"usd","description":"Payment from Ana","created":1735084800,"type":"charge"}]}')
-    got = S.read_stripe(spark, str(tmp_path / "stripe.json")).first()
+    (tmp_path / "stripe_broken.json").write_text('{"data":[{"id":')
+    rows, broken = S.read_stripe(spark, str(tmp_path / "*.json"))
+    assert [(r.source_file, r.reason) for r in broken.collect()] == [("stripe_broken.json", "bad-json")] and rows.count() == 1
+    got = rows.first()
     assert (got.tx_id, got.amount, got.merchant, str(got.date), got.type, got.currency) == ("t1", Decimal("2867.70"), "Ana", "2024-12-25", "income", "USD")
 
 
@@ -208,3 +215,17 @@ def test_plans_have_no_cross_join_or_python(spark):
     for plan in (duplicates.near_duplicates(df), zscore_anomalies(df)):
         text = plan._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in text and "BatchEvalPython" not in text and "NestedLoop" not in text
+
+
+@pytest.mark.parametrize("floor", [10**9, 3])
+@pytest.mark.parametrize("keys", [["k"], []])
+@pytest.mark.parametrize("kind", ["decimal(18,2)", "double", "date", "string", "timestamp"])
+def test_running_orders_any_type(spark, kind, keys, floor):
+    made = {"decimal(18,2)": F.col("id") * 3.5 - 90, "double": F.col("id") * 1.25 - 50, "date": F.date_add(F.lit("1969-12-01").cast("date"), F.col("id").cast("int")),
+            "string": F.concat(F.lit("tx-"), F.sha2(F.col("id").cast("string"), 256)), "timestamp": F.timestamp_seconds(F.col("id") * 1000 - 30000)}[kind]
+    df = spark.range(120).select((F.col("id") % 3).alias("k"), F.when(F.col("id") % 10 == 0, F.lit(None)).otherwise(made).cast(kind).alias("o"), "id")
+    df = df.withColumn("k", F.when(F.col("k") == 2, F.lit(None)).otherwise(F.col("k")))
+    got = running(df, keys, ["o", "id"], [Running("n", "count", F.lit(1)), Running("s", "sum", F.col("id"))], share=0.01, floor=floor)
+    df.createOrReplaceTempView("typed_rows")
+    want = spark.sql(f"SELECT id, count(1) OVER w AS n, sum(id) OVER w AS s FROM typed_rows WINDOW w AS ({'PARTITION BY k' if keys else ''} ORDER BY o NULLS FIRST, id ROWS UNBOUNDED PRECEDING)")
+    assert values(got, "id", "n", "s") == values(want, "id", "n", "s")
