@@ -9,8 +9,9 @@ occurs in one document only rules all its windows out. The steps:
 2. Each part cuts its texts into fragments: runs of windows with one shared anchor. It tells the shard of the anchor that it
    has the fragment, by a hash, and its smallest document with it. Where more than ``hot`` documents share an anchor, each window is a
    fragment of its own, dealt by its own hash, so a passage that a third of all documents hold is spread over all shards.
-3. Each shard asks for the text of a distinct fragment once, from the part with the smallest document, so copies cost no text.
-4. Each shard compares its distinct fragments by an engine (a suffix automaton, suffix arrays) on their true symbols, and tells the parts
+3. Where an anchor has several distinct fragments, its shard asks for the text of each once, from the part with the smallest document. Copies
+   cost no text, and an anchor with one distinct fragment has nothing to compare: its later documents hold copies.
+4. Each shard compares the distinct fragments by an engine (a suffix automaton, suffix arrays) on their true symbols, and tells the parts
    which fragments all their documents lose, and which windows of others the smallest one loses.
 
 Text is shuffled once: all four uses read the same exchange. Anchors take six bytes each, and no bucket or shard hears of
@@ -24,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -80,7 +82,7 @@ class Text:
         none = np.zeros(0, np.int64)
         if n < unit.width:
             return none, none, none.astype(np.uint64)
-        least = grams.sliding_min(grams.gram_hash(self.prefix, unit.gram), unit.width - unit.gram + 1)
+        least = grams.sliding_min(grams.rolling(self.prefix, unit.gram), unit.width - unit.gram + 1)
         valid = np.ones(len(least), bool)
         for i in range(1, unit.width):
             bad = self.first[1:-1] - i
@@ -90,7 +92,7 @@ class Text:
         begin = np.flatnonzero(change & valid)
         stop = change | ~valid
         bounds = np.append(np.flatnonzero(stop), len(least))
-        return begin, bounds[np.searchsorted(bounds, begin, "right")] - begin, least[begin]
+        return begin, bounds[np.searchsorted(bounds, begin, "right")] - begin, grams.mix(least[begin])
 
     def fragments(self, begin: np.ndarray, count: np.ndarray, unit: Unit) -> pa.Array:
         end = self.ends[begin + count + unit.width - 2]
@@ -297,55 +299,72 @@ class Plan:
         order = np.lexsort((part, low, key, spot))
         spot, key, low, part = spot[order], key[order], low[order], part[order]
         start = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (spot[1:] != spot[:-1]))) if len(key) else np.zeros(0, np.int64)
-        # A window of a hot anchor is dealt by its own hash.
-        return key, low, part, start, spot == key
+        return spot, key, low, part, start
+
+    @staticmethod
+    def _several(spot: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """Which distinct fragments share their anchor with others."""
+        s = spot[start]
+        same = s[1:] == s[:-1]
+        out = np.zeros(len(s), bool)
+        out[1:] |= same
+        out[:-1] |= same
+        return out
 
     def ask(self, table: pa.Table) -> pa.Table:
         """The part with the smallest document is asked for a fragment's text."""
-        key, _, part, start, alone = self._heard(table)
+        spot, key, low, part, start = self._heard(table)
+        start = start[self._several(spot, start)]
         shard = table.column("shard")[0].as_py()
-        rows = [(g, shard, squeeze(k[~h]), squeeze(k[h])) for g, (k, h) in packed(part[start], key[start], alone[start])]
-        return _rows(rows, [PART, "shard", "runs", "alone"], [pa.int32(), pa.int32(), pa.binary(), pa.binary()])
+        rows = [(g, shard, squeeze(k, d)) for g, (k, d) in packed(part[start], key[start], low[start])]
+        return _rows(rows, [PART, "shard", "asked"], [pa.int32(), pa.int32(), pa.binary()])
 
     def answer(self, docs: pa.Table, asked: pa.Table) -> pa.Table:
         names, kinds = ["shard", "keys", "ends", "fragments"], [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
         if not asked.num_rows or not docs.num_rows:
             return _rows([], names, kinds)
-        want = {}
-        for column in ("runs", "alone"):
-            (key,), blob = unsqueezed(asked.column(column).to_pylist(), np.uint64)
-            order = np.argsort(key, kind="stable")
-            want[column] = key[order], np.asarray(asked.column("shard"))[blob][order], np.ones(len(key), bool)
-        rows = []
+        (key, low), blob = unsqueezed(asked.column("asked").to_pylist(), np.uint64, np.int64)
+        shard = np.asarray(asked.column("shard"))[blob]
+        order = np.argsort(key, kind="stable")
+        key, shard = key[order], shard[order]
+        missing = np.ones(len(key), bool)
+        owners = pa.array(np.unique(low))
+        found = []
         for piece in self._pieces(docs):
+            piece = piece.filter(pc.is_in(piece.column(self.id_column), value_set=owners))
             body = Text.of(piece.column(self.text), self.unit)
             begin, count, _ = body.windows(self.unit)
-            for column, (key, shard, missing) in want.items():
-                if not len(key):
-                    continue
-                if column == "alone":
-                    begin, count = each_window(begin, count), np.ones(count.sum(), np.int64)
-                have = body.hashes(begin, count, self.unit)
-                use = np.flatnonzero(isin(have, key))
-                first, place = np.unique(have[use], return_index=True)
-                if not len(first):
-                    continue
-                # One key may be asked for by several shards.
-                at = np.minimum(np.searchsorted(first, key), len(first) - 1)
-                hit = np.flatnonzero((first[at] == key) & missing)
-                missing[hit] = False
-                for g, (i,) in packed(shard[hit], hit):
-                    take = use[place[at[i]]]
-                    data, ends = grams.utf8(body.fragments(begin[take], count[take], self.unit))
-                    rows.append((g, squeeze(key[i]), squeeze(ends[1:]), squeeze(data)))
-        return _rows(rows, names, kinds)
+            have = body.hashes(begin, count, self.unit)
+            use = np.flatnonzero(isin(have, key))
+            first, place = np.unique(have[use], return_index=True)
+            if not len(first):
+                continue
+            # One key may be asked for by several shards.
+            at = np.minimum(np.searchsorted(first, key), len(first) - 1)
+            hit = np.flatnonzero((first[at] == key) & missing)
+            missing[hit] = False
+            take = use[place[at[hit]]]
+            found.append((hit, *grams.utf8(body.fragments(begin[take], count[take], self.unit))))
+        rows: dict[int, list] = {}
+        for hit, data, ends in found:
+            size = np.diff(ends)
+            for g, (i, a, n) in packed(shard[hit], hit, ends[:-1], size):
+                body = data[np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+                rows.setdefault(g, []).append((key[i], n, body))
+        out = []
+        for g, parts in rows.items():
+            keys, sizes, bodies = (np.concatenate(x) for x in zip(*parts))
+            out.append((g, squeeze(keys), squeeze(np.cumsum(sizes)), squeeze(bodies)))
+        return _rows(out, names, kinds)
 
     def judge(self, engine: Callable) -> Callable:
         def run(told: pa.Table, texts: pa.Table) -> pa.Table:
             names, kinds = [PART, "lost", "alone", "shared", "some", "masks"], [pa.int32(), *[pa.binary()] * 4, pa.list_(pa.binary())]
             if not told.num_rows:
                 return _rows([], names, kinds)
-            key, low, part, start, alone = self._heard(told)
+            spot, key, low, part, start = self._heard(told)
+            # A window of a hot anchor is dealt by its own hash.
+            alone = spot == key
             text_of = {}
             for keys, ends, body in zip(*(texts.column(c).to_pylist() for c in ("keys", "ends", "fragments"))):
                 (keys,), (ends,), (body,) = unsqueeze(keys, np.uint64), unsqueeze(ends, np.int64), unsqueeze(body, np.uint8)
@@ -354,10 +373,12 @@ class Plan:
                 for k, end in zip(keys.tolist(), ends.tolist()):
                     text_of[k] = body[at:end]
                     at = end
-            distinct = [text_of[k] for k in key[start].tolist()]
             first = low[start]
-            order = sorted(range(len(distinct)), key=lambda i: (first[i], distinct[i]))
-            masks = engine([distinct[i] for i in order], first[order])
+            several = np.flatnonzero(self._several(spot, start))
+            distinct = [text_of[k] for k in key[start[several]].tolist()]
+            order = sorted(range(len(distinct)), key=lambda i: (first[several[i]], distinct[i]))
+            masks = engine([distinct[i] for i in order], first[several[order]])
+            order = several[order].tolist()
             rows: dict[int, tuple] = {}
             sizes = np.diff(np.append(start, len(key)))
             later = low > np.repeat(first, sizes)
@@ -464,10 +485,17 @@ class Plan:
 
 
 def isin(values: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """Which values are in the sorted ``known``."""
-    if not len(known):
-        return np.zeros(len(values), bool)
-    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+    """Which hashes are in the sorted ``known``; a table of their upper bits spares most look-ups."""
+    out = np.zeros(len(values), bool)
+    if not len(known) or not len(values):
+        return out
+    bits = np.uint64(44)
+    table = np.zeros(1 << 20, bool)
+    table[known >> bits] = True
+    at = np.flatnonzero(table[values >> bits])
+    some = values[at]
+    out[at] = known[np.minimum(np.searchsorted(known, some), len(known) - 1)] == some
+    return out
 
 
 def text_bytes(docs: DataFrame, text: str) -> int:
@@ -493,12 +521,12 @@ def removed_spans(docs: DataFrame, unit: Unit, engine: Callable, text: str = "te
     span = T.ArrayType(T.StructType().add("start", T.LongType()).add("end", T.LongType()))
     more = [("__kept", T.BinaryType()), (KEEP, span), ("__total", T.LongType()), ("__removed", T.LongType())]
     result = T.StructType([T.StructField(f.name, f.dataType) for f in dealt.schema.fields if f.name != PART] + [T.StructField(*m) for m in more])
-    plan = Plan(unit, text, id_column, tasks, max(tasks, parts), hot, joined, to_arrow_schema(result))
+    plan = Plan(unit, text, id_column, tasks, tasks, hot, joined, to_arrow_schema(result))
     dealt = dealt.mapInArrow(_pack, f"{PART} int, docs binary").repartition(tasks, PART)
     sent = dealt.mapInArrow(plan.send_anchors, f"{PART} int, bucket int, anchors binary")
     shared = sent.groupBy("bucket").applyInArrow(lambda t: plan.shared_anchors(t), f"{PART} int, shared binary")
     told = dealt.groupBy(PART).cogroup(shared.groupBy(PART)).applyInArrow(lambda d, t: plan.send_fragments(d, t), f"shard int, {PART} int, known binary")
-    asked = told.groupBy("shard").applyInArrow(lambda t: plan.ask(t), f"{PART} int, shard int, runs binary, alone binary")
+    asked = told.groupBy("shard").applyInArrow(lambda t: plan.ask(t), f"{PART} int, shard int, asked binary")
     texts = dealt.groupBy(PART).cogroup(asked.groupBy(PART)).applyInArrow(lambda d, t: plan.answer(d, t), "shard int, keys binary, ends binary, fragments binary")
     verdicts = told.groupBy("shard").cogroup(texts.groupBy("shard")).applyInArrow(plan.judge(engine), f"{PART} int, lost binary, alone binary, shared binary, some binary, masks array<binary>")
     return dealt.groupBy(PART).cogroup(verdicts.groupBy(PART)).applyInArrow(lambda d, t: plan.mark(d, t), result)

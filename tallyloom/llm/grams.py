@@ -53,10 +53,10 @@ def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((prefix[ends] - prefix[starts]) * powers(len(prefix))[1][starts])
 
 
-def gram_hash(prefix: np.ndarray, size: int) -> np.ndarray:
-    """Hash of every run of ``size`` symbols."""
+def rolling(prefix: np.ndarray, size: int) -> np.ndarray:
+    """Polynomial hash of every run of ``size`` symbols, not mixed: good enough to put them in an order."""
     n = max(0, len(prefix) - size)
-    return mix((prefix[size:] - prefix[:n]) * powers(len(prefix))[1][:n])
+    return (prefix[size:] - prefix[:n]) * powers(len(prefix))[1][:n]
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -86,7 +86,7 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return body, at - at[0]
 
 
-def slices(table: pa.Table | pa.RecordBatch, text: str, limit: int = 1 << 20) -> Iterator[pa.Table | pa.RecordBatch]:
+def slices(table: pa.Table | pa.RecordBatch, text: str, limit: int = 1 << 18) -> Iterator[pa.Table | pa.RecordBatch]:
     """Row ranges of about ``limit`` bytes of text, so that work arrays stay small; one longer row is a range by itself."""
     total = np.cumsum(np.diff(utf8(table.column(text))[1]))
     begin = 0

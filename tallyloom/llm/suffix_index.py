@@ -21,25 +21,23 @@ class SuffixLevels:
         self.width = width
         self.levels: list[tuple[np.ndarray, np.ndarray]] = []
 
-    def smaller(self, keys: np.ndarray, docs: np.ndarray) -> np.ndarray:
-        """Marks sorted suffixes that a level has from a smaller document."""
-        found = np.zeros(len(keys), bool)
-        for level, owners in self.levels:
+    def owners(self, keys: np.ndarray) -> np.ndarray:
+        """The smallest document that a level has each sorted suffix from; the largest number if none has it."""
+        found = np.full(len(keys), np.iinfo(np.int64).max)
+        for level, docs in self.levels:
             at = np.minimum(np.searchsorted(level, keys), len(level) - 1)
-            found |= (level[at] == keys) & (owners[at] < docs)
+            hit = level[at] == keys
+            found[hit] = np.minimum(found[hit], docs[at[hit]])
         return found
 
     def add(self, keys: np.ndarray, docs: np.ndarray) -> None:
-        """Take in distinct sorted suffixes as a level and merge levels of like size."""
+        """Take in sorted suffixes that no level has as a level, and merge levels of like size."""
         if not len(keys):
             return
         while self.levels and len(self.levels[-1][0]) <= len(keys):
             level, owners = self.levels.pop()
-            both, own = np.concatenate([level, keys]), np.concatenate([owners, docs])
-            order = np.lexsort((own, both))
-            both, own = both[order], own[order]
-            keep = np.append(True, both[1:] != both[:-1])
-            keys, docs = both[keep], own[keep]
+            at = np.searchsorted(keys, level)
+            keys, docs = np.insert(keys, at, level), np.insert(docs, at, owners)
         self.levels.append((keys, docs))
 
 
@@ -55,7 +53,7 @@ def suffixes(fragments: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray
     return np.ascontiguousarray(view).view(f"S{width}").ravel(), owner
 
 
-def levels_engine(width: int, batch: int = 4096):
+def levels_engine(width: int, batch: int = 16384):
     """Windows of a shard's fragments that a smaller document holds. ``batch``: suffixes of a batch, about."""
 
     def judge(fragments: list[bytes], first: np.ndarray) -> list[np.ndarray]:
@@ -73,12 +71,13 @@ def levels_engine(width: int, batch: int = 4096):
             new = np.append(True, sorted_keys[1:] != sorted_keys[:-1]) if len(keys) else np.zeros(0, bool)
             start = np.flatnonzero(new)
             least = np.repeat(sorted_docs[start], np.diff(np.append(start, len(keys))))
-            known = index.smaller(sorted_keys[start], sorted_docs[start])
-            inside = index.smaller(sorted_keys, sorted_docs) if len(start) < len(keys) else known
+            have = index.owners(sorted_keys[start])
+            known = np.repeat(have, np.diff(np.append(start, len(keys))))
             hit = np.empty(len(keys), bool)
-            hit[order] = inside | (least < sorted_docs)
+            hit[order] = np.minimum(known, least) < sorted_docs
             masks += np.split(hit, np.searchsorted(owner, np.arange(1, end - begin)))
-            index.add(sorted_keys[start][~known], sorted_docs[start][~known])
+            fresh = start[have == np.iinfo(np.int64).max]
+            index.add(sorted_keys[fresh], sorted_docs[fresh])
             begin = end
         return masks
 
