@@ -43,7 +43,18 @@ def tag_rows(raw: DataFrame, on_error: str = "tag") -> DataFrame:
             message = F.concat(F.lit(f"cannot read {name}: "), source)
             columns[name] = F.when(test, F.raise_error(message)).otherwise(columns[name])
         return raw.withColumns(columns).withColumn("errors", F.array().cast("array<string>"))
-    return raw.withColumns({**columns, "errors": errors})
+    return once(raw, {**columns, "errors": errors})
+
+
+def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """``df`` with ``columns``, each computed once for a row, however many filters and projections read it.
+
+    A filter is pushed below a projection by repeating its expressions; it stops at a generator, here of one row for each row.
+    """
+    kept = [F.col(c) for c in df.columns if c not in columns]
+    made = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))
+    out = df.select(*kept, made.alias("_once"))
+    return out.select(*[F.col(f"_once.{c}").alias(c) if c in columns else F.col(c) for c in [*df.columns, *[n for n in columns if n not in df.columns]]])
 
 
 def is_clean() -> Column:

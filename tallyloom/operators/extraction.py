@@ -133,14 +133,18 @@ def merchant_text(df: DataFrame) -> Column:
 def strip_noise(df: DataFrame, text: str, patterns: Sequence[Mapping] | None = None) -> DataFrame:
     """Apply the noise patterns in priority order to column ``text``.
 
-    Adds ``removed_noise`` and ``kept_context``; each pattern sees the text the former ones left.
+    Adds ``removed_noise`` and ``kept_context``; each pattern sees the text the former ones left. A pattern that names a text which
+    each match holds (``needs``) runs only on rows that hold it, and none is replaced where none is found.
     """
     rules = load_config("noise_rules") if patterns is None else patterns
     removed, kept = [], []
     for i, rule in enumerate(sorted(rules, key=lambda r: r.get("priority", 99))):
         regex = rule["regex"]
-        df = df.withColumn(f"_n{i}", F.regexp_extract_all(F.col(text), F.lit(regex), 0))
-        df = df.withColumn(text, F.regexp_replace(text, regex, " "))
+        hits = F.regexp_extract_all(F.col(text), F.lit(regex), 0)
+        if rule.get("needs"):
+            hits = F.when(F.col(text).contains(rule["needs"]), hits).otherwise(F.array().cast("array<string>"))
+        df = df.withColumn(f"_n{i}", hits)
+        df = df.withColumn(text, F.when(F.size(f"_n{i}") > 0, F.regexp_replace(text, regex, " ")).otherwise(F.col(text)))
         (kept if rule.get("keep_as_context") else removed).append(F.col(f"_n{i}"))
     none = F.array().cast("array<string>")
     gather = lambda parts: F.coalesce(F.concat(*parts), none) if parts else none

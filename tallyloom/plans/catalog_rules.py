@@ -316,8 +316,11 @@ def _noise_steps():
     steps = ["n0 AS MATERIALIZED (SELECT *, CASE WHEN merchant_expected THEN COALESCE(NULLIF(hint, ''), beneficiary_name, description) END AS source, "
              "CASE WHEN merchant_expected THEN COALESCE(NULLIF(hint, ''), beneficiary_name, description) END AS txt, 0 AS removed FROM s2)"]
     for i, r in enumerate(_NOISE):
-        hit = "0" if r["keep_as_context"] else f"COALESCE(len(regexp_extract_all(txt, {_quote(r['regex'])})), 0)"
-        steps.append(f"n{i + 1} AS MATERIALIZED (SELECT * EXCLUDE (txt, removed), regexp_replace(txt, {_quote(r['regex'])}, ' ', 'g') AS txt, removed + {hit} AS removed FROM n{i})")
+        # The checking engine has no look-ahead: what follows is taken along and put back.
+        regex = r["regex"].replace("(?=\\s|$)", "(\\s|$)")
+        back = " " if regex == r["regex"] else " \\1"
+        hit = "0" if r["keep_as_context"] else f"COALESCE(len(regexp_extract_all(txt, {_quote(regex)})), 0)"
+        steps.append(f"n{i + 1} AS MATERIALIZED (SELECT * EXCLUDE (txt, removed), regexp_replace(txt, {_quote(regex)}, {_quote(back)}, 'g') AS txt, removed + {hit} AS removed FROM n{i})")
     steps.append(f"n AS MATERIALIZED (SELECT *, substr(regexp_replace(trim(regexp_replace(txt, '\\s+', ' ', 'g')), '^\\d+\\s+', ''), 1, 100) AS tidy FROM n{len(_NOISE)})")
     steps.append("""s3 AS MATERIALIZED (SELECT * EXCLUDE (confidence), CASE WHEN merchant_expected THEN CASE WHEN length(tidy) >= 3 THEN tidy ELSE COALESCE(source, 'UNKNOWN') END END AS clean_merchant,
   CASE WHEN merchant_expected THEN length(tidy) >= 3 END AS is_clean, CASE WHEN NOT merchant_expected THEN confidence WHEN length(tidy) >= 3

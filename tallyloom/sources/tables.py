@@ -15,11 +15,10 @@ from tallyloom.functions.skew import first_per_key, hot_groups, spread_join
 
 
 def load_config(name: str, path: str | None = None) -> list[dict]:
-    """Rows of a rule table or registry shipped with the package, or of the file given."""
-    if path:
-        return json.loads(Path(path).read_text(encoding="utf-8"))
-    text = resources.files("tallyloom.data").joinpath(f"{name}.json").read_text(encoding="utf-8")
-    return json.loads(text)
+    """Rows of a rule table or registry shipped with the package, or of the file given: a list, or ``rows`` beside a note."""
+    file = Path(path) if path else resources.files("tallyloom.data").joinpath(f"{name}.json")
+    found = json.loads(file.read_text(encoding="utf-8"))
+    return found["rows"] if isinstance(found, dict) else found
 
 
 def config_frame(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
