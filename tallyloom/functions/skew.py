@@ -145,7 +145,8 @@ def running(
     else:
         heavy, light = df, None
 
-    kinds = {s.out: plain(df.limit(0)).schema[s.out].dataType for s in specs}
+    # Adding totals widens decimals, so sums get back the type that one window gives.
+    kinds = {s.out: plain(df.limit(0)).schema[s.out].dataType for s in specs if s.kind == "sum"}
     inputs = [f"_v{i}" for i in range(len(specs))]
     valued = heavy.withColumns({n: s.expr for n, s in zip(inputs, specs)})
     dealt = valued.repartitionByRange(*[F.col(c).asc_nulls_first() for c in keys], *ordered)
@@ -169,9 +170,8 @@ def running(
     # One row for each block and each hot key that begins in it.
     on = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_o_{c}")) for c in at])
     joined = rows.join(F.broadcast(openings), on, "left")
-    joined = joined.withColumns(
-        {s.out: _combine(s.kind, F.col(f"{n}_c"), F.col(f"{n}_in")).cast(kinds[s.out]) for n, s in zip(inputs, specs)}
-    ).select(*df.columns, *[s.out for s in specs])
+    both = {s.out: _combine(s.kind, F.col(f"{n}_c"), F.col(f"{n}_in")) for n, s in zip(inputs, specs)}
+    joined = joined.withColumns({n: c.cast(kinds[n]) if n in kinds else c for n, c in both.items()}).select(*df.columns, *[s.out for s in specs])
     return joined if light is None else joined.unionByName(plain(light))
 
 

@@ -55,7 +55,7 @@ SELECT tx_id, account_id, {DAY} AS date, CAST(1000 + SUM({SIGNED}) OVER (PARTITI
 
 add("running_balance_hot", lambda s, d: balance.running_balance(
     led(s, d).withColumn("book", F.when(F.col("account_id") % 3 == 0, "main").otherwise("side")), 0, "book",
-    share=0.2, floor=100, width=500).select("tx_id", "book", "balance"), ["orders_ledger"], f"""
+    share=0.2, floor=100).select("tx_id", "book", "balance"), ["orders_ledger"], f"""
 SELECT tx_id, CASE WHEN account_id % 3 = 0 THEN 'main' ELSE 'side' END AS book,
   CAST(SUM({SIGNED}) OVER (PARTITION BY CASE WHEN account_id % 3 = 0 THEN 'main' ELSE 'side' END
   ORDER BY date, tx_id ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS balance FROM orders_ledger""")
