@@ -221,13 +221,6 @@ def category_stats(df: DataFrame) -> DataFrame:
     )
 
 
-def dimension_frame(spark) -> DataFrame:
-    """The accounting dimension as a table."""
-    rows = [(k, *v) for k, v in ACCOUNTING.items()]
-    return spark.createDataFrame(
-        rows, "flow_type STRING, account_category STRING, account_subcategory STRING, debit_credit STRING"
-    )
-
 
 __all__: Sequence[str] = [
     "accounting", "budget", "categorise", "category_counts", "category_stats", "flow_of", "payment", "tax", "with_mcc",

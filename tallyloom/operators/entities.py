@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.functions.skew import HOT_FLOOR, HOT_SHARE, Running, running
+from tallyloom.functions.skew import HOT_FLOOR, HOT_SHARE, Running, hot_groups, running, spread_join
 
 # Thresholds and wording of entity verification.
 REVIEW_BELOW = 0.70
@@ -167,12 +167,21 @@ def entity_aliases(df: DataFrame, alias: str) -> DataFrame:
     ).agg(F.count(F.lit(1)).alias("rows"), F.min("date").alias("first_seen"))
 
 
-def find_entity(df: DataFrame, entities: DataFrame, aliases: DataFrame, tax_ids: DataFrame) -> DataFrame:
-    """Existing entity of each row: by id, then by alias, then by tax id, with the way it matched."""
-    ids = entities.select("merchant_id", F.col("merchant_id").alias("_by_id"))
+def find_entity(
+    df: DataFrame, entities: DataFrame, aliases: DataFrame, tax_ids: DataFrame, spread: Sequence[str] = ("tx_id",),
+    share: float = HOT_SHARE, floor: int = HOT_FLOOR,
+) -> DataFrame:
+    """Existing entity of each row: by id, then by alias, then by tax id, with the way it matched.
+
+    Few names and mostly missing tax ids are usual, so hot and null keys are spread by ``spread``.
+    """
+    ids = entities.select("merchant_id", F.col("merchant_id").alias("_by_id")).distinct()
     names = aliases.groupBy(F.col("alias").alias("merchant_name")).agg(F.min("merchant_id").alias("_by_alias"))
     taxes = tax_ids.groupBy("rfc").agg(F.min("merchant_id").alias("_by_rfc"))
-    joined = df.join(ids, "merchant_id", "left").join(names, "merchant_name", "left").join(taxes, "rfc", "left")
+    joined = df
+    for key, table in (("merchant_id", ids), ("merchant_name", names), ("rfc", taxes)):
+        hot = hot_groups(df.where(F.col(key).isNotNull()), [key], share=share, floor=floor)
+        joined = spread_join(joined, table, [key], spread, hot)
     return joined.withColumns(
         {
             "entity_id": F.coalesce("_by_id", "_by_alias", "_by_rfc"),

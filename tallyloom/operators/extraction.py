@@ -18,7 +18,6 @@ from tallyloom.sources.tables import load_config
 
 # Tax-id format, generic payment words and extraction limits.
 TAX_ID = r"[A-Z]{3,4}\d{6}[A-Z0-9]{3}"
-GENERIC_TERMS = ["COBRANZA", "DOMICILIACION", "PAGO", "CARGO"]
 GENERIC_PHRASES = ["COBRANZA", "DOMICILIACION", "PAGO DOMICILIADO", "CARGO DOMICILIADO"]
 DIRECT_DEBIT = "domiciliacion"
 MIN_NAME, MAX_NAME = 3, 100
@@ -75,9 +74,6 @@ def tax_id_in(text: Column) -> Column:
     return F.when(found != "", found)
 
 
-def is_generic_term(text: Column) -> Column:
-    return F.upper(F.trim(text)).isin(GENERIC_TERMS)
-
 
 def detect_counterparties(df: DataFrame, rules: Sequence[Mapping] | None = None) -> DataFrame:
     """Aggregators and marketplaces between payer and merchant, with a hint at the merchant.

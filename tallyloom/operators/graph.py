@@ -163,8 +163,8 @@ def chain_stats(chains: DataFrame) -> DataFrame:
 
 
 def add_equivalences(edges: DataFrame, new: DataFrame) -> DataFrame:
-    """Edge list with new edges appended once."""
-    return edges.unionByName(new.select("src", "dst")).distinct()
+    """Edge list with new edges appended once; a time that orders edges goes along."""
+    return edges.unionByName(new.select(*edges.columns)).distinct()
 
 
 def reverse_index(entities: DataFrame, key: str) -> DataFrame:

@@ -8,6 +8,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.functions.skew import HOT_FLOOR, HOT_SHARE, hot_groups, spread_join
 from tallyloom.functions.predicates import all_of, confidence_of, in_band
 
 
@@ -71,11 +72,15 @@ def unverified(df: DataFrame) -> DataFrame:
     return df.where(~F.coalesce("verified", F.lit(False)))
 
 
-def with_names(df: DataFrame, banks: DataFrame, merchants: DataFrame, categories: DataFrame) -> DataFrame:
-    """Ids replaced by readable names; the dimensions have one row per id."""
+def with_names(
+    df: DataFrame, banks: DataFrame, merchants: DataFrame, categories: DataFrame, spread: Sequence[str] = ("tx_id",),
+    share: float = HOT_SHARE, floor: int = HOT_FLOOR,
+) -> DataFrame:
+    """Ids with readable names; the dimensions have one row per id. A ledger has few banks and categories, so hot ids are spread."""
     for key, dim in (("bank", banks), ("merchant", merchants), ("category", categories)):
         names = dim.select(F.col("entity_id").alias(key), F.col("canonical_name").alias(f"{key}_name"))
-        df = df.join(names, key, "left")
+        hot = hot_groups(df.where(F.col(key).isNotNull()), [key], share=share, floor=floor)
+        df = spread_join(df, names, [key], spread, hot)
     return df
 
 

@@ -56,8 +56,3 @@ def take_until(df: DataFrame, order: Sequence[str], stop: Column) -> DataFrame:
     place = F.struct(*order)
     first = df.where(stop).agg(F.min(place).alias("p")).scalar()
     return df.where(first.isNull() | (place < first))
-
-
-def fork(df: DataFrame, branches: dict) -> dict[str, DataFrame]:
-    """One input to several named results."""
-    return {name: branch(df) for name, branch in branches.items()}

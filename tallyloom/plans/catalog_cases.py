@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tallyloom.functions import normalise as N
+from tallyloom.functions import predicates as P
 from tallyloom.functions.skew import Running, running
 from tallyloom.operators import classify as C
 from tallyloom.operators import entities, events, graph
@@ -13,6 +15,7 @@ from tallyloom.plans.views import table, view, with_views
 from tallyloom.runtime import shared_path
 from tallyloom.sources import lines as L
 from tallyloom.sources import statements as S
+from tallyloom.sources import tables as T
 
 Q: dict = {}
 
@@ -185,3 +188,79 @@ add("merge_aliases", _aliases, [], """
 SELECT merchant_id, alias, CAST(SUM(n) AS BIGINT) AS rows, max(day) AS first_seen FROM (
   SELECT CASE WHEN n_regionkey = 2 THEN 'asia' ELSE CAST(c_nationkey AS STRING) END AS merchant_id, c_mktsegment AS alias, 1 AS n, '2024-01-01' AS day FROM customer JOIN nation ON c_nationkey = n_nationkey
   UNION ALL SELECT 'asia', CAST(n_nationkey AS STRING), 0, NULL FROM nation WHERE n_regionkey = 2) GROUP BY 1, 2""")
+
+# ---- look-ups, enrichment and versions of entities -------------------------------------------
+
+
+def _found(s, d):
+    c = table(s, d, "customer")
+    key = F.col("c_custkey")
+    rows = c.select(key.alias("tx_id"), F.when(key % 3 == 0, F.concat(F.lit("m"), key)).alias("merchant_id"), F.col("c_mktsegment").alias("merchant_name"), F.when(key % 10 == 1, F.concat(F.lit("r"), F.col("c_nationkey"))).alias("rfc"))
+    known = c.where("c_custkey % 2 = 0").select(F.concat(F.lit("m"), key).alias("merchant_id"))
+    aliases = c.where("c_mktsegment < 'F'").select(F.col("c_mktsegment").alias("alias"), F.concat(F.lit("seg "), F.col("c_mktsegment")).alias("merchant_id"))
+    taxes = c.where("c_nationkey < 12").select(F.concat(F.lit("r"), F.col("c_nationkey")).alias("rfc"), F.concat(F.lit("tax "), F.col("c_nationkey")).alias("merchant_id"))
+    return entities.find_entity(rows, known, aliases, taxes, share=0.001, floor=20).select("tx_id", "entity_id", "match_method")
+
+
+add("find_entity", _found, [], """
+SELECT c_custkey AS tx_id, CASE WHEN c_custkey % 6 = 0 THEN 'm' || CAST(c_custkey AS STRING) WHEN c_mktsegment < 'F' THEN 'seg ' || c_mktsegment WHEN c_custkey % 10 = 1 AND c_nationkey < 12 THEN 'tax ' || CAST(c_nationkey AS STRING) END AS entity_id,
+  CASE WHEN c_custkey % 6 = 0 THEN 'merchant-id' WHEN c_mktsegment < 'F' THEN 'alias' WHEN c_custkey % 10 = 1 AND c_nationkey < 12 THEN 'tax-id' END AS match_method FROM customer""")
+
+
+def _parts(s, d):
+    return table(s, d, "part").select(F.col("p_partkey").cast("string").alias("entity_id"), F.col("p_name").alias("canonical_name"), F.col("p_type").alias("category"), F.lit(1).alias("version"),
+                                      F.array("p_brand", F.upper("p_type")).alias("variations"))
+
+
+def _changes(s, d):
+    return table(s, d, "part").where("p_size > 25").select(F.col("p_partkey").cast("string").alias("entity_id"), F.when(F.col("p_size") > 40, F.upper("p_name")).alias("canonical_name"), F.lit("new").alias("category"))
+
+
+add("entity_new_versions", lambda s, d: entities.bump_version(_parts(s, d), _changes(s, d), ["canonical_name", "category"]).select("entity_id", "canonical_name", "category", "version"), [], """
+SELECT CAST(p_partkey AS STRING) AS entity_id, CASE WHEN p_size > 40 THEN upper(p_name) ELSE p_name END AS canonical_name, 'new' AS category, CAST(2 AS BIGINT) AS version FROM part WHERE p_size > 25""")
+add("registry_enriched", lambda s, d: R.enrich_registry(_parts(s, d).select("entity_id", "category"), _changes(s, d), ["category", "canonical_name"]), [], """
+SELECT CAST(p_partkey AS STRING) AS entity_id, CASE WHEN p_size > 25 THEN 'new' ELSE p_type END AS category, CASE WHEN p_size > 40 THEN upper(p_name) END AS canonical_name FROM part""")
+add("registry_by_alias", lambda s, d: R.find_by_alias(_parts(s, d), "Brand#7").select("entity_id"), [], "SELECT CAST(p_partkey AS STRING) AS entity_id FROM part WHERE p_brand = 'Brand#7' OR upper(p_type) = 'Brand#7'")
+
+
+def _variations(s, d):
+    return table(s, d, "part").select(F.col("p_brand").alias("entity_id"), F.concat(F.lit(" "), F.col("p_type"), F.lit(" ")).alias("variation"), F.col("p_name").alias("source"), (F.col("p_partkey") / 100000).alias("confidence"))
+
+
+add("best_variation", lambda s, d: entities.best_variation(_variations(s, d), F.lit("promo")).select("entity_id", "source", "confidence"), [], """
+SELECT p_brand AS entity_id, arg_max(p_name, p_partkey) AS source, ROUND(max(p_partkey) / 100000.0, 6)::DOUBLE AS confidence FROM part WHERE p_type = 'PROMO' GROUP BY 1""")
+
+# ---- equivalences that arrive later, and rows with the history of their run ------------------
+
+
+def _more_links(s, d):
+    first = _links(s, d)
+    later = first.where("src LIKE 'c%'").groupBy("src").agg(F.max("ts").alias("ts")).select("src", F.lit("p99").alias("dst"), F.date_add("ts", 1).alias("ts"))
+    return graph.canonicalise(graph.add_equivalences(first, later.unionByName(later))).where("id LIKE 'c%'").select("id", "canonical_id", "hops")
+
+
+add("equivalences_added", _more_links, [], "SELECT src AS id, 'p99' AS canonical_id, CAST(1 AS BIGINT) AS hops FROM e", _LATEST)
+add("related_entities", lambda s, d: graph.related_entities(_parts(s, d), "category", "PROMO").select("entity_id"), [], "SELECT CAST(p_partkey AS STRING) AS entity_id FROM part WHERE p_type = 'PROMO'")
+
+
+def _stamped(s, d):
+    rows = view(s, d, "orders_ledger").select("tx_id")
+    return T.stamp_history(rows, F.concat(F.lit("f"), F.col("tx_id") % 3), F.lit("2024-01-02 03:04:05").cast("timestamp"), "1.2")
+
+
+add("stamped_history", _stamped, ["orders_ledger"], "SELECT tx_id, 'f' || CAST(tx_id % 3 AS STRING) AS source_file, '2024-01-02 03:04:05.000000' AS processed_at, '1.2' AS pipeline_version FROM orders_ledger")
+
+# ---- text and value tests --------------------------------------------------------------------
+
+
+def _texts(s, d):
+    p = table(s, d, "part")
+    slug = N.kebab(F.concat("p_name", F.lit(" "), "p_type"))
+    price = F.concat(F.lit("$"), F.format_number(F.col("p_retailprice") * 10, 2))
+    return p.select("p_partkey", N.title_from_kebab(slug).alias("title"), N.file_prefix(F.concat("p_type", F.lit("_march_1.csv"))).alias("prefix"), N.parse_number(price).alias("price"),
+                    P.not_empty(F.when(F.col("p_size") > 20, F.lit("  ")).otherwise(F.lit(" x"))).alias("filled"), P.non_negative(F.col("p_size") - 25).alias("zero_or_more"), P.in_range(F.col("p_size"), 10, 20).alias("between"))
+
+
+add("text_and_value_tests", _texts, [], """
+SELECT p_partkey, array_to_string(list_transform(string_split(trim(regexp_replace(lower(p_name || ' ' || p_type), '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: upper(w[1]) || substr(w, 2)), ' ') AS title, lower(p_type) AS prefix,
+  ROUND(CAST(ROUND(p_retailprice * 10, 2) AS DOUBLE), 6) AS price, p_size <= 20 AS filled, p_size >= 25 AS zero_or_more, p_size BETWEEN 10 AND 20 AS between FROM part""")
