@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.operators.cleaning import once
 from tallyloom.runtime import materialise
 
 SPACES, SYMBOLS = " \t\n\x0b\f\r", "#*$%&|<>"
@@ -140,16 +141,16 @@ def cascade(rules: list[Rule], text: str) -> Column:
     return out.otherwise(F.lit(None).cast("string"))
 
 
-def judge(docs: DataFrame, rules=RULES, text: str = "text") -> DataFrame:
+def judge(docs: DataFrame, rules=RULES, text: str = "text", verdict: str = "rejected_by") -> DataFrame:
     """Adds ``rejected_by``: a rule that rejects the row, or null. Null texts have no words and are rejected as short."""
     order = in_order(measure(docs, rules, text))
-    return prepared(docs, text).withColumn("rejected_by", cascade(order, text)).drop(WORDS, CHARS, LINES, GRAMS)
+    # Made once, so that no filter on it is pushed below the helper columns and works them out for each window.
+    return once(prepared(docs, text), {verdict: cascade(order, text)}).drop(WORDS, CHARS, LINES, GRAMS)
 
 
 def accepted(docs: DataFrame, rules=RULES, text: str = "text") -> DataFrame:
     """Rows that no rule rejects, with their columns."""
-    order = in_order(measure(docs, rules, text))
-    return prepared(docs, text).where(cascade(order, text).isNull()).drop(WORDS, CHARS, LINES, GRAMS)
+    return judge(docs, rules, text, "__rejected").where("__rejected IS NULL").drop("__rejected")
 
 
 def facts_and_verdict(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
