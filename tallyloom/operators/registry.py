@@ -182,11 +182,25 @@ def resolve_entities(
     definitions: Sequence[Mapping] = tuple(DEFINITIONS),
     spread: Sequence[str] = ("tx_id",),
 ) -> DataFrame:
-    """All entity types in order; a later text may come from an earlier result."""
-    for definition in definitions:
-        if definition.get("enabled", True) and definition["id"] in registries:
-            df = resolve_entity(df, definition, registries[definition["id"]], spread)
-    return df
+    """All entity types in order; a later text may come from an earlier result.
+
+    Rows that are alike in the columns which texts come from are resolved once: the definitions run over the distinct
+    combinations, and the rows are joined to what was found.
+    """
+    chosen = [d for d in definitions if d.get("enabled", True) and d["id"] in registries]
+    used = {c for d in chosen for c in (d.get("source"), d.get("fallback"), d.get("extractor", (None, None))[1], *d.get("template_fields", []))}
+    inputs = [c for c in df.columns if c in used]
+    key = F.to_json(F.struct(*inputs), {"ignoreNullFields": "false"}) if inputs else F.lit("")
+    found = materialise(df.groupBy(*inputs).agg(F.count(F.lit(1)).alias("_all")).withColumn("_key", key), "inputs")
+    made: list[str] = []
+    for definition in chosen:
+        found = resolve_entity(found, definition, registries[definition["id"]], ["_key"])
+        made += [f"{definition['id']}_{c}" for c in ("text", "entity", "canonical", "match", "confidence", "resolved")]
+        made += [c for c in definition.get("output") or {} if c not in made]
+    found = materialise(found.select("_key", "_all", *made), "resolved")
+    hot = hot_groups(found, ["_key"], rows="_all")
+    rows = df.withColumn("_key", key).drop(*made)
+    return spread_join(rows, found.drop("_all"), ["_key"], spread, hot).drop("_key")
 
 
 def merchant_text_by_type(kind: Column, clean: Column, beneficiary: Column, hint: Column, rfc: Column) -> Column:
