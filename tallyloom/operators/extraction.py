@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.normalise import text_after
+from tallyloom.operators.cleaning import once
 from tallyloom.operators.classify import _pick, first_match
 from tallyloom.sources.tables import load_config
 
@@ -51,7 +52,8 @@ def detect_types(df: DataFrame, rules: Sequence[Mapping] | None = None) -> DataF
     matched = with_full_text(df).withColumn("_at", first_match(tests))
     at, hit = F.col("_at"), F.col("_at").isNotNull()
     name = _pick([r["type"] for r in rules], at, "string")
-    return matched.withColumns(
+    return once(
+        matched,
         {
             "type": F.coalesce(name, F.lit("unknown")),
             "direction": F.coalesce(_pick([r["direction"] for r in rules], at, "string"), F.lit("unknown")),
@@ -65,7 +67,7 @@ def detect_types(df: DataFrame, rules: Sequence[Mapping] | None = None) -> DataF
                 F.when(hit, "pattern-match").otherwise("no-match").alias("detected_by"),
                 name.alias("matched_rule"),
             ),
-        }
+        },
     ).drop("_at", "_text")
 
 
@@ -109,12 +111,13 @@ def detect_counterparties(df: DataFrame, rules: Sequence[Mapping] | None = None)
         rule_conf.alias("confidence"),
     )
     how = F.when(~expected, "no-merchant-expected").when(hit, "pattern-match").otherwise("no-match")
-    return matched.withColumns(
+    return once(
+        matched,
         {
             "counterparty": info,
             "confidence": F.when(hit, F.least("confidence", rule_conf)).otherwise(F.col("confidence")),
             "stage_2": F.struct(how.alias("detected_by"), (rfc.isNotNull()).alias("tax_id_used")),
-        }
+        },
     ).drop("_at", "_text")
 
 
@@ -158,8 +161,8 @@ def tidy_name(text: Column) -> Column:
 def extract_merchants(df: DataFrame, patterns: Sequence[Mapping] | None = None) -> DataFrame:
     expected = F.col("merchant_expected")
     work = df.withColumn("_source", F.when(expected, merchant_text(df))).withColumn("_name", F.col("_source"))
-    work = strip_noise(work, "_name", patterns)
-    clean = tidy_name(F.col("_name"))
+    work = once(strip_noise(work, "_name", patterns), {"_name": tidy_name(F.col("_name"))})
+    clean = F.col("_name")
     ok = clean.isNotNull()
     scored = F.when(F.size("removed_noise") > 0, F.col("confidence") * NOISE_FACTOR).otherwise(F.col("confidence"))
     method = F.when(~ok, "fallback").when(F.col("counterparty.detected"), "post-counterparty")
