@@ -264,3 +264,38 @@ def _texts(s, d):
 add("text_and_value_tests", _texts, [], """
 SELECT p_partkey, array_to_string(list_transform(string_split(trim(regexp_replace(lower(p_name || ' ' || p_type), '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: upper(w[1]) || substr(w, 2)), ' ') AS title, lower(p_type) AS prefix,
   ROUND(CAST(ROUND(p_retailprice * 10, 2) AS DOUBLE), 6) AS price, p_size <= 20 AS filled, p_size >= 25 AS zero_or_more, p_size BETWEEN 10 AND 20 AS between FROM part""")
+
+# ---- import with references ------------------------------------------------------------------
+
+
+def _imported(s, d):
+    rows = view(s, d, "ledger").select("tx_id", "amount", "bank", F.lower("category").alias("category_id"), N.kebab("merchant").alias("merchant_id"), "confidence",
+                                       F.when(F.col("tx_id") % 3 > 0, F.col("currency")).alias("currency"))
+    stored = rows.where("tx_id % 5 = 0")
+    known = table(s, d, "nation").where("n_nationkey < 9").select(F.concat(F.lit("bank-"), "n_nationkey").alias("entity_id"), F.col("n_name").alias("canonical_name"))
+    more = rows.select(F.col("category_id").alias("entity_id"), F.col("category_id").alias("canonical_name")).where("entity_id < 'f'").distinct()
+    kept, classified, after = T.import_with_references(rows, stored, known.unionByName(more), F.lit("2024-01-01").cast("timestamp"))
+    none = F.lit(None).cast("string")
+    return (kept.select(F.lit("row").alias("kind"), F.col("tx_id").cast("string").alias("id"), "bank", "category_id", "currency", none.alias("name"))
+            .unionByName(classified.select(F.lit("classified").alias("kind"), F.col("tx_id").cast("string").alias("id"), none.alias("bank"), "category_id", none.alias("currency"), F.concat_ws(" ", "method", "version", "merchant_id").alias("name")))
+            .unionByName(after.select(F.lit("entity").alias("kind"), F.col("entity_id").alias("id"), none.alias("bank"), none.alias("category_id"), none.alias("currency"), F.col("canonical_name").alias("name"))))
+
+
+_KEBAB = "trim(regexp_replace(lower(merchant), '[^a-z0-9]+', ' ', 'g'))"
+add("import_with_references", _imported, ["ledger"], f"""
+SELECT 'row' AS kind, CAST(tx_id AS STRING) AS id, CASE WHEN CAST(substr(bank, 6) AS INT) < 9 THEN bank END AS bank, CASE WHEN lower(category) < 'f' THEN lower(category) END AS category_id,
+  CASE WHEN tx_id % 3 > 0 THEN currency ELSE 'USD' END AS currency, NULL AS name FROM ledger WHERE tx_id % 5 <> 0
+UNION ALL SELECT 'classified', CAST(tx_id AS STRING), NULL, lower(category), NULL, 'csv-import import-v1.0 ' || replace({_KEBAB}, ' ', '-') FROM ledger WHERE tx_id % 5 <> 0
+UNION ALL SELECT 'entity', 'bank-' || CAST(n_nationkey AS STRING), NULL, NULL, NULL, n_name FROM nation WHERE n_nationkey < 9
+UNION ALL SELECT DISTINCT 'entity', lower(category), NULL, NULL, NULL, lower(category) FROM ledger WHERE lower(category) < 'f'
+UNION ALL SELECT DISTINCT 'entity', replace({_KEBAB}, ' ', '-'), NULL, NULL, NULL, array_to_string(list_transform(string_split({_KEBAB}, ' '), lambda w: upper(w[1]) || substr(w, 2)), ' ') FROM ledger WHERE tx_id % 5 <> 0""")
+
+
+def _store_seen(s, d):
+    """Which rows of a batch the store has, where it has every third one."""
+    rows = view(s, d, "orders_ledger").select(F.lit("transaction").alias("entity_type"), F.create_map(F.lit("id"), F.col("tx_id").cast("string"), F.lit("a"), F.col("amount").cast("string")).alias("data"), F.col("tx_id").alias("seq"))
+    hashed = T.with_store_hash(rows)
+    return T.flag_known(hashed, hashed.where("seq % 3 = 0").select("hash")).drop("hash", "data", "entity_type")
+
+
+add("store_known_rows", _store_seen, ["orders_ledger"], "SELECT tx_id AS seq, tx_id % 3 = 0 AS duplicate FROM orders_ledger")

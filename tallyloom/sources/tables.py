@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tallyloom.functions.normalise import content_hash
+from tallyloom.functions.normalise import content_hash, title_from_kebab
 from tallyloom.functions.skew import first_per_key, hot_groups, spread_join
 
 
@@ -54,6 +54,34 @@ def append_idempotent(new: DataFrame, path: str, key: str, order: list[Column] |
     append_rows(only_new(new, existing, key, order), path)
 
 
+# What an imported transaction is given where it says nothing.
+DEFAULTS = {"currency": "USD", "type": "expense", "source_file": "unknown", "source_line": 0}
+
+
+def import_with_references(
+    new: DataFrame, existing: DataFrame, entities: DataFrame, classified_at: Column, method: str = "csv-import", version: str = "import-v1.0",
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Transactions that are not stored yet, their classifications as a table of their own, and the entities with merchants seen first here.
+
+    ``entities``: entity_id, canonical_name. A bank or category is kept as a reference if there is such an entity; a merchant that is
+    unseen becomes one, named after its id. ``DEFAULTS`` fill missing fields.
+    """
+    fresh = only_new(new, existing, "tx_id")
+    filled = {c: F.coalesce(F.col(c), F.lit(v).cast(fresh.schema[c].dataType)) for c, v in DEFAULTS.items() if c in fresh.columns}
+    known = entities.select("entity_id").distinct()
+    merchants = fresh.where("merchant_id IS NOT NULL").select(F.col("merchant_id").alias("entity_id")).distinct()
+    created = merchants.join(known, "entity_id", "left_anti").withColumn("canonical_name", title_from_kebab(F.col("entity_id")))
+    rows = fresh.withColumns(filled)
+    for column in ("bank", "category_id"):
+        if column in rows.columns:
+            hot = hot_groups(rows.where(F.col(column).isNotNull()), [column])
+            marks = known.select(F.col("entity_id").alias(column), F.col("entity_id").alias("_ref"))
+            rows = spread_join(rows, marks, [column], ["tx_id"], hot).withColumn(column, F.col("_ref")).drop("_ref")
+    taken = [F.col(c) if c in fresh.columns else F.lit(None).cast(t).alias(c) for c, t in (("merchant_id", "string"), ("category_id", "string"), ("confidence", "double"))]
+    classified = fresh.select("tx_id", *taken, F.lit(method).alias("method"), classified_at.alias("classified_at"), F.lit(version).alias("version"))
+    return rows, classified, entities.select("entity_id", "canonical_name").unionByName(created)
+
+
 def with_store_hash(df: DataFrame, entity_type: str = "entity_type", data: str = "data") -> DataFrame:
     """Content hash of a stored entity: its type and data, map entries in key order."""
     entries = F.array_sort(F.map_entries(data))
