@@ -41,8 +41,23 @@ def shared_dir(spark: SparkSession) -> str:
     return configured
 
 
+_written: list[str] = []
+
+
 def shared_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
+def drop_intermediates(spark: SparkSession) -> int:
+    """Delete what this process has put into the shared folder; for when no result that reads it is still to be computed."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    gone = 0
+    while _written:
+        path = hadoop(_written.pop())
+        gone += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return gone
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:

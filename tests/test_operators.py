@@ -229,3 +229,12 @@ def test_running_orders_any_type(spark, kind, keys, floor):
     df.createOrReplaceTempView("typed_rows")
     want = spark.sql(f"SELECT id, count(1) OVER w AS n, sum(id) OVER w AS s FROM typed_rows WINDOW w AS ({'PARTITION BY k' if keys else ''} ORDER BY o NULLS FIRST, id ROWS UNBOUNDED PRECEDING)")
     assert values(got, "id", "n", "s") == values(want, "id", "n", "s")
+
+
+def test_intermediates_can_be_dropped(spark):
+    from tallyloom import runtime
+
+    kept = runtime.materialise(spark.range(3), "kept")
+    assert kept.count() == 3 and runtime.drop_intermediates(spark) >= 1
+    with pytest.raises(Exception, match="kept-"):
+        kept.collect()
