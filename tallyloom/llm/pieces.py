@@ -321,7 +321,10 @@ def decode(docs: DataFrame, model: str, ids: str = "ids", text: str = "decoded")
 
 
 def round_trips(docs: DataFrame, model: str, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """Ids of each document, their number, and whether decoding gives the text back."""
+    """Ids of each document, their number, and whether decoding gives the text back (a null text gives an empty one).
+
+    Each row is taken by itself. A text that holds U+2581 comes back with spaces in its place.
+    """
     out = encode_decode(docs.select(id_column, text), model, text)
     same = F.col("decoded") == F.coalesce(F.col(text), F.lit(""))
     return out.select(id_column, F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))

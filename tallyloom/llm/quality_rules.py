@@ -154,7 +154,10 @@ def accepted(docs: DataFrame, rules=RULES, text: str = "text") -> DataFrame:
 
 
 def facts_and_verdict(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """Counts of each document, ``base_failed`` and ``kept``: the base rules on the counts, then the cascade of the others."""
+    """Counts of each document, ``base_failed`` and ``kept``: the base rules on the counts, then the cascade of the others.
+
+    Each row is judged by itself, so null ids and repeated rows stay as they are; null and wordless texts have no words and fail.
+    """
     order = in_order(measure(docs, MORE, text))
     ready = prepared(docs.select(id_column, text), text)
     facts = ready.select(

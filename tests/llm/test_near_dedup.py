@@ -83,3 +83,12 @@ def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 130)] + [(7, 7), (200, 201), (201, 200), (None, 3)]
     got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 130)}, 200: 200, 201: 200}
+
+
+def test_very_long_texts(spark):
+    r = random.Random(9)
+    words = [f"w{r.randrange(10**6)}" for _ in range(60_000)]
+    near = words[:]
+    near[1000] = "other"
+    df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(near)), (3, "x" * 300_000)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.component_id) for r in near_duplicates(df).collect()) == [(1, 1), (2, 1), (3, 3)]

@@ -101,3 +101,12 @@ def test_broadcast_reference(spark):
     assert out == {1: [(2, 22)], 2: [], 3: []}
     with pytest.raises(ValueError):
         against_reference(docs, reference, max_reference_bytes=3)
+
+
+def test_very_long_texts(spark):
+    r = random.Random(9)
+    long = " ".join(f"w{r.randrange(10**6)}" for _ in range(60_000))
+    df = spark.createDataFrame([(1, long), (2, "start " + long + " end"), (3, "x" * 300_000), (4, "x" * 300_000)], "doc_id long, text string")
+    assert {r.doc_id: r["__removed"] for r in remove_repeats(df).collect()} == {1: 0, 2: 60_000, 3: 0, 4: 0}
+    got = {r.doc_id: (r["__removed"], len(r["__spans"])) for r in remove_repeated_bytes(df).collect()}
+    assert got == {1: (0, 0), 2: (len(long), 1), 3: (0, 0), 4: (300_000, 1)}
