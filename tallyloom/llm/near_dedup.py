@@ -258,3 +258,16 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_column: str = "doc_i
     out = sketch.select(id_column, "n_shingles", "digest").join(final, "digest", "left")
     component = F.when(F.col(id_column).isNull(), F.lit(None)).when(F.col("n_shingles") == 0, F.col(id_column)).otherwise(F.coalesce("_label", id_column))
     return out.select(id_column, "n_shingles", component.cast("long").alias("component_id")).withColumn("kept", F.coalesce(F.col(id_column) == F.col("component_id"), F.lit(True)))
+
+
+SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS (SELECT DISTINCT doc_id, array_to_string(ws[i : i + 3], ' ') AS gram FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, CASE WHEN len(ws) > 0 THEN 1 ELSE 0 END) + 1)) AS i FROM d)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT x, y FROM c JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * common >= 80 * (p.n + q.n - common)),
+ways AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+reach AS (SELECT doc_id AS node, doc_id AS seen FROM d UNION SELECT node, y FROM reach JOIN ways ON seen = x),
+l AS (SELECT node, min(seen) AS component_id FROM reach GROUP BY node)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, l.component_id, d.doc_id = l.component_id AS kept FROM d JOIN l ON l.node = d.doc_id LEFT JOIN n USING (doc_id)
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import mixing, pieces, quality_rules, warc
+from tallyloom.llm import mixing, near_dedup, pieces, quality_rules, substring_dedup, suffix_index, topk, warc
 from tallyloom.llm.discriminant import quality
 from tallyloom.llm.extract import extract
 from tallyloom.llm.near_dedup import near_duplicates
@@ -14,7 +14,6 @@ from tallyloom.llm.suffix_index import remove_repeated_bytes
 from tallyloom.llm.topk import top_products
 from tallyloom.runtime import materialise, shared_path
 
-
 #: A public model file; another one may be given to the query's function.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -72,13 +71,13 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 Q = {
     "op1_html_extraction": (op1_html_extraction, None),
-    "op2_near_dedup": (op2_near_dedup, None),
+    "op2_near_dedup": (op2_near_dedup, near_dedup.SQL),
     "op3_sentencepiece": (op3_sentencepiece, None),
     "op4_warc": (op4_warc, warc.SQL),
-    "op5_topk": (op5_topk, None),
+    "op5_topk": (op5_topk, topk.SQL),
     "op6_quality_classifier": (op6_quality_classifier, None),
     "op7_quality_rules": (op7_quality_rules, quality_rules.SQL),
     "op8_mixing": (op8_mixing, mixing.SQL),
-    "op9_substring_dedup": (op9_substring_dedup, None),
-    "op10_suffix_array_dedup": (op10_suffix_array_dedup, None),
+    "op9_substring_dedup": (op9_substring_dedup, substring_dedup.SQL),
+    "op10_suffix_array_dedup": (op10_suffix_array_dedup, suffix_index.SQL),
 }

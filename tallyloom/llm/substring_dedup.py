@@ -148,3 +148,15 @@ def against_reference(docs: DataFrame, reference: DataFrame, width: int = 13, te
         return pd.Series(out)
 
     return docs.withColumn("removed_spans", spans(F.col(text)))
+
+
+SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS (SELECT doc_id, i, array_to_string(ws[i : i + 12], ' ') AS win FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM d)),
+later AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY win) AS first FROM g) WHERE first < doc_id),
+gone AS (SELECT DISTINCT doc_id, i + k AS i FROM later, (SELECT unnest(range(13)) AS k)),
+lost AS (SELECT doc_id, list(i) AS places FROM gone GROUP BY doc_id),
+k AS (SELECT d.doc_id, len(ws) AS n_words, coalesce(len(places), 0) AS n_removed, CASE WHEN places IS NULL THEN array_to_string(ws, ' ') END AS whole FROM d LEFT JOIN lost USING (doc_id)),
+rest AS (SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS kept FROM (SELECT d.doc_id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i FROM d JOIN lost USING (doc_id)) ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT k.doc_id, n_words, n_removed, sha256(coalesce(whole, kept, '')) AS kept_sha256 FROM k LEFT JOIN rest USING (doc_id)
+"""

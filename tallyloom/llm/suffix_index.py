@@ -91,3 +91,19 @@ def remove_repeated_bytes(docs: DataFrame, width: int = 50, gram: int = 24, text
     lose nothing, rows with a null id take no part.
     """
     return removed_spans(docs, Unit(False, width, gram), levels_engine(width), text, id_column, **more)
+
+
+SQL = r"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+g AS (SELECT doc_id, i, b[i : i + 49] AS piece FROM (SELECT doc_id, b, unnest(range(1, octet_length(b) - 48)) AS i FROM d)),
+hit AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY piece) AS first FROM g) WHERE first < doc_id),
+edge AS (SELECT *, CASE WHEN i <= max(i) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 50 THEN 0 ELSE 1 END AS fresh FROM hit),
+run AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS r FROM edge),
+span AS (SELECT doc_id, r, min(i) AS a, max(i) + 50 AS z FROM run GROUP BY doc_id, r),
+gap AS (SELECT doc_id, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY r), 1) AS a, a AS z FROM span UNION ALL SELECT doc_id, max(z), NULL FROM span GROUP BY doc_id),
+rest AS (SELECT gap.doc_id, string_agg(hex(b[a : coalesce(z - 1, octet_length(b))]), '' ORDER BY a) AS kept FROM gap JOIN d USING (doc_id) WHERE a < coalesce(z, octet_length(b) + 1) GROUP BY gap.doc_id),
+t AS (SELECT doc_id, count(*) AS n_spans, sum(z - a)::BIGINT AS n_removed FROM span GROUP BY doc_id)
+SELECT d.doc_id, octet_length(b) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(CASE WHEN n_spans IS NULL THEN b ELSE unhex(coalesce(kept, '')) END) AS kept_sha256
+FROM d LEFT JOIN t USING (doc_id) LEFT JOIN rest USING (doc_id)
+"""

@@ -213,3 +213,12 @@ def _block_pairs(blocks: DataFrame, questions: DataFrame) -> DataFrame:
     upto = marks.withColumn("last", F.sum("n").over(Window.orderBy(F.desc("at"), F.desc("n")).rowsBetween(Window.unboundedPreceding, 0))).where("asked IS NOT NULL").select("asked", "last")
     listed = upto.where("last > 0").withColumn("place", F.explode(F.sequence(F.lit(1).cast("bigint"), F.least(F.col("last"), F.lit(total).cast("bigint")))))
     return listed.withColumn("place", F.col("place").cast("int")).join(place.select("block", "place"), "place").select("block", "asked")
+
+
+SQL = r"""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 10
+"""
