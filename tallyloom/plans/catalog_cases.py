@@ -299,3 +299,24 @@ def _store_seen(s, d):
 
 
 add("store_known_rows", _store_seen, ["orders_ledger"], "SELECT tx_id AS seq, tx_id % 3 = 0 AS duplicate FROM orders_ledger")
+
+# ---- builders of the other event types -------------------------------------------------------
+
+
+def _built(s, d):
+    rows = view(s, d, "orders_ledger").select("tx_id", "account_id", F.col("date").cast("timestamp").alias("at"))
+    odd = F.col("tx_id") % 2 == 1
+    made = rows.withColumns({"calculated": F.col("tx_id"), "expected": F.col("tx_id") + 1, "difference": F.lit(-1), "reconciled": odd, "issue": F.when(odd, F.lit("gap")), "amount": F.col("tx_id"),
+                             "original_id": F.col("tx_id") - 1, "duplicate_id": F.col("tx_id"), "similarity": F.lit(1)})
+    at = F.col("at")
+    out = events.reconciled(made, at).unionByName(events.discrepancy(made, at)).unionByName(events.duplicate_detected(made, at)).unionByName(events.system_event(made, "import-started", "tx_id", at, ["account_id"]))
+    return out.select("event_type", "aggregate_type", "aggregate_id", "seq", "ts", "data")
+
+
+_AT = "strftime(date, '%Y-%m-%d 00:00:00.000000') AS ts"
+add("event_builders", _built, ["orders_ledger"], f"""
+SELECT 'balance-reconciled' AS event_type, 'balance' AS aggregate_type, CAST(account_id AS STRING) AS aggregate_id, CAST(6 AS BIGINT) AS seq, {_AT},
+  '{{"calculated":' || tx_id || ',"expected":' || (tx_id + 1) || ',"difference":-1,"reconciled":' || CASE WHEN tx_id % 2 = 1 THEN 'true' ELSE 'false' END || '}}' AS data FROM orders_ledger
+UNION ALL SELECT 'discrepancy-detected', 'transaction', CAST(tx_id AS STRING), 7, {_AT}, CASE WHEN tx_id % 2 = 1 THEN '{{"issue":"gap","amount":' ELSE '{{"amount":' END || tx_id || '}}' FROM orders_ledger
+UNION ALL SELECT 'duplicate-detected', 'transaction', CAST(tx_id AS STRING), 4, {_AT}, '{{"original_id":' || (tx_id - 1) || ',"duplicate_id":' || tx_id || ',"similarity":1}}' FROM orders_ledger
+UNION ALL SELECT 'import-started', 'system', CAST(tx_id AS STRING), 8, {_AT}, '{{"account_id":' || account_id || '}}' FROM orders_ledger""")
