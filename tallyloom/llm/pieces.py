@@ -37,7 +37,7 @@ MAX_MODEL_BYTES = 32 << 20
 class Pieces:
     """A SentencePiece model: its pieces and how a marked word is cut into them."""
 
-    def __init__(self, proto: bytes, remembered: int = 500_000) -> None:
+    def __init__(self, proto: bytes, remembered: int = 300_000) -> None:
         from sentencepiece import sentencepiece_model_pb2
 
         if len(proto) > MAX_MODEL_BYTES:
@@ -99,7 +99,7 @@ class Pieces:
     def _fits(self, left: str, right: str) -> bool:
         known = self.side_by_side.get((left, right))
         if known is None:
-            if len(self.side_by_side) > 1_000_000:
+            if len(self.side_by_side) > 300_000:
                 self.side_by_side.clear()
             known = self.side_by_side[left, right] = self.merged(left + right) == [left, right]
         return known
@@ -294,7 +294,7 @@ def encode_decode(docs: DataFrame, model: str, text: str = "text", ids: str = "i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = loaded(proto.value)
         for batch in batches:
-            for part in grams.slices(batch, text, 4 << 20):
+            for part in grams.slices(batch, text, 2 << 20):
                 found, bounds = pieces.encode(part.column(text).cast(pa.string()))
                 back = pa.array(pieces.decode(found, bounds), pa.string())
                 yield pa.RecordBatch.from_arrays([*part.columns, _ids_column(found, bounds), back], names=[f.name for f in names])
