@@ -149,9 +149,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spark_sql(text: str, sf_dir: str) -> str:
+#: Tables whose rows the views work on one by one, and the size in bytes per core below which they are dealt to all cores.
+FACTS, DEAL_BELOW = ("lineitem", "orders", "events"), 16 << 20
+
+
+def _dealt(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """The table in SQL. A small file is read by one task; its rows are then dealt to all cores, as the views' expressions cost
+    more than moving them. Large tables have tasks enough and stay where they are."""
+    source = f"parquet.`{sf_dir}/{name}.parquet`"
+    cores = spark.sparkContext.defaultParallelism
+    if name not in FACTS or cores < 2:
+        return source
+    size = int(table(spark, sf_dir, name)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return f"(SELECT /*+ REPARTITION({cores}) */ * FROM {source})" if size < cores * DEAL_BELOW else source
+
+
+def spark_sql(spark: SparkSession, text: str, sf_dir: str) -> str:
     text = re.sub(r"SHA\[(.*?)\](?=,)", r"sha2(\1, 256)", text, flags=re.S)
-    return re.sub(r"<(\w+)>", lambda m: f"parquet.`{sf_dir}/{m.group(1)}.parquet`", text)
+    return re.sub(r"<(\w+)>", lambda m: _dealt(spark, sf_dir, m.group(1)), text)
 
 
 def check_sql(text: str) -> str:
@@ -160,7 +175,7 @@ def check_sql(text: str) -> str:
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.sql(spark_sql(VIEWS[name], sf_dir))
+    return spark.sql(spark_sql(spark, VIEWS[name], sf_dir))
 
 
 def with_views(names: list[str], body: str, *ctes: str) -> str:
