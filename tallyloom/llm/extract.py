@@ -25,14 +25,27 @@ BLOCK = frozenset(
     "frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select "
     "summary table tbody td tfoot th thead title tr ul".split()
 )
-SKIPPED = "script|style|noscript|template|textarea|title|svg|math|iframe|object|canvas|audio|video|noembed|noframes|xmp"
+#: Elements of raw text: without an end tag they take the rest of the page. noscript is one only up to an end tag of its own.
+RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
+RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*+(?:>|\Z)", re.I) for tag in RAW} | {"noscript": re.compile(r"<(?P<end>/?)noscript(?=[\s/>])[^>]*+(?:>|\Z)", re.I)}
+#: Elements whose text is not shown up to their end tag; one that is never closed hides nothing.
+CONCEALED = frozenset("svg math object canvas audio video template".split())
+FOREIGN = frozenset(("svg", "math"))
+#: Elements of foreign content that hold HTML, HTML tags that end it elsewhere, and elements that no end tag from inside reaches across.
+POINTS = frozenset("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
+BREAKOUT = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small "
+    "span strong strike sub sup table tt u ul var".split()
+)
+BARRIER = POINTS | {"object", "template"}
+SELF_CLOSED = re.compile(r"""(?:^|[\s"']|\s[^\s=]+)/\Z""")
 #: Tags whose start ends an open element of the same kind of item.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "p": {"p"}}
 #: Elements that an item's implied end does not reach across.
 SCOPE = frozenset("table ul ol dl select article section div body html main aside nav form td th blockquote".split())
 
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<raw>{SKIPPED})\b[^>]*+>(?:.*?</(?P=raw)\s*+>|.*\Z)|<[!?][^>]*+(?:>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+[^>]*+)(?:>|\Z)",
     re.S | re.I,
 )
@@ -89,6 +102,57 @@ def _bias(tag: str, rest: str, inside_main: bool) -> float:
     return 1.0 if names & GOOD_NAMES else 0.0
 
 
+def _tokens(page: str) -> list[tuple[int, int, str | None, bool, str]]:
+    """Tags in page order as (begin, end, name, is end tag, attributes); what shows no text is one token without a name."""
+    out: list[tuple[int, int, str | None, bool, str]] = []
+    #: Open elements from the first concealed one on, with their place in ``out``.
+    opened: list[tuple[str, int]] = []
+    at = 0
+    while token := TOKEN.search(page, at):
+        begin, at = token.span()
+        tag = token["tag"]
+        if tag is None:
+            out.append((begin, at, None, False, ""))
+            continue
+        tag, rest = tag.lower(), token["rest"]
+        out.append((begin, at, tag, bool(token["end"]), rest))
+        if token["end"]:
+            if not opened:
+                continue
+            for depth in range(len(opened) - 1, -1, -1):
+                name, place = opened[depth]
+                if name == tag:
+                    if tag in CONCEALED:
+                        out[place:] = [(out[place][0], at, None, False, "")]
+                    del opened[depth:]
+                    break
+                if name in BARRIER:
+                    break
+            else:
+                # An element around the concealed one ends, and so does that one.
+                if tag in BLOCK or tag in BREAKOUT or tag == "a":
+                    opened.clear()
+            continue
+        foreign = bool(opened) and next((name for name, _ in reversed(opened) if name in FOREIGN or name in POINTS), "") in FOREIGN
+        if foreign and tag in BREAKOUT:
+            while opened.pop()[0] not in FOREIGN:
+                pass
+            foreign = False
+        if not foreign and tag in RAW_END:
+            found = RAW_END[tag].search(page, at)
+            if tag in RAW or found and found["end"]:
+                at = found.end() if found else len(page)
+                out[-1] = (begin, at, None, False, "")
+            continue
+        if tag in VOID or (foreign or tag in FOREIGN) and SELF_CLOSED.search(rest):
+            if tag in FOREIGN:
+                out[-1] = (begin, at, None, False, "")
+            continue
+        if opened or tag in CONCEALED:
+            opened.append((tag, len(out) - 1))
+    return out
+
+
 def blocks_of(page: str) -> list[Block]:
     """Blocks of text in page order, with what is known of their place."""
     stack: list[Element] = []
@@ -116,20 +180,18 @@ def blocks_of(page: str) -> list[Block]:
             hidden -= gone.hidden
 
     at = 0
-    for token in TOKEN.finditer(page):
-        if token.start() > at and not hidden:
-            piece = page[at : token.start()]
+    for begin, end, tag, closing, rest in _tokens(page):
+        if begin > at and not hidden:
+            piece = page[at:begin]
             if "&" in piece:
                 piece = entities.unescape(piece)
             parts.append(piece)
             if links:
                 link_chars += len(piece)
-        at = token.end()
-        tag = token["tag"]
+        at = end
         if tag is None:
             continue
-        tag = tag.lower()
-        if token["end"]:
+        if closing:
             if tag in BLOCK:
                 flush()
             for depth in range(len(stack) - 1, -1, -1):
@@ -151,10 +213,9 @@ def blocks_of(page: str) -> list[Block]:
                     break
                 if stack[depth].tag in SCOPE:
                     break
-        if tag in VOID or token["rest"].endswith("/") and tag not in BLOCK:
+        if tag in VOID or rest.endswith("/") and tag not in BLOCK:
             continue
         serial += 1
-        rest = token["rest"]
         inside = any(e.main for e in stack)
         element = Element(tag, _bias(tag, rest, inside), tag in ("article", "main") or 'role="main"' in rest, serial, tag == "a", bool(rest) and bool(HIDDEN.search(rest)))
         links += element.link

@@ -36,6 +36,28 @@ def test_odd_input():
     assert len(blocks_of("<p>" + "word " * 200_000)[0].text) == 999_999
 
 
+def test_only_raw_text_runs_to_the_end_of_the_page():
+    def shown(page):
+        return [b.text for b in blocks_of(page)]
+
+    assert main_text(f'<p>{LONG} a</p><svg class="i"/><p>{LONG} b</p><math/><p>{LONG} c</p>') == f"{LONG} a\n\n{LONG} b\n\n{LONG} c"
+    for empty in ("<svg/>", '<svg class="i" />', "<svg focusable/>", "<math/>", "<video-js id=x></video-js>", "<title-bar>", "<style-guide></style-guide>", "<object-view/>"):
+        assert shown(f"<p>a</p>{empty}<p>b</p><svg><text>no</text></svg><p>c</p>") == ["a", "b", "c"], empty
+    for tag in ("svg", "math", "object", "canvas", "audio", "video", "noscript", "template"):
+        assert shown(f"<p>a</p><{tag} class=x><g>no</g></{tag}><p>b <{tag}>no</{tag} >c</p>") == ["a", "b c"], tag
+        # Without an end tag, before another such element, and where an element around it ends first.
+        assert shown(f"<p>a</p><{tag} class=x><p>b</p><div>c</div>") == ["a", "b", "c"], tag
+        assert shown(f"<p>a</p><{tag} class=x><p>b</p><{tag}>no</{tag}><div>c</div>") == ["a", "b", "c"], tag
+    for tag in ("svg", "math", "canvas", "audio", "video"):
+        assert shown(f"<p>a</p><div><{tag} class=x></div><p>b</p></{tag}><p>c</p>") == ["a", "b", "c"], tag
+    for tag in ("script", "style", "textarea", "title", "iframe", "noembed", "noframes", "xmp"):
+        assert shown(f"<p>a</p><{tag} x='>'><p>no</p></{tag} ><p>b</p><{tag}><p>no") == ["a", "b"], tag
+    assert shown("a<svg><svg>no</svg>no<title>no</title><style/><title/><desc><p>no</p></desc><g/></svg>b") == ["ab"]
+    assert shown("<p>a<svg><path><p>b</p></svg>c") == ["a", "b", "c"]
+    assert shown("<div><p>a<noscript><style></div><p>no<!-- </noscript>b</p></div>") == ["ab"]
+    assert shown("<div><p>a<template><div></p></div></div><p>no</template>b</p></div>") == ["ab"]
+
+
 def test_minimum_cut_equals_brute_force():
     r = random.Random(5)
     for _ in range(200):
