@@ -49,7 +49,9 @@ TOKEN = re.compile(
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+[^>]*+)(?:>|\Z)",
     re.S | re.I,
 )
-HINT = re.compile(r"""\b(?:class|id|role|itemprop|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s=/"']++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?""")
+HINTS = ("class", "id", "role", "itemprop", "aria-label")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 NAME = re.compile(r"[a-z]+")
 
@@ -62,6 +64,16 @@ BAD_NAMES = frozenset(
     "complementary contentinfo search teaser outbrain taboola skip".split()
 )
 GOOD_NAMES = frozenset("article articlebody content entry post story body main maincontent postbody text prose".split())
+COMMENT_NAMES = frozenset("comment comments disqus reply replies respond".split())
+#: Words that leave the meaning of a bad name beside them in one class ("site-footer", but not "has-sidebar" or "social-history").
+NEUTRAL = GOOD_NAMES | frozenset(
+    "site page global top bottom left right primary secondary box block section list container wrapper wrap inner outer area bar link links header "
+    "item items row column col form button buttons icon icons slot unit posts articles stories meta author wp js id".split()
+)
+#: Bad names that are topics as well: no sign where a section inside the article has one as its anchor.
+TOPICS = frozenset("social legal search share sharing notice alert copyright tags related reply respond promotion banner consent subscribe login signup menu".split())
+#: Tags whose text is no article, whatever its share of the page.
+FIXED = BAD_TAGS - {"form", "fieldset"}
 HARD, SOFT, LINKED, SHORT, LONG, PLAIN = -9.0, -4.0, -5.0, -1.0, 1.5, 0.25
 ADJACENT, SIBLING = 1.0, 0.75
 
@@ -74,6 +86,7 @@ class Element:
     number: int
     link: bool = False
     hidden: bool = False
+    holds: bool = False
 
 
 @dataclass(slots=True)
@@ -88,18 +101,82 @@ class Block:
     parts: list = field(default_factory=list)
 
 
-def _bias(tag: str, rest: str, inside_main: bool) -> float:
+def _attributes(rest: str) -> dict[str, str]:
+    """Attributes of a tag by lower-case name; the first of one name counts."""
+    out: dict[str, str] = {}
+    if rest and not rest.isspace():
+        for name, *values in ATTRIBUTE.findall(rest):
+            out.setdefault(name.lower(), "".join(values))
+    return out
+
+
+def _names(tag: str, attributes: dict[str, str], inside_main: bool) -> tuple[set[str], set[str]]:
+    """Bad and good names of an element.
+
+    A class or a label is bad as a whole: all its words are bad names or leave their meaning. The id of a heading is a slug of its text.
+    """
+    bad: set[str] = set()
+    good: set[str] = set()
+    for hint in HINTS:
+        value = attributes.get(hint)
+        if not value or hint == "id" and tag in HEADINGS:
+            continue
+        value = value.lower()
+        for token in [value] if hint == "aria-label" else value.split():
+            words = set(NAME.findall(token))
+            good |= words & GOOD_NAMES
+            found = words & BAD_NAMES
+            if found and words <= BAD_NAMES | NEUTRAL:
+                anchor = hint == "id" and inside_main and (tag == "section" or "section" in attributes.get("class", "").lower().split())
+                if not (anchor and found <= TOPICS):
+                    bad |= found
+    return bad, good
+
+
+def _bias(tag: str, attributes: dict[str, str], inside_main: bool) -> float:
     """What an element's tag and names say about the text in it."""
     if tag in BAD_TAGS or (tag == "header" and not inside_main):
         return HARD
-    if not rest or "=" not in rest:
+    if not attributes:
         return 0.0
-    names = set()
-    for found in HINT.finditer(rest):
-        names.update(NAME.findall((found[1] or found[2] or found[3] or "").lower()))
-    if names & BAD_NAMES and tag not in ("body", "html", "article", "main"):
+    bad, good = _names(tag, attributes, inside_main)
+    if tag == "article":
+        bad &= COMMENT_NAMES
+    if bad and tag not in ("body", "html", "main"):
         return HARD if tag not in ("p", "span", "h1") else SOFT
-    return 1.0 if names & GOOD_NAMES else 0.0
+    return 1.0 if good else 0.0
+
+
+def _settle(out: list[Block], signs: list[tuple[Element, ...]]) -> None:
+    """Sum the signs of each block, less those of elements that turn out to hold the article.
+
+    An element that holds a main element has lost its penalty. One that holds an article keeps it only while at least half of the text in
+    articles is outside such elements; without any article, one loses it that holds most of the page's text. Links are not counted.
+    """
+    has_main = any(b.main for b in out)
+    size = [len(b.text) - min(len(b.text), b.link_chars) for b in out]
+    against = [[e for e in some if e.bias < 0] for some in signs]
+    if has_main:
+        core = [i for i, some in enumerate(against) if out[i].main and all(e.holds and e.tag not in FIXED for e in some)]
+        free = sum(size[i] for i in core if not against[i])
+        if 2 * free < sum(size[i] for i in core):
+            for i in core:
+                for e in against[i]:
+                    e.bias = 0.0
+    else:
+        held: dict[int, int] = {}
+        for i, some in enumerate(against):
+            for e in some:
+                # Comments are the content of a page that has no other article.
+                if e.tag == "article":
+                    e.bias = 0.0
+                held[e.number] = held.get(e.number, 0) + size[i]
+        for some in against:
+            for e in some:
+                if e.tag not in FIXED and 2 * held[e.number] > sum(size):
+                    e.bias = 0.0
+    for b, some in zip(out, signs):
+        b.bias = sum(e.bias for e in some)
 
 
 def _tokens(page: str) -> list[tuple[int, int, str | None, bool, str]]:
@@ -157,6 +234,7 @@ def blocks_of(page: str) -> list[Block]:
     """Blocks of text in page order, with what is known of their place."""
     stack: list[Element] = []
     out: list[Block] = []
+    signs: list[tuple[Element, ...]] = []
     parts: list[str] = []
     link_chars = 0
     serial = 0
@@ -168,7 +246,8 @@ def blocks_of(page: str) -> list[Block]:
             text = " ".join("".join(parts).split())
             if text:
                 inner = next((e.tag for e in reversed(stack) if e.tag in BLOCK), "")
-                out.append(Block(text, link_chars, tuple(e.number for e in stack if e.tag in BLOCK), sum(e.bias for e in stack), any(e.main for e in stack), inner in ("h1", "h2", "h3", "h4", "h5", "h6"), inner))
+                out.append(Block(text, link_chars, tuple(e.number for e in stack if e.tag in BLOCK), 0.0, any(e.main for e in stack), inner in HEADINGS, inner))
+                signs.append(tuple(e for e in stack if e.bias))
             parts.clear()
         link_chars = 0
 
@@ -217,13 +296,21 @@ def blocks_of(page: str) -> list[Block]:
             continue
         serial += 1
         inside = any(e.main for e in stack)
-        element = Element(tag, _bias(tag, rest, inside), tag in ("article", "main") or 'role="main"' in rest, serial, tag == "a", bool(rest) and bool(HIDDEN.search(rest)))
+        attributes = _attributes(rest)
+        bias = _bias(tag, attributes, inside)
+        main = tag == "main" or 'role="main"' in rest
+        for e in stack if main or tag == "article" and bias >= 0 else ():
+            if main:
+                e.bias = max(e.bias, 0.0)
+            e.holds = True
+        element = Element(tag, bias, main or tag == "article" and bias >= 0, serial, tag == "a", bool(rest) and bool(HIDDEN.search(rest)))
         links += element.link
         hidden += element.hidden
         stack.append(element)
     if at < len(page) and not hidden:
         parts.append(entities.unescape(page[at:]))
     flush()
+    _settle(out, signs)
     return out
 
 

@@ -58,6 +58,31 @@ def test_only_raw_text_runs_to_the_end_of_the_page():
     assert shown("<div><p>a<template><div></p></div></div><p>no</template>b</p></div>") == ["ab"]
 
 
+def test_names_of_wrappers_and_headings():
+    for wrapper in ('class="layout has-sidebar"', 'class="post comments-open"', 'id="notice-period"', 'class="sidebar"', 'aria-label="The legal history of search"', 'data-id="comment"', "title='class=ad'"):
+        for inner in ("main", "article"):
+            assert main_text(f"<body><nav><a href=1>No</a></nav><div {wrapper}><{inner}><p>{LONG}</p><p>{LONG}</p></{inner}></div>").split("\n\n") == [LONG, LONG], (wrapper, inner)
+        assert main_text(f"<div id=menu><a href=1>Home</a></div><div {wrapper}><p>{LONG}</p><p>{LONG}</p></div>").split("\n\n") == [LONG, LONG], wrapper
+    for kind in ("div class=sidebar", "div class=promo", "form"):
+        end = kind.split()[0]
+        three = "".join(f"<{kind}><article><p>{LONG} {i}</p></article></{end}>" for i in range(3))
+        assert main_text(three).split("\n\n") == [f"{LONG} {i}" for i in range(3)], kind
+        # Teasers beside the article stay out.
+        assert main_text(f"<article><p>{LONG * 9}</p></article>" + three) == LONG * 9, kind
+    for slug in ("social-history", "legal", "search", "share"):
+        assert main_text(f'<article><h2 id="{slug}">A heading</h2><p>{LONG}</p><section id="{slug}"><p>{LONG} b</p></section></article>').split("\n\n") == ["A heading", LONG, f"{LONG} b"], slug
+    for bad in ('class="site-footer"', 'class="comment-list"', 'id="comments"', 'class="x related-posts"', 'aria-label="Main navigation"', 'class="cookie_banner2"'):
+        assert main_text(f"<article><p>{LONG}</p><p>{LONG}</p><div {bad}><p>{LONG} no</p></div></article>").split("\n\n") == [LONG, LONG], bad
+
+
+def test_comments_that_are_articles():
+    comments = "".join(f"<article class=comment id=comment-{i}><p>{LONG} {i}</p></article>" for i in range(5))
+    assert main_text(f"<article class='post has-comments'><p>{LONG}</p></article>{comments}") == LONG
+    assert main_text(f"<main><p>{LONG}</p><section class=comments>{comments}</section></main>") == LONG
+    for page in (comments, f"<div id=comments>{comments}</div>"):
+        assert main_text(page).split("\n\n") == [f"{LONG} {i}" for i in range(5)]
+
+
 def test_minimum_cut_equals_brute_force():
     r = random.Random(5)
     for _ in range(200):
