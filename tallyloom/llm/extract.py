@@ -49,10 +49,10 @@ TOKEN = re.compile(
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+[^>]*+)(?:>|\Z)",
     re.S | re.I,
 )
-ATTRIBUTE = re.compile(r"""([^\s=/"']++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?""")
+ATTRIBUTE = re.compile(r"""([^\s=/"']++)(?:\s*+=\s*+(?:"([^"]*+)(?:"|\Z)|'([^']*+)(?:'|\Z)|([^\s"'>][^\s>]*+)))?""")
 HINTS = ("class", "id", "role", "itemprop", "aria-label")
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
+DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*([a-z-]+)", re.I)
 NAME = re.compile(r"[a-z]+")
 
 # Signs of the classifier: names of ancestors, and weights.
@@ -110,6 +110,14 @@ def _attributes(rest: str) -> dict[str, str]:
     return out
 
 
+def _hidden(attributes: dict[str, str]) -> bool:
+    """Whether an element says that it is not shown: by hidden, by aria-hidden, or by the last display of its style."""
+    if "hidden" in attributes or attributes.get("aria-hidden", "").strip().lower() == "true":
+        return True
+    shown = DISPLAY.findall(attributes.get("style", ""))
+    return bool(shown) and shown[-1].lower() == "none"
+
+
 def _names(tag: str, attributes: dict[str, str], inside_main: bool) -> tuple[set[str], set[str]]:
     """Bad and good names of an element.
 
@@ -303,7 +311,7 @@ def blocks_of(page: str) -> list[Block]:
             if main:
                 e.bias = max(e.bias, 0.0)
             e.holds = True
-        element = Element(tag, bias, main or tag == "article" and bias >= 0, serial, tag == "a", bool(rest) and bool(HIDDEN.search(rest)))
+        element = Element(tag, bias, main or tag == "article" and bias >= 0, serial, tag == "a", _hidden(attributes))
         links += element.link
         hidden += element.hidden
         stack.append(element)

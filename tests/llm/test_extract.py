@@ -83,6 +83,14 @@ def test_comments_that_are_articles():
         assert main_text(page).split("\n\n") == [f"{LONG} {i}" for i in range(5)]
 
 
+def test_hidden_is_an_attribute_and_not_a_word():
+    for shown in ('title="the hidden cost of rain"', "data-title='a hidden gem'", 'class="md:flex hidden lg:block"', 'data-style="display:none"', 'title="set aria-hidden=true"', 'aria-hidden="false"',
+                  'alt="display: none"', 'style="display:none;display:block"', 'style="--display:none"', "data-hidden", 'data-x="aria-hidden=\'true\'"', "title=hidden", 'title = "a > hidden "'):
+        assert main_text(f"<div {shown}><p>{LONG}</p><p {shown}>{LONG}</p></div>").split("\n\n") == [LONG, LONG], shown
+    for gone in ("hidden", "HIDDEN", 'class="a"hidden', 'hidden=""', "hidden='until-found'", "aria-hidden=true", 'aria-hidden = "TRUE"', "style=display:none", 'style="color:red; DISPLAY : none !important"', 'title="x" hidden class=y'):
+        assert main_text(f"<div><p>{LONG}</p><p {gone}>{LONG} no</p></div>") == LONG, gone
+
+
 def test_minimum_cut_equals_brute_force():
     r = random.Random(5)
     for _ in range(200):
