@@ -177,6 +177,11 @@ add("chain_paths", lambda s, d: graph.chain_paths(_links(s, d), table(s, d, "cus
 SELECT id, hop, place FROM (SELECT 'c' || CAST(c_custkey AS STRING) AS id, CAST(0 AS BIGINT) AS hop, 'c' || CAST(c_custkey AS STRING) AS place FROM customer WHERE c_custkey % 3 = 0
   UNION ALL SELECT src, CAST(k + 1 AS BIGINT), 'p' || CAST(dst + k AS STRING) FROM e, (SELECT unnest(range(10)) AS k) WHERE dst % 10 + k < 10 AND CAST(substr(src, 2) AS BIGINT) % 3 = 0)""", _LATEST)
 
+# The same chains for every customer.
+add("chain_paths_all", lambda s, d: graph.chain_paths(_links(s, d), table(s, d, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("id"))).withColumnRenamed("at", "place"), [], """
+SELECT id, hop, place FROM (SELECT 'c' || CAST(c_custkey AS STRING) AS id, CAST(0 AS BIGINT) AS hop, 'c' || CAST(c_custkey AS STRING) AS place FROM customer
+  UNION ALL SELECT src, CAST(k + 1 AS BIGINT), 'p' || CAST(dst + k AS STRING) FROM e, (SELECT unnest(range(10)) AS k) WHERE dst % 10 + k < 10)""", _LATEST)
+
 
 def _aliases(s, d):
     made = table(s, d, "customer").select(F.col("c_nationkey").cast("string").alias("merchant_id"), F.col("c_mktsegment").alias("alias"), F.lit(1).cast("bigint").alias("rows"), F.lit("2024-01-01").cast("date").alias("first_seen"))

@@ -238,3 +238,17 @@ def test_intermediates_can_be_dropped(spark):
     assert kept.count() == 3 and runtime.drop_intermediates(spark) >= 1
     with pytest.raises(Exception, match="kept-"):
         kept.collect()
+
+
+def test_chains_of_all_customers(spark):
+    from tallyloom.plans import catalog
+
+    folder = "/root/testdata/sf0.001"
+    got = catalog.all_queries()["chain_paths_all"][0](spark, folder)
+    customers = spark.read.parquet(f"{folder}/customer.parquet").select(F.concat(F.lit("c"), "c_custkey").alias("id"))
+    ordering = spark.read.parquet(f"{folder}/orders.parquet").select(F.concat(F.lit("c"), "o_custkey").alias("id")).distinct()
+    assert values(got.where("hop = 0"), "id") == values(customers, "id")
+    assert values(got.where("hop = 1"), "id") == values(ordering, "id")
+    # Every chain ends at the last of its ten parts.
+    ends = {i: p for i, _, p in values(got.where("hop > 0 AND place LIKE '%9'"), "id", "hop", "place")}
+    assert len(ends) == ordering.count()
