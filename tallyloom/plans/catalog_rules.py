@@ -120,6 +120,39 @@ SELECT 'txn_' || CAST(event_id AS STRING) AS tx_id, strftime(ts, '%Y-%m-%d') AS
   'USD' AS currency FROM events""")
 Q["parse_stripe"] = (Q["parse_stripe"][0], Q["parse_stripe"][1].replace("WITH \n", ""))
 
+# The same projections over every row: bad and missing amounts give null amounts.
+
+
+def _every(s, d, text):
+    return view(s, d, "raw_rows").select(F.lit("f.csv").alias("source_file"), "source_line", *text)
+
+
+add("parse_bofa_all", lambda s, d: S.project_bofa(_every(s, d, [
+    F.lit("03/20/2024").alias("date"), F.concat("description", F.lit(" DES:X "), F.when(F.col("category") == "MEDIUM", "credit card payment").otherwise("buy")).alias("description"),
+    "amount"])).select("source_line", "date", "merchant", "amount", "type", "currency", "bank"), ["raw_rows"], """
+SELECT source_line, '2024-03-20' AS date, split_part(description, ' ', 1) AS merchant, CAST(ABS(a) AS DOUBLE) AS amount,
+  CASE WHEN a < 0 AND category = 'MEDIUM' THEN 'transfer' WHEN a > 0 THEN 'income' ELSE 'expense' END AS type, 'USD' AS currency, 'bofa' AS bank
+FROM (SELECT *, TRY_CAST(replace(amount, '$', '') AS DECIMAL(18,2)) AS a FROM raw_rows)""")
+
+add("parse_apple_all", lambda s, d: S.project_apple(_every(s, d, [
+    F.lit("03/20/2024").alias("date"), F.concat("description", F.when(F.col("category") == "MEDIUM", " thank you").otherwise("")).alias("description"),
+    "amount", "category", F.when(F.col("merchant") != "", F.col("merchant")).alias("merchant")])).select(
+        "source_line", "merchant", "amount", "type", "category_hint"), ["raw_rows"], """
+SELECT source_line, CASE WHEN merchant <> '' THEN merchant ELSE split_part(description, ' ', 1) END AS merchant,
+  CAST(ABS(TRY_CAST(replace(amount, '$', '') AS DECIMAL(18,2))) AS DOUBLE) AS amount,
+  CASE WHEN category = 'MEDIUM' THEN 'transfer' ELSE 'expense' END AS type, category AS category_hint FROM raw_rows""")
+
+add("parse_wise_all", lambda s, d: S.project_wise(_every(s, d, [
+    F.lit("2024-03-20").alias("date"), "description", F.col("merchant").alias("payee_name"), "amount",
+    F.when(F.col("category") == "MEDIUM", "EUR").otherwise("USD").alias("currency"), F.lit("1.25").alias("exchange_rate"),
+    F.col("amount").alias("amount_usd"), F.when(F.col("bank") == "Wise EU", "Money In").when(F.col("bank") == "Stripe Inc", "money out").alias("type"),
+    F.lit("done").alias("status")])).select("source_line", "description", "amount", "type", "original_amount", "original_currency", "exchange_rate"),
+    ["raw_rows"], """
+SELECT source_line, CASE WHEN category = 'MEDIUM' THEN description || ' | ' || COALESCE(CAST(a AS STRING), 'null') || ' EUR → $' || COALESCE(CAST(a AS STRING), 'null') || ' USD @ rate 1.2500' ELSE description END AS description,
+  CAST(ABS(a) AS DOUBLE) AS amount, CASE bank WHEN 'Wise EU' THEN 'income' WHEN 'Stripe Inc' THEN 'expense' ELSE 'transfer' END AS type,
+  CAST(a AS DOUBLE) AS original_amount, CASE WHEN category = 'MEDIUM' THEN 'EUR' ELSE 'USD' END AS original_currency, CAST(1.25 AS DOUBLE) AS exchange_rate
+FROM (SELECT *, TRY_CAST(replace(amount, '$', '') AS DECIMAL(18,2)) AS a FROM raw_rows)""")
+
 add("detect_source", lambda s, d: view(s, d, "raw_rows").groupBy(S.detect_source(F.lower(F.replace("bank", F.lit(" "), F.lit("-")))).alias("source")).agg(
     F.count(F.lit(1)).alias("rows")), ["raw_rows"], """
 SELECT CASE WHEN bank IN ('BofA Checking', 'Bank of America') THEN 'bofa' WHEN bank = 'apple card' THEN 'apple-card'

@@ -252,3 +252,17 @@ def test_chains_of_all_customers(spark):
     # Every chain ends at the last of its ten parts.
     ends = {i: p for i, _, p in values(got.where("hop > 0 AND place LIKE '%9'"), "id", "hop", "place")}
     assert len(ends) == ordering.count()
+
+
+def test_bank_rows_with_bad_and_missing_amounts(spark):
+    from tallyloom.plans import catalog
+    from tallyloom.plans.views import view
+
+    folder = "/root/testdata/sf0.001"
+    raw_rows = view(spark, folder, "raw_rows")
+    bad = raw_rows.where("amount IS NULL OR amount = 'abc'")
+    assert bad.where("amount IS NULL").count() and bad.where("amount = 'abc'").count()
+    for name in ("parse_bofa_all", "parse_apple_all", "parse_wise_all"):
+        got = catalog.all_queries()[name][0](spark, folder)
+        assert got.count() == raw_rows.count(), name
+        assert values(got.where("amount IS NULL"), "source_line") == values(bad, "source_line"), name
