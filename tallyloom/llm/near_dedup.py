@@ -195,7 +195,7 @@ def _large(rows: DataFrame, percent: int, limit: int) -> DataFrame:
         grouped = regrouped(links, blocked)
         heads = grouped.where("doc = comp")
         width = heads.groupBy("cluster").agg(F.sum(size).alias("_width"))
-        dealt = heads.join(width, "cluster").withColumn("block", F.pmod(F.xxhash64("doc", F.lit("heads")), F.ceil(F.col("_width") / F.lit(limit)).cast("long")))
+        dealt = heads.join(F.broadcast(width), "cluster").withColumn("block", F.pmod(F.xxhash64("doc", F.lit("heads")), F.ceil(F.col("_width") / F.lit(limit)).cast("long")))
         more = materialise(dealt.select("doc", "cluster", "members", "comp", "block").groupBy("cluster", "block").applyInArrow(_link(percent), edge), "links")
         if more.isEmpty():
             break
@@ -203,25 +203,19 @@ def _large(rows: DataFrame, percent: int, limit: int) -> DataFrame:
     grouped = materialise(regrouped(links, blocked), "grouped")
     weight = grouped.groupBy("cluster", "comp").agg(F.count("*").alias("_n"))
     main = weight.groupBy("cluster").agg(F.max_by("comp", F.struct("_n", "comp")).alias("_main"))
-    rest = grouped.join(main, "cluster").where("comp <> _main").drop("_main")
-    chunk = F.floor(F.sum(size).over(_running("cluster")) / F.lit(limit))
-    rest = rest.withColumn("chunk", chunk)
-    each = rest.groupBy("cluster").agg(F.max("chunk").alias("_last"))
+    rest = grouped.join(F.broadcast(main), "cluster").where("comp <> _main").drop("_main")
+    # Chunks by hash, as many as the shingles outside the largest group fill; with one row per large cluster broadcast, no cluster meets in one task.
+    each = materialise(rest.groupBy("cluster").agg((F.ceil(F.sum(size) / F.lit(limit)) - 1).cast("long").alias("_last")), "chunks")
+    rest = rest.join(F.broadcast(each), "cluster").withColumn("chunk", F.pmod(F.xxhash64("doc", F.lit("chunks")), F.col("_last") + 1)).drop("_last")
     columns = ["doc", "cluster", "members", "comp", "pair"]
     # Every block of a cluster meets every chunk of what is outside its largest group.
-    spread = grouped.join(each, "cluster").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last"))))
+    spread = grouped.join(F.broadcast(each), "cluster").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last"))))
     spread = spread.withColumn("pair", F.concat_ws("-", "block", "chunk")).select(columns)
     visit = rest.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))).withColumn("pair", F.concat_ws("-", "_b", "chunk")).select(columns)
     last = spread.union(visit).groupBy("cluster", "pair").applyInArrow(_link(percent), edge)
     return links.union(last)
 
 
-def _running(*keys: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(*keys).orderBy("doc").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-
-
 def near_duplicates(docs: DataFrame, text: str = "text", id_column: str = "doc_id", size: int = 4, percent: int = 80, slots: int = 96, rows: int = 4, limit: int = 4_000_000) -> DataFrame:
     """``id_column``, ``n_shingles``, ``component_id`` and ``kept`` for each row of ``docs``.
 

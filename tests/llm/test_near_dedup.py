@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from tallyloom.llm.components import components
-from tallyloom.llm.near_dedup import near_duplicates, superminhash
+from tallyloom.llm.near_dedup import _large, near_duplicates, superminhash
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -60,6 +60,17 @@ def test_groups_equal_brute_force(spark, limit):
     assert sorted(tuple(r) for r in near_duplicates(df, limit=limit).collect()) == brute(rows)
 
 
+def test_large_clusters_never_meet_in_one_task(spark):
+    r = np.random.default_rng(2)
+    sets = [np.unique(r.integers(0, 2**63, 50).astype(np.uint64)) for _ in range(60)]
+    sets += [np.sort(np.append(s[:48], np.uint64(k))) for k, s in enumerate(sets[:9])]
+    rows = [(i, 1 + i % 3 // 2, s.tobytes(), sum(len(x) for j, x in enumerate(sets) if j % 3 // 2 == i % 3 // 2)) for i, s in enumerate(sets)]
+    links = _large(spark.createDataFrame(rows, "doc long, cluster long, members binary, total long").repartition(3), 80, 200)
+    plan = links._jdf.queryExecution().toString()
+    assert "Window" not in plan and "SortMergeJoin [cluster" not in plan
+    assert {tuple(sorted(x)) for x in links.collect()} == {(i, 60 + i) for i in range(9)}
+
+
 def test_nulls_repeats_and_empty_table(spark):
     rows = [(None, "a b c d e"), (5, "a b c d e"), (5, "a b c d e"), (2, "A B c d  e"), (9, None), (7, "x y z w v"), (7, "a b c d e"), (8, "X y z w v")]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS digest", "2 AS label")
