@@ -100,6 +100,13 @@ add("category_counts", lambda s, d: categories.category_counts(_dims(s, d)).wher
 SELECT 'account_category' AS dimension, CASE direction WHEN 'expense' THEN 'Expenses' ELSE 'Revenue' END AS value, COUNT(*) AS rows FROM bk GROUP BY 2 UNION ALL
 SELECT 'tax_category', CASE WHEN direction = 'income' THEN 'Taxable Income' WHEN mcc = 5912 THEN 'Medical Deductible' ELSE 'Non-Deductible' END, COUNT(*) FROM bk GROUP BY 2""", _REG, _BANKED)
 
+# All four breakdowns.
+add("category_counts_all", lambda s, d: categories.category_counts(_dims(s, d)), ["named"], """
+SELECT 'account_category' AS dimension, CASE direction WHEN 'expense' THEN 'Expenses' ELSE 'Revenue' END AS value, COUNT(*) AS rows FROM bk GROUP BY 2 UNION ALL
+SELECT 'tax_category', CASE WHEN direction = 'income' THEN 'Taxable Income' WHEN mcc = 5912 THEN 'Medical Deductible' ELSE 'Non-Deductible' END, COUNT(*) FROM bk GROUP BY 2 UNION ALL
+SELECT 'budget_category', CASE WHEN category_entity = 'shopping' THEN 'Shopping' WHEN category_entity IS NOT NULL THEN 'Living' ELSE 'Uncategorized' END, COUNT(*) FROM bk GROUP BY 2 UNION ALL
+SELECT 'payment_method', CASE WHEN account_entity IS NOT NULL THEN 'Debit Card' ELSE 'Unknown' END, COUNT(*) FROM bk GROUP BY 2""", _REG, _BANKED)
+
 
 def _merchant(s, d):
     rows = view(s, d, "named").withColumns({"merchant_expected": F.col("confidence") > 0.1, "type": F.lit("card-purchase"),

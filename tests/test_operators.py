@@ -266,3 +266,12 @@ def test_bank_rows_with_bad_and_missing_amounts(spark):
         got = catalog.all_queries()[name][0](spark, folder)
         assert got.count() == raw_rows.count(), name
         assert values(got.where("amount IS NULL"), "source_line") == values(bad, "source_line"), name
+
+
+def test_all_category_breakdowns(spark):
+    from tallyloom.plans import catalog
+
+    got = catalog.all_queries()["category_counts_all"][0](spark, "/root/testdata/sf0.001").groupBy("dimension").agg(F.sum("rows").alias("rows"))
+    rows = values(got, "dimension", "rows")
+    assert [d for d, _ in rows] == ["account_category", "budget_category", "payment_method", "tax_category"]
+    assert len({n for _, n in rows}) == 1
