@@ -14,6 +14,8 @@ MIX_A, MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Bytes 0x20 and 0x09 to 0x0D part words.
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
+#: The lowest 0 to 8 bytes of a number.
+LOW_BYTES = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -59,6 +61,26 @@ def rolling(prefix: np.ndarray, size: int) -> np.ndarray:
     return (prefix[size:] - prefix[:n]) * powers(len(prefix))[1][:n]
 
 
+def content_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of the bytes of each span, eight at a time. Each eight are mixed with their place before they are added, so no pattern in a text cancels out, as it may in a polynomial."""
+    size = ends - starts
+    count = (size + 7) >> 3
+    stop = np.cumsum(count)
+    if not len(stop) or not stop[-1]:
+        return mix(size.astype(np.uint64) + MIX_A)
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    place = np.arange(stop[-1]) - np.repeat(stop - count, count)
+    left = np.repeat(size, count) - 8 * place
+    x = eight[np.repeat(starts, count) + 8 * place]
+    x &= LOW_BYTES[np.minimum(left, 8)]
+    x = mix(x + (place + 1).astype(np.uint64) * BASE)
+    sums = np.zeros(len(x) + 1, np.uint64)
+    np.cumsum(x, out=sums[1:])
+    return mix((sums[stop] - sums[stop - count]) ^ mix(size.astype(np.uint64) + MIX_A))
+
+
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     """Minimum of each ``width`` consecutive values, by doubling."""
     if len(values) < width:
@@ -97,12 +119,12 @@ def slices(table: pa.Table | pa.RecordBatch, text: str, limit: int = 1 << 18) ->
         begin = end
 
 
-def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end byte of each word, and the number of the first word of each row, with the end."""
+def word_bounds(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte of each word, and the number of the first word of each row, with the end. ``between``: which bytes part words."""
     if not len(data):
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(len(offsets), np.int64)
-    inside = ~SPACE[data]
+    inside = ~between[data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     last = inside.copy()

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import mixing, near_dedup, pieces, quality_rules, substring_dedup, suffix_index, topk, warc
+from tallyloom.llm import manifest, mixing, near_dedup, periodic, pieces, quality_rules, substring_dedup, suffix_index, topk, warc
 from tallyloom.llm.discriminant import quality
 from tallyloom.llm.extract import extract
 from tallyloom.llm.near_dedup import near_duplicates
 from tallyloom.llm.substring_dedup import remove_repeats
 from tallyloom.llm.suffix_index import remove_repeated_bytes
 from tallyloom.llm.topk import top_products
+from tallyloom.llm.toxicity import toxicity
 from tallyloom.runtime import materialise, shared_path
 
 #: A public model file; another one may be given to the query's function.
@@ -69,6 +70,18 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("__total").alias("n_bytes"), F.col("__removed").alias("n_removed"), F.size("__spans").cast("long").alias("n_spans"), F.sha2("__kept", 256).alias("kept_sha256"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.run_facts(table(spark, sf_dir, "documents"))
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("evidence")
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.document_manifest(table(spark, sf_dir, "documents"))
+
+
 Q = {
     "op1_html_extraction": (op1_html_extraction, None),
     "op2_near_dedup": (op2_near_dedup, near_dedup.SQL),
@@ -80,4 +93,7 @@ Q = {
     "op8_mixing": (op8_mixing, mixing.SQL),
     "op9_substring_dedup": (op9_substring_dedup, substring_dedup.SQL),
     "op10_suffix_array_dedup": (op10_suffix_array_dedup, suffix_index.SQL),
+    "op11_periodic_runs": (op11_periodic_runs, periodic.SQL),
+    "op12_toxicity": (op12_toxicity, None),
+    "op13_merkle_manifest": (op13_merkle_manifest, manifest.SQL),
 }
