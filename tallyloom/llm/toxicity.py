@@ -30,6 +30,8 @@ BETWEEN = np.ones(256, bool)
 BETWEEN[65:91] = BETWEEN[97:123] = BETWEEN[128:] = False
 #: Term kinds: whole words, and beginnings of longer words of so many letters.
 BEGINNINGS = (4, 5)
+#: Bounds of blocks held at a time.
+BOUNDS = 1 << 20
 EVIDENCE = "array<struct<id:bigint,similarity:double,label:int>>"
 
 
@@ -153,7 +155,18 @@ class BlockMaxIndex:
 
     def top(self, queries: Sparse, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
         """Scores and places (-1: none) of the ``k`` nearest rows of each query with a positive score, ties to the smaller id; then how many blocks were
-        visited. A row whose id is the query's ``own`` is not its neighbour; an own id of -1 with no such row leaves all."""
+        visited. A row whose id is the query's ``own`` is not its neighbour; an own id of -1 with no such row leaves all. Queries are taken some at a time, so that bounds stay small."""
+        n = len(own)
+        edges = [0]
+        while edges[-1] < n:
+            room = queries.first[edges[-1]] + BOUNDS // self.blocks
+            edges.append(min(n, edges[-1] + max(1, BOUNDS // (8 * self.width)), max(edges[-1] + 1, int(np.searchsorted(queries.first, room, "right")) - 1)))
+        parts = [self._top(queries.take(np.arange(a, b)), own[a:b], k) for a, b in zip(edges, edges[1:])]
+        if not parts:
+            return np.zeros((0, k)), np.zeros((0, k), np.int64), 0
+        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), sum(p[2] for p in parts)
+
+    def _top(self, queries: Sparse, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
         n, width = len(queries.first) - 1, self.width
         rows = queries.rows
         bound = np.zeros((n, self.blocks))
