@@ -4,7 +4,7 @@ A window or join key may own a third of all rows. The helpers here keep every
 task bounded in that case while leaving ordinary keys on the plain path; both paths give the same rows.
 
 ``hot_groups`` finds heavy keys by share of the input, so by pigeonhole there are
-at most ``1 / HOT_SHARE`` of them. It runs one aggregation when the plan is built and returns 64-bit
+at most ``1 / HOT_SHARE`` of them. It runs one aggregation when the plan is built (two if there are any) and returns 64-bit
 hashes with the number of pieces to cut each key into (under two megabytes).
 """
 
@@ -38,9 +38,12 @@ def hot_groups(
     """
     weight = F.sum(rows) if rows else F.count(F.lit(1))
     counts = df.groupBy(F.xxhash64(*keys).alias("_hot")).agg(weight.alias("_n"))
-    total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("t")).scalar()
-    heavy = counts.where((F.col("_n") > floor) & (F.col("_n") > total * F.lit(share)))
-    return {r["_hot"]: 1 + int(r["_n"]) // max(1, floor) for r in heavy.select("_hot", "_n").collect()}
+    # Fewer than 1 / share keys can hold more than that share, and they are the largest.
+    heavy = counts.where(F.col("_n") > floor).orderBy(F.desc("_n")).limit(int(1 / share) + 1).collect()
+    if not heavy:
+        return {}
+    total = df.agg(weight.alias("t")).first()["t"]
+    return {r["_hot"]: 1 + int(r["_n"]) // max(1, floor) for r in heavy if r["_n"] > total * share}
 
 
 def with_pieces(df: DataFrame, keys: Sequence[str], hot: Mapping[int, int], out: str) -> DataFrame:

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions.normalise import content_hash
 from tallyloom.functions.skew import HOT_FLOOR, HOT_SHARE, hot_groups, spread_join
+from tallyloom.operators.card_payments import settled_payments
+from tallyloom.operators.edit_join import similar_pairs
 from tallyloom.runtime import materialise
 from tallyloom.sources.tables import load_config
 
@@ -310,87 +312,49 @@ def _cross_source(df: DataFrame, rule: Mapping, share: float, floor: int) -> Dat
     return _links(spread_join(keyed, links.drop("own_rows"), by, ["tx_id"], many, how="inner"), rule)
 
 
-def _segments(name: Column, parts: int) -> Column:
-    """Even split of a name into ``parts`` pieces: (piece, start, text)."""
-    size = F.length(name)
-    cut = lambda i: F.floor(size * i / parts).cast("int")
-    return F.array(*[
-        F.struct(
-            F.lit(i).alias("piece"),
-            (cut(i) + 1).alias("start"),
-            F.substr(name, cut(i) + 1, cut(i + 1) - cut(i)).alias("text"),
-        )
-        for i in range(parts)
-    ])
-
-
 def _similar_names(df: DataFrame, rule: Mapping, limit: int, share: float, floor: int) -> DataFrame:
-    """Same day and amount, merchant names within ``limit`` edits.
-
-    Of ``limit + 1`` pieces of a name, one survives ``limit`` edits unchanged and moves by at
-    most ``limit`` places, so names are compared only where a piece agrees.
-    """
+    """Same day and amount, merchant names within ``limit`` edits (see ``edit_join``); copies of a name are one point."""
     keyed = df.select(
         "tx_id", day_number(F.col("date")).alias("day"), cents(F.col("amount")).alias("cents"), "merchant"
     ).dropna()
     by = ["day", "cents", "merchant"]
-    points = keyed.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), F.min("tx_id").alias("first_id"))
-    pieces = points.select("*", F.inline(_segments(F.col("merchant"), limit + 1))).select(
-        "day", "cents", F.length("merchant").alias("size"), "piece", "text",
-        F.struct("merchant", "rows", "first_id", "start").alias("b"),
-    )
-    sizes = F.sequence(F.greatest(F.length("merchant") - limit, F.lit(0)), F.length("merchant") + limit)
-    probes = points.withColumn("size", F.explode(sizes))
-    bounds = F.array(*[
-        F.struct(
-            F.lit(i).alias("piece"),
-            (F.floor(F.col("size") * i / (limit + 1)) + 1).cast("int").alias("start"),
-            (F.floor(F.col("size") * (i + 1) / (limit + 1)) - F.floor(F.col("size") * i / (limit + 1)))
-            .cast("int").alias("width"),
-        )
-        for i in range(limit + 1)
-    ])
-    shifts = F.explode(F.sequence(F.lit(-limit), F.lit(limit)))
-    probes = probes.select("*", F.inline(bounds)).select("*", shifts.alias("shift"))
-    probes = probes.where(F.col("start") + F.col("shift") >= 1).select(
-        "day", "cents", "merchant", "size", "piece",
-        F.substr("merchant", F.col("start") + F.col("shift"), F.col("width")).alias("text"),
-    ).distinct()
-    near = (
-        probes.join(pieces, ["day", "cents", "size", "piece", "text"])
-        .where(F.levenshtein("merchant", F.col("b.merchant"), limit) >= 0)
-        .select(*by, F.col("b.merchant").alias("other"), F.col("b.rows").alias("n"), F.col("b.first_id").alias("id"))
-        .distinct()
-        .groupBy(*by)
-        .agg((F.sum("n") - 1).alias("matches"), F.min("id").alias("match_id"))
-        .where(F.col("matches") > 0)
-    )
-    counted = points.select(*by, "rows")
-    hot = hot_groups(counted, by, rows="rows", share=share, floor=floor)
+    points = materialise(keyed.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), F.min("tx_id").alias("first_id")), "points")
+    pairs = similar_pairs(points, ["day", "cents"], "merchant", limit, ["rows", "first_id"])
+    # Each side of a pair gains the other's rows; a point is its own match but for one row.
+    both = F.array(F.struct(F.col("a.name").alias("merchant"), F.col("b").alias("o")), F.struct(F.col("b.name").alias("merchant"), F.col("a").alias("o")))
+    gained = pairs.select("day", "cents", F.inline(both)).select(*by, F.col("o.rows").alias("rows"), F.col("o.first_id").alias("first_id"))
+    near = points.select(*by, "rows", "first_id").unionByName(gained).groupBy(*by).agg(
+        (F.sum("rows") - 1).alias("matches"), F.min("first_id").alias("match_id")
+    ).where(F.col("matches") > 0)
+    hot = hot_groups(points, by, rows="rows", share=share, floor=floor)
     found = spread_join(keyed, near, by, ["tx_id"], hot, how="inner")
     return _links(found.where(F.col("tx_id") != F.col("match_id")), rule)
 
 
 def _sum_of_charges(df: DataFrame, rule: Mapping, share: float, floor: int) -> DataFrame:
-    """Card payments of one bank equal to the summed charges of a card over the days before."""
+    """Card payments of one bank equal to the summed charges of a card over the days before.
+
+    Fields besides the date name the card that is paid; a payment then meets each trailing window of its own card (see ``card_payments``).
+    Without such a field all charges count as one card's, and only the whole time window is looked at.
+    """
     reach = _day_limit(rule)
-    charges = (
-        df.where(F.col("bank").isin(rule["target_banks"]) & (F.col("type") == "expense"))
-        .groupBy(day_number(F.col("date")).alias("day"))
-        .agg(F.sum(cents(F.col("amount"))).alias("day_cents"), F.min("tx_id").alias("first_id"), F.count(F.lit(1)).alias("rows"))
-    )
+    keys = [f for f in rule["fields"] if f != "date"]
+    side = lambda rows: rows.select("tx_id", *keys, day_number(F.col("date")).alias("day"), cents(F.col("amount")).alias("cents"))
+    charges = side(df.where(F.col("bank").isin(rule["target_banks"]) & (F.col("type") == "expense")))
+    pay = side(df.where((F.col("bank") == rule["source_bank"]) & (F.col("type") == "transfer")))
+    if keys:
+        found = settled_payments(pay, charges, keys, reach, share, floor)
+        return _links(found.select("tx_id", F.col("first_id").alias("match_id"), F.col("charges").alias("matches")), rule)
+    daily = charges.groupBy("day").agg(F.sum("cents").alias("day_cents"), F.min("tx_id").alias("first_id"), F.count(F.lit(1)).alias("rows"))
     # Each payment day looks back over at most ``reach`` days of daily totals.
-    spread = charges.select(F.explode(F.sequence(F.lit(0), F.lit(reach))).alias("back"), "*")
+    spread = daily.select(F.explode(F.sequence(F.lit(0), F.lit(reach))).alias("back"), "*")
     due = (
         spread.groupBy((F.col("day") + F.col("back")).alias("day"))
-        .agg(F.sum("day_cents").alias("due"), F.min("first_id").alias("match_id"), F.sum("rows").alias("matches"))
-    )
-    pay = df.where((F.col("bank") == rule["source_bank"]) & (F.col("type") == "transfer")).select(
-        "tx_id", day_number(F.col("date")).alias("day"), cents(F.col("amount")).alias("due")
+        .agg(F.sum("day_cents").alias("cents"), F.min("first_id").alias("match_id"), F.sum("rows").alias("matches"))
     )
-    counted = pay.groupBy("day", "due").agg(F.count(F.lit(1)).alias("n"))
-    hot = hot_groups(counted, ["day", "due"], rows="n", share=share, floor=floor)
-    return _links(spread_join(pay, due, ["day", "due"], ["tx_id"], hot, how="inner"), rule)
+    counted = pay.groupBy("day", "cents").agg(F.count(F.lit(1)).alias("n"))
+    hot = hot_groups(counted, ["day", "cents"], rows="n", share=share, floor=floor)
+    return _links(spread_join(pay, due, ["day", "cents"], ["tx_id"], hot, how="inner"), rule)
 
 
 def rule_links(df: DataFrame, rule: Mapping, share: float = HOT_SHARE, floor: int = HOT_FLOOR) -> DataFrame:

@@ -1,9 +1,8 @@
 """Name resolution against registries of entities with many name variations.
 
 Registries may be large, so nothing here loops over entities. Exact names are an equi-join
-with one row per name. Contained variations are found by position: each place in a text is
-looked up by its first characters, which yields the few lengths worth trying there, and the
-substring of that length is then an equi-join key. Work is done once per distinct text.
+with one row per name. Contained variations are found by automata over the registry or its
+shards, one pass a text (see ``contained``). Work is done once per distinct text.
 """
 
 from __future__ import annotations
@@ -15,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions.normalise import file_prefix, fill_template, kebab, squash
 from tallyloom.functions.skew import first_per_key, hot_groups, spread_join
+from tallyloom.operators.contained import longest_contained
 from tallyloom.runtime import materialise
 
 # Confidence of the match tiers and factors of the resolver.
@@ -72,9 +72,6 @@ def variation_rows(registry: DataFrame, entity: str = "entity_id") -> DataFrame:
     )
 
 
-HEAD = 3
-
-
 def match_names(texts: DataFrame, registry: DataFrame, min_length: int = 1) -> DataFrame:
     """Best entity for each text of column ``text`` (comparison form, distinct).
 
@@ -87,22 +84,8 @@ def match_names(texts: DataFrame, registry: DataFrame, min_length: int = 1) -> D
 
     inner = names.where((F.col("tier") == 2) & (F.length("name") >= min_length))
     owner = inner.groupBy("name").agg(F.min("entity_id").alias("owner"))
-    # A name is looked for where its first characters stand: up to three, so short names have heads of their own.
-    heads = owner.groupBy(F.substring("name", 1, HEAD).alias("head")).agg(
-        F.collect_set(F.length("name")).alias("lengths")
-    )
     open_texts = tried.where(F.col("hit").isNull()).select("text").where(F.length("text") >= min_length)
-    places = open_texts.select("text", F.explode(F.sequence(F.lit(1), F.length("text"))).alias("at")).select(
-        "text", "at", F.explode(F.sequence(F.lit(1), F.least(F.lit(HEAD), F.length("text") - F.col("at") + 1))).alias("_n")
-    ).select("text", "at", F.substr("text", F.col("at"), F.col("_n")).alias("head"))
-    spans = places.join(heads, "head").select("text", "at", F.explode("lengths").alias("len"))
-    spans = spans.where(F.col("at") + F.col("len") - 1 <= F.length("text"))
-    pieces = spans.select("text", F.substr("text", F.col("at"), F.col("len")).alias("name"))
-    inside = (
-        pieces.join(owner, "name")
-        .groupBy("text")
-        .agg(F.min(F.struct((-F.length("name")).alias("neg_len"), "owner")).alias("part"))
-    )
+    inside = longest_contained(open_texts, owner).select("text", F.struct("owner").alias("part"))
     both = tried.join(inside, "text", "left")
     tier = F.when(F.col("hit").isNotNull(), F.col("hit.tier")).when(F.col("part").isNotNull(), F.lit(3))
     return both.select(

@@ -58,6 +58,20 @@ VIEWS = {
                CASE l_linestatus WHEN 'O' THEN 'expense' ELSE CASE WHEN l_tax < 0.03 THEN 'transfer' ELSE 'income' END END AS type,
                l_linestatus || l_returnflag AS description
         FROM <lineitem>""",
+    # Order lines as charges of their customer's card over four days, and a payment an order: most settle the charges of a few days, some nothing.
+    "card_ledger": f"""
+        SELECT {_LINE_ID} AS tx_id, 'card-' || CAST(o_custkey AS STRING) AS account_id,
+               CAST(o_orderdate AS DATE) + CAST(l_linenumber % 4 AS INTEGER) AS date, CAST(l_extendedprice AS DECIMAL(18,2)) AS amount,
+               'apple-card' AS bank, 'expense' AS type
+        FROM <lineitem> JOIN <orders> ON l_orderkey = o_orderkey
+        UNION ALL
+        SELECT 'pay-' || CAST(o_orderkey AS STRING), 'card-' || CAST(o_custkey AS STRING),
+               CAST(o_orderdate AS DATE) + CAST(3 + o_orderkey % 4 AS INTEGER),
+               CASE WHEN o_orderkey % 5 = 0 THEN CAST(o_totalprice AS DECIMAL(18,2))
+                    ELSE CAST(SUM(CASE WHEN l_linenumber % 4 >= o_orderkey % 3 THEN CAST(l_extendedprice AS DECIMAL(18,2)) ELSE 0 END) AS DECIMAL(18,2)) END,
+               'bofa', 'transfer'
+        FROM <orders> JOIN <lineitem> ON l_orderkey = o_orderkey
+        GROUP BY o_orderkey, o_custkey, o_orderdate, o_totalprice""",
     # Order lines rendered as the raw text of an import file, with faults.
     "raw_rows": f"""
         SELECT CASE WHEN l_quantity = 13 THEN 'n/a' WHEN l_quantity = 14 THEN NULL
