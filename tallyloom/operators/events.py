@@ -193,9 +193,16 @@ def project_state(
     """
     fields = dict(fields or LEDGER_FIELDS)
     log = events if at is None else as_of(events, at)
-    log = log.where(F.col("event_type").isin([IMPORTED, *MERGING]) & F.col("aggregate_id").isNotNull())
     if ids is not None:
         log = log.join(ids.select("aggregate_id").distinct(), "aggregate_id", "left_semi")
+    return finish_state(partial_state(log, fields), fields)
+
+
+def partial_state(events: DataFrame, fields: Mapping[str, str] | None = None) -> DataFrame:
+    """One row per transaction from which the state follows, and which can be merged with that of other events: the last import, the last change of
+    each field, the last event and the number of events."""
+    fields = dict(fields or LEDGER_FIELDS)
+    log = events.where(F.col("event_type").isin([IMPORTED, *MERGING]) & F.col("aggregate_id").isNotNull())
     schema = ", ".join(f"`{n}` {t}" for n, t in fields.items())
     rows = log.select(
         "aggregate_id",
@@ -210,9 +217,20 @@ def project_state(
         ).alias(f"_m{i}")
         for i, n in enumerate(fields)
     ]
-    folded = rows.groupBy("aggregate_id").agg(
+    return rows.groupBy("aggregate_id").agg(
         last_import.alias("_imp"), F.max("o").alias("_last"), F.count(F.lit(1)).alias("events"), *merged
     )
+
+
+def merge_states(partials: DataFrame) -> DataFrame:
+    """Partial states of separate events as one."""
+    newest = [F.max(c).alias(c) for c in partials.columns if c not in ("aggregate_id", "events")]
+    return partials.groupBy("aggregate_id").agg(F.sum("events").alias("events"), *newest).select(partials.columns)
+
+
+def finish_state(folded: DataFrame, fields: Mapping[str, str] | None = None) -> DataFrame:
+    """Current transactions from partial states."""
+    fields = dict(fields or LEDGER_FIELDS)
     values = []
     for i, n in enumerate(fields):
         newer = F.col("_imp").isNull() | (F.col(f"_m{i}.o") > F.col("_imp.o"))

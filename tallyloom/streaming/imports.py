@@ -12,6 +12,7 @@ from tallyloom.functions.skew import first_per_key
 from tallyloom.operators.classify import Rule, classify
 from tallyloom.operators.cleaning import import_rows
 from tallyloom.operators.events import classified, imported
+from tallyloom.sources.key_store import KeyStore, Lookup
 
 
 def read_stream(
@@ -62,9 +63,32 @@ def idempotent_sink(path: str, key: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
+def keyed_sink(path: str, key: str, buckets: int = 16, look_back: int | None = None, looked: Callable[[int, Lookup], None] | None = None) -> Callable[[DataFrame, int], None]:
+    """As ``idempotent_sink``, but what is known comes from a key store beside the rows, so a batch reads filters and the few key files that may hold one of its keys
+    instead of the whole history. ``look_back``: batches that are looked at; ``looked`` is told how many key files there are and were opened."""
+    store = KeyStore(f"{path}/_keys", key, buckets, look_back)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        once = first_per_key(batch, [key], [F.xxhash64(*batch.columns)]).persist()
+        try:
+            found = store.lookup(once.select(key), batch_id)
+            if looked:
+                looked(batch_id, found)
+            once.join(found.known, key, "left_anti").write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        finally:
+            once.unpersist()
+        fresh = spark.read.schema(batch.schema).parquet(f"{path}/batch_id={batch_id}")
+        store.add(fresh.select(key), batch_id)
+        # Only segments of batches that are done for good are merged.
+        store.compact(spark, batch_id, batch.schema[key].dataType.simpleString())
+
+    return write
+
+
 def event_sink(ledger_path: str, events_path: str, key: str = "tx_id") -> Callable[[DataFrame, int], None]:
     """Store new transactions, and two events for each: imported and classified."""
-    store = idempotent_sink(ledger_path, key)
+    store = keyed_sink(ledger_path, key)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         store(batch, batch_id)
