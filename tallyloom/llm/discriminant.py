@@ -55,8 +55,7 @@ def statistics(column, steady: float = 20.0) -> np.ndarray:
     starts, ends, first = grams.word_bounds(data, offsets)
     words = np.diff(first)
     row = np.repeat(np.arange(n), words)
-    prefix = grams.prefix_hash(data.astype(np.uint64) + np.uint64(1))
-    name = grams.span_hash(prefix, starts, ends)
+    name = grams.content_hash(data, starts, ends)
 
     def inside(which: int) -> np.ndarray:
         sums = np.append(0, np.cumsum(kind == which))
@@ -78,7 +77,7 @@ def statistics(column, steady: float = 20.0) -> np.ndarray:
     last = np.append(at[1:], len(starts)) - 1
     line_row = row[at]
     lines = np.bincount(line_row, minlength=n)
-    fresh_lines = _distinct(line_row, grams.span_hash(prefix, starts[at], ends[last]) if len(at) else name, n)
+    fresh_lines = _distinct(line_row, grams.content_hash(data, starts[at], ends[last]) if len(at) else name, n)
     letters = chars[:, [UPPER, LOWER_CASE, HIGH]].sum(1)
     in_words = size - chars[:, BLANK]
 

@@ -34,6 +34,7 @@ from tallyloom.llm import grams
 
 PART, KEEP = "__part", "__spans"
 SHORT = np.uint64((1 << 48) - 1)
+SINGLE = np.uint64(1 << 63)
 
 
 @dataclass(frozen=True)
@@ -65,7 +66,7 @@ class Text:
             at = np.arange(len(data) + 1)
             return cls(grams.prefix_hash(data.astype(np.uint64) + np.uint64(1)), offsets, data, at[:-1], at[1:], data, at[:-1], offsets[1:])
         starts, ends, first = grams.word_bounds(data, offsets)
-        hashes = grams.span_hash(grams.prefix_hash(data.astype(np.uint64) + np.uint64(1)), starts, ends)
+        hashes = grams.content_hash(data, starts, ends)
         # One space after each word, wherever the text has any white space.
         space = grams.SPACE[data]
         keep = ~space
@@ -99,7 +100,12 @@ class Text:
         return grams.gather(self.data, self.starts[begin], end - self.starts[begin])
 
     def hashes(self, begin: np.ndarray, count: np.ndarray, unit: Unit) -> np.ndarray:
-        return grams.span_hash(self.prefix, begin, begin + count + unit.width - 1)
+        """Hash of the true symbols of each run of windows."""
+        return grams.content_hash(self.data, self.starts[begin], self.ends[begin + count + unit.width - 2])
+
+    def spots(self, begin: np.ndarray, unit: Unit) -> np.ndarray:
+        """A cheap hash of single windows, which deals them and finds candidates; the highest bit tells it from an anchor."""
+        return grams.span_hash(self.prefix, begin, begin + unit.width) | SINGLE
 
 
 def each_window(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -277,7 +283,7 @@ class Plan:
             single = each_window(begin[heat], count[heat])
             alone = body.hashes(single, np.ones(len(single), np.int64), self.unit)
             key = np.concatenate([body.hashes(begin[use], count[use], self.unit), alone])
-            spot = np.concatenate([anchor[use], alone])
+            spot = np.concatenate([anchor[use], body.spots(single, self.unit)])
             named, value = self._ids(piece)
             row = grams.rows_of(body.first, np.concatenate([begin[use], single]))
             ok = named[row]
@@ -303,9 +309,9 @@ class Plan:
 
     @staticmethod
     def _several(spot: np.ndarray, start: np.ndarray) -> np.ndarray:
-        """Which distinct fragments share their anchor with others."""
+        """Which distinct fragments share their anchor with others; single windows of different hash differ."""
         s = spot[start]
-        same = s[1:] == s[:-1]
+        same = (s[1:] == s[:-1]) & (s[1:] < SINGLE)
         out = np.zeros(len(s), bool)
         out[1:] |= same
         out[:-1] |= same
@@ -364,7 +370,7 @@ class Plan:
                 return _rows([], names, kinds)
             spot, key, low, part, start = self._heard(told)
             # A window of a hot anchor is dealt by its own hash.
-            alone = spot == key
+            alone = spot >= SINGLE
             text_of = {}
             for keys, ends, body in zip(*(texts.column(c).to_pylist() for c in ("keys", "ends", "fragments"))):
                 (keys,), (ends,), (body,) = unsqueeze(keys, np.uint64), unsqueeze(ends, np.int64), unsqueeze(body, np.uint8)
@@ -382,9 +388,9 @@ class Plan:
             rows: dict[int, tuple] = {}
             sizes = np.diff(np.append(start, len(key)))
             later = low > np.repeat(first, sizes)
-            for g, (k, out, h) in packed(part, key, later, alone):
+            for g, (k, s, out, h) in packed(part, key, spot, later, alone):
                 if out.any() or h.any():
-                    rows[g] = (k[out & ~h], k[out & h], k[~out & h], [], [])
+                    rows[g] = (k[out & ~h], np.concatenate([k[out & h], s[out & h]]), np.concatenate([k[~out & h], s[~out & h]]), [], [])
             none = np.zeros(0, np.uint64)
             for i, mask in zip(order, masks):
                 if mask.any():
@@ -402,7 +408,12 @@ class Plan:
         """Adds to each row what is left, the spans it loses, and the number of symbols it has and loses."""
         if not docs.num_rows:
             return self.schema.empty_table()
-        lost, alone, together, some = (unsqueezed(verdicts.column(c).to_pylist(), np.uint64)[0][0] for c in ("lost", "alone", "shared", "some"))
+        lost, some = (unsqueezed(verdicts.column(c).to_pylist(), np.uint64)[0][0] for c in ("lost", "some"))
+        # Single windows: their hashes, then their spots.
+        (alone, alone_spots), (together, together_spots) = (
+            [np.concatenate(x) for x in zip(np.zeros((2, 0), np.uint64), *(np.split(unsqueeze(b, np.uint64)[0], 2) for b in verdicts.column(c).to_pylist()))] for c in ("alone", "shared")
+        )
+        spots = np.unique(np.concatenate([alone_spots, together_spots]))
         bits = [b for masks in verdicts.column("masks").to_pylist() for b in masks]
         lost, alone, together = np.unique(lost), np.unique(alone), np.unique(together)
         mask_of: dict[int, list[bytes]] = {}
@@ -433,6 +444,7 @@ class Plan:
         if len(alone) or len(together):
             for _, body, value, begin, count, _ in pieces:
                 at = each_window(begin, count)
+                at = at[isin(body.spots(at, self.unit), spots)]
                 key = body.hashes(at, np.ones(len(at), np.int64), self.unit)
                 use = isin(key, together)
                 singles.append((at[isin(key, alone)], at[use], key[use], doc_of(body, value, at[use])))

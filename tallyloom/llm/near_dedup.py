@@ -29,13 +29,16 @@ def shingles(column, size: int) -> tuple[np.ndarray, np.ndarray]:
     data, offsets = grams.utf8(column)
     data = grams.LOWER[data]
     starts, ends, first = grams.word_bounds(data, offsets)
-    words = grams.span_hash(grams.prefix_hash(data.astype(np.uint64) + np.uint64(1)), starts, ends)
-    prefix = grams.prefix_hash(words)
+    words = grams.content_hash(data, starts, ends)
     total = np.diff(first)
     count = np.where(total >= size, total - size + 1, np.minimum(total, 1))
     row = np.repeat(np.arange(len(total)), count)
     at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + first[:-1][row]
-    values = grams.span_hash(prefix, at, np.minimum(at + size, first[1:][row]))
+    # A chain over the words' hashes; a sequence shorter than a shingle takes fewer steps.
+    values, last = np.zeros(len(at), np.uint64), first[1:][row]
+    for step in range(size):
+        inside = slice(None) if step == 0 else np.flatnonzero(at + step < last)
+        values[inside] = grams.mix(values[inside] ^ words[at[inside] + step])
     order = np.lexsort((values, row))
     values, row = values[order], row[order]
     keep = np.ones(len(values), bool)

@@ -103,3 +103,11 @@ def test_very_long_texts(spark):
     near[1000] = "other"
     df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(near)), (3, "x" * 300_000)], "doc_id long, text string")
     assert sorted((r.doc_id, r.component_id) for r in near_duplicates(df).collect()) == [(1, 1), (2, 1), (3, 3)]
+
+
+def test_patterns_that_cancel_in_a_polynomial_hash(spark):
+    """Thue-Morse words and their complements have one polynomial hash modulo 2**64; they are different words."""
+    word = lambda n, a, b: "".join(a if bin(i).count("1") % 2 == 0 else b for i in range(n))
+    rows = [(1, word(1024, "a", "b")), (2, word(1024, "b", "a")), (3, word(2048, "a", "b")), (4, word(2048, "b", "a")), (5, "x y z " + word(1024, "a", "b")), (6, "x y z " + word(1024, "b", "a")), (7, word(1024, "A", "b"))]
+    out = sorted(tuple(r) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert out == brute(rows) and [r[3] for r in out] == [True] * 6 + [False]

@@ -110,3 +110,21 @@ def test_very_long_texts(spark):
     assert {r.doc_id: r["__removed"] for r in remove_repeats(df).collect()} == {1: 0, 2: 60_000, 3: 0, 4: 0}
     got = {r.doc_id: (r["__removed"], len(r["__spans"])) for r in remove_repeated_bytes(df).collect()}
     assert got == {1: (0, 0), 2: (len(long), 1), 3: (0, 0), 4: (300_000, 1)}
+
+
+def thue_morse(n, a, b):
+    """Symbols whose polynomial hash modulo a power of two equals that of the sequence with both symbols swapped."""
+    return [a if bin(i).count("1") % 2 == 0 else b for i in range(n)]
+
+
+@pytest.mark.parametrize("hot", [1000, 1])
+def test_patterns_that_cancel_in_a_polynomial_hash(spark, hot):
+    head = " ".join(f"w{i}" for i in range(12))
+    words = ["".join(thue_morse(n, *pair)) for n in (1024, 2048) for pair in ("ab", "ba")]
+    rows = [(i, f"{head} {w}") for i, w in enumerate(words)]
+    rows += [(10 + i, " ".join(thue_morse(n, *pair))) for i, (n, pair) in enumerate((n, p) for n in (1024, 2048) for p in (("up", "down"), ("down", "up")))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = got(remove_repeats(df, hot=hot))
+    assert [out[i][1] for i in range(4)] == [0] * 4
+    assert out == brute(rows, 13, WORD.findall, lambda k: " ".join(k).encode())
+    assert got(remove_repeated_bytes(df, hot=hot)) == brute(rows, 50, lambda t: list(t.encode()), bytes)
