@@ -215,7 +215,7 @@ def build(leaves: DataFrame, group: str, order: str, leaf: str, height: int = 3,
     # One tree over all groups, in their order.
     groups = ranked(subroots.select(F.lit("").alias("grp"), F.col("grp").alias("name"), F.col("root").alias("digest")), ["name"])
     over = tiers(groups, height, fanout)
-    top = over[-1].where(F.col("total") <= width).select(F.lit("").alias("grp"), F.array().cast("array<string>").alias("path"), F.lit(None).cast("string").alias("subroot"), F.lower(F.hex("root")).alias("root"))
+    top = over[-1].where(F.col("total") <= width).select("grp", F.array().cast("array<string>").alias("path"), F.lit(None).cast("string").alias("subroot"), F.lower(F.hex("root")).alias("root"))
     ways = above(over, top, height, fanout)
     each = over[0].drop("root").join(ways.withColumnRenamed("root", "top"), ["grp", "block"]).mapInArrow(_paths_of(height, fanout), ABOVE)
     tops = groups.select("name", "digest", "index").join(each.select(F.col("block").alias("index"), "path", "root"), "index")
