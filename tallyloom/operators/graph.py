@@ -26,21 +26,34 @@ def latest_targets(edges: DataFrame, order: str | None = "ts") -> DataFrame:
     return newest.join(best, "src").where(newest["_at"].eqNullSafe(best["_at"])).groupBy("src").agg(F.min("dst").alias("dst"))
 
 
+def latest_links(edges: DataFrame) -> DataFrame:
+    """``latest_targets`` with the time of each link, as ``update_canonical`` takes them."""
+    newest = edges.groupBy("src").agg(F.max("ts").alias("ts"))
+    return latest_targets(edges).join(newest, "src")
+
+
 def chain_paths(edges: DataFrame, ids: DataFrame, order: str | None = "ts") -> DataFrame:
     """The places that the chains of ``ids`` (column ``id``) pass, a row each: id, hop, at.
 
-    A chain ends at an entity without a target, or where it would meet an entity again. One round per hop, over the rows still walking.
+    A chain ends at an entity without a target, or where it would meet an entity again. How far each walks is known from its canonical entity; the place after ``hop`` steps
+    is then put together from jumps of 1, 2, 4, ... steps, so there are about log2(longest chain) rounds.
     """
-    step = materialise(latest_targets(edges, order), "links").select(F.col("src").alias("at"), F.col("dst").alias("next"))
-    walked = materialise(ids.select("id", F.lit(0).cast("bigint").alias("hop"), F.col("id").alias("at")).distinct(), "path")
-    front, hop = walked, 0
-    while True:
-        hop += 1
-        ahead = front.join(step, "at").select("id", F.lit(hop).cast("bigint").alias("hop"), F.col("next").alias("at"))
-        front = materialise(ahead.join(walked.select("id", "at"), ["id", "at"], "left_anti").select("id", "hop", "at"), "path")
-        if front.isEmpty():
-            return walked
-        walked = walked.unionByName(front)
+    links = materialise(latest_targets(edges, order), "links")
+    ends = canonicalise(links, order=None).select("id", F.when(F.col("loop"), F.col("hops") - 1).otherwise(F.col("hops")).alias("last"))
+    walked = ids.select("id").distinct().join(ends, "id", "left").withColumn("last", F.coalesce("last", F.lit(0).cast("bigint")))
+    rows = materialise(walked.select("id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("last"))).alias("hop"), F.col("id").alias("at")), "path")
+    longest = rows.agg(F.coalesce(F.max("hop"), F.lit(0)).alias("n")).first()["n"]
+    jump = links.select(F.col("src").alias("at"), F.col("dst").alias("next"))
+    for k in range(int(longest).bit_length()):
+        takes = F.shiftright("hop", k).bitwiseAND(1) == 1
+        moving = rows.where(takes)
+        hot = hot_groups(moving, ["at"])
+        moved = spread_join(moving, jump, ["at"], ["id", "hop"], hot, "inner").select("id", "hop", F.col("next").alias("at"))
+        rows = materialise(rows.where(~takes).unionByName(moved), "path")
+        far = jump.select(F.col("at").alias("next"), F.col("next").alias("far"))
+        hot = hot_groups(jump, ["next"])
+        jump = materialise(spread_join(jump, far, ["next"], ["at"], hot, "inner").select("at", F.col("far").alias("next")), "jump")
+    return rows
 
 
 def _double(active: DataFrame, every: DataFrame, share: float, floor: int) -> DataFrame:
@@ -167,6 +180,45 @@ def add_equivalences(edges: DataFrame, new: DataFrame) -> DataFrame:
     return edges.unionByName(new.select(*edges.columns)).distinct()
 
 
+def update_canonical(
+    canonical: DataFrame, links: DataFrame, new: DataFrame, share: float = HOT_SHARE, floor: int = HOT_FLOOR
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The canonical table and the links after new edges: (canonical, links, changed rows of the canonical table).
+
+    ``links``: src, dst and ts, the latest target of each entity; ``canonical``: what ``canonicalise`` made of them; ``new``: edges with the same columns. Only chains that lead through an entity
+    with a new target are walked again: those are among the entities that end where that one did. Their walks stop at entities whose result stands, which then
+    gives the rest. Both tables are read, but what is joined and written anew follows the touched chains; once one of them is a loop, all loops are walked again.
+    """
+    both = new.select("src", "dst", "ts").unionByName(links.select("src", "dst", "ts"))
+    offered = both.join(new.select("src").distinct(), "src", "left_semi")
+    newest = offered.groupBy("src").agg(F.max("ts").alias("ts"))
+    latest = offered.join(newest.withColumnRenamed("ts", "_ts"), "src").where(F.col("ts").eqNullSafe(F.col("_ts"))).groupBy("src").agg(F.min("dst").alias("dst"), F.max("ts").alias("ts"))
+    latest = materialise(latest, "latest")
+    same = links.select("src", "dst", F.lit(True).alias("_same"))
+    moved = materialise(latest.join(same, ["src", "dst"], "left").where("_same IS NULL").select("src"), "moved")
+    # Where the moved entities ended so far; one without a link was an end itself.
+    was = canonical.select(F.col("id").alias("src"), "canonical_id", "loop")
+    ends = materialise(moved.join(was, "src", "left").select(F.coalesce("canonical_id", "src").alias("canonical_id"), F.coalesce("loop", F.lit(False)).alias("loop")).distinct(), "ends")
+    any_loop = ends.where("loop").limit(1).count() > 0
+    touched = canonical.where(~F.col("loop")).join(ends.where(~F.col("loop")).select("canonical_id").distinct(), "canonical_id", "left_semi").select("id")
+    if any_loop:
+        touched = touched.unionByName(canonical.where("loop").select("id"))
+    touched = materialise(touched.unionByName(moved.withColumnRenamed("src", "id")).distinct(), "touched")
+    # A link that stays may have a newer time.
+    links_after = links.select("src", "dst", "ts").join(latest.select("src"), "src", "left_anti").unionByName(latest.select("src", "dst", "ts"))
+    again = materialise(links_after.join(touched.withColumnRenamed("id", "src"), "src", "left_semi"), "again")
+    walked = canonicalise(again, share=share, floor=floor)
+    # A walk that left the touched entities goes on as the entity that it met.
+    standing = canonical.join(touched, "id", "left_anti")
+    onward = standing.select(F.col("id").alias("canonical_id"), F.col("canonical_id").alias("_end"), F.col("hops").alias("_more"), F.col("loop").alias("_loop"))
+    hot = hot_groups(walked, ["canonical_id"], share=share, floor=floor)
+    changed = spread_join(walked, onward, ["canonical_id"], ["id"], hot).select(
+        "id", F.coalesce("_end", "canonical_id").alias("canonical_id"), (F.col("hops") + F.coalesce("_more", F.lit(0))).alias("hops"), (F.col("loop") | F.coalesce("_loop", F.lit(False))).alias("loop")
+    )
+    changed = materialise(changed, "changed")
+    return standing.select("id", "canonical_id", "hops", "loop").unionByName(changed), links_after, changed
+
+
 def reverse_index(entities: DataFrame, key: str) -> DataFrame:
     """(key value, entity) rows. Kept flat: a popular value may own most entities."""
     return entities.where(F.col(key).isNotNull()).select(

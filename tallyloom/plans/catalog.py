@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-PARTS = ["ledger", "rules", "entities", "events", "cases", "matching", "state"]
+PARTS = ["ledger", "rules", "entities", "events", "cases", "matching", "state", "sources"]
 
 
 def all_queries() -> dict:

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from tallyloom.operators import classify as C
 from tallyloom.operators import events as E
-from tallyloom.operators import quality, rule_index, shapes
+from tallyloom.operators import graph, quality, rule_index, shapes
 from tallyloom.operators.snapshots import StateStore, state_summary, whole_state
+from tallyloom.plans.catalog_cases import _LATEST, _links
 from tallyloom.plans.catalog_events import _FIELDS, _OUT, _STATE, log
 from tallyloom.plans.portable import portable
 from tallyloom.plans.views import table, view, with_views
@@ -169,6 +170,20 @@ add("import_events", lambda s, d: _progress(s, d)[1].select("event_type", "aggre
     F.get_json_object("data", "$.cards").cast("bigint").alias("cards")), ["raw_rows"], """
 SELECT 'import-started' AS event_type, 'orders.csv' AS aggregate_id, CAST(NULL AS BIGINT) AS rows, CAST(NULL AS BIGINT) AS cards UNION ALL SELECT 'import-completed', 'orders.csv', rows, cards FROM k""", _COUNTED)
 
+# ---- equivalences added to a resolved graph --------------------------------------------------
+
+
+def _updated(s, d):
+    """Chains of the orders before a day, then those of the later ones."""
+    links = _links(s, d)
+    early = links.where("ts IS NULL OR ts < DATE '1997-01-01'")
+    known, _, _ = graph.update_canonical(graph.canonicalise(early), graph.latest_links(early), links.where("ts >= DATE '1997-01-01'"))
+    return known
+
+
+add("canonical_updated", lambda s, d: _updated(s, d).where("id LIKE 'c%'").select("id", "canonical_id", "hops"), [],
+    "SELECT src AS id, 'p' || CAST(dst - dst % 10 + 9 AS STRING) AS canonical_id, CAST(10 - dst % 10 AS BIGINT) AS hops FROM e", _LATEST)
+
 # ---- nested shapes ---------------------------------------------------------------------------
 
 _KEY = "CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) || '-' || CAST(l_partkey AS STRING)"

@@ -70,14 +70,14 @@ def numbered_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def split_fields(lines: DataFrame, layout: str, text: str = "text") -> DataFrame:
-    """Quote-aware split of each line into the columns of ``layout``.
+    """Quote-aware split of each line into the columns of ``layout``; a quote inside quotes is doubled.
 
     ``short`` marks rows with fewer fields than the layout requires: an end mark appended to
     the line then falls into one of the required columns.
     """
     names = LAYOUTS[layout]
     schema = ", ".join(f"`{n}` STRING" for n in [*names, "_end"])
-    parsed = F.from_csv(F.concat(F.col(text), F.lit(f",{_END}")), schema, {"mode": "PERMISSIVE"})
+    parsed = F.from_csv(F.concat(F.col(text), F.lit(f",{_END}")), schema, {"mode": "PERMISSIVE", "escape": '"'})
     out = lines.withColumn("_f", parsed)
     required = names[: REQUIRED[layout]]
     short = F.lit(False)
