@@ -30,8 +30,8 @@ BETWEEN = np.ones(256, bool)
 BETWEEN[65:91] = BETWEEN[97:123] = BETWEEN[128:] = False
 #: Term kinds: whole words, and beginnings of longer words of so many letters.
 BEGINNINGS = (4, 5)
-#: Bounds of blocks held at a time.
-BOUNDS = 1 << 20
+#: Bounds of blocks held at a time, and blocks of a query that are visited at a time.
+BOUNDS, STEPS = 1 << 21, 16
 EVIDENCE = "array<struct<id:bigint,similarity:double,label:int>>"
 
 
@@ -63,8 +63,9 @@ def counted(rows: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return r[start], t[start], np.diff(np.append(start, len(r)))
 
 
-def chosen_terms(sample: DataFrame, text: str, label: str, terms: int, chi_square: float, least: int) -> np.ndarray:
-    """Sorted hashes of the ``terms`` terms of the highest chi-square between the classes of ``sample``, of those in ``least`` texts or more."""
+def chosen_terms(sample: DataFrame, text: str, label: str, terms: int, chi_square: float, least: int, ratio: float) -> np.ndarray:
+    """Sorted hashes of the ``terms`` terms of the highest chi-square between the classes of ``sample``, of those in ``least`` texts or more and ``ratio`` times
+    as frequent in one class as in the other. Without the ratio, the larger the sample, the more common words would pass that hardly differ."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -83,7 +84,9 @@ def chosen_terms(sample: DataFrame, text: str, label: str, terms: int, chi_squar
     both = F.col("clean") + F.col("toxic")
     away = F.col("toxic") * F.lit(float(n0)) - F.col("clean") * F.lit(float(n1))
     chi = away * away * (n0 + n1) / (F.lit(float(n0) * n1) * both * F.greatest(F.lit(n0 + n1) - both, F.lit(1)))
-    best = found.where(both >= least).withColumn("chi", chi).where(F.col("chi") >= chi_square).orderBy(F.desc("chi"), "term").limit(terms)
+    often = [(F.col(c) + 0.5) / (n + 1) for c, n in (("clean", n0), ("toxic", n1))]
+    apart = F.greatest(*often) >= F.least(*often) * ratio
+    best = found.where((both >= least) & apart).withColumn("chi", chi).where(F.col("chi") >= chi_square).orderBy(F.desc("chi"), "term").limit(terms)
     return np.sort(np.asarray([r["term"] for r in best.select("term").collect()], np.int64).view(np.uint64))
 
 
@@ -160,7 +163,7 @@ class BlockMaxIndex:
         edges = [0]
         while edges[-1] < n:
             room = queries.first[edges[-1]] + BOUNDS // self.blocks
-            edges.append(min(n, edges[-1] + max(1, BOUNDS // (8 * self.width)), max(edges[-1] + 1, int(np.searchsorted(queries.first, room, "right")) - 1)))
+            edges.append(min(n, edges[-1] + max(1, BOUNDS // (STEPS * self.width)), max(edges[-1] + 1, int(np.searchsorted(queries.first, room, "right")) - 1)))
         parts = [self._top(queries.take(np.arange(a, b)), own[a:b], k) for a, b in zip(edges, edges[1:])]
         if not parts:
             return np.zeros((0, k)), np.zeros((0, k), np.int64), 0
@@ -176,30 +179,38 @@ class BlockMaxIndex:
         bound *= 1 + 1e-9
         by = np.argsort(-bound, axis=1, kind="stable")
         score, place = np.zeros((n, k)), np.full((n, k), -1)
-        last, seen = len(self.ids), 0
-        ids = np.append(self.ids, np.iinfo(np.int64).max)
-        for turn in range(self.blocks):
-            block = by[:, turn]
-            limit = bound[np.arange(n), block]
-            going = np.flatnonzero((limit > 0) & (limit >= score[:, -1]))
-            if not len(going):
+        seen, at, step = 0, 0, 1
+        while at < self.blocks:
+            # Some blocks of each query at a time, more in each turn; none that cannot hold a nearer row than the k-th so far.
+            block = by[:, at : at + step]
+            limit = np.take_along_axis(bound, block, 1)
+            query, turn = np.nonzero((limit > 0) & (limit >= score[:, -1:]))
+            if not len(query):
                 break
-            seen += len(going)
-            some = queries.take(going)
-            key = some.term.astype(np.int64) * self.blocks + block[going][some.rows]
+            seen += len(query)
+            at, step = at + step, min(2 * step, STEPS)
+            block = block[query, turn]
+            some = queries.take(query)
+            key = some.term.astype(np.int64) * self.blocks + block[some.rows]
             start, count = self.first[key], self.first[key + 1] - self.first[key]
             stop = np.cumsum(count)
             entry = np.repeat(start - (stop - count), count) + np.arange(int(stop[-1]) if len(stop) else 0)
             slot = np.repeat(some.rows, count) * width + self.slot[entry]
-            got = np.bincount(slot, np.repeat(some.weight, count) * self.weight[entry], len(going) * width).reshape(-1, width)
-            at = block[going][:, None] * width + np.arange(width)
-            at = np.where((at < last) & (got > 0), at, -1)
-            at[ids[at] == own[going][:, None]] = -1
-            got = np.where(at >= 0, np.round(got, 12), 0.0)
-            all_score, all_place = np.hstack([score[going], got]), np.hstack([place[going], at])
-            best = np.lexsort((ids[all_place], -all_score), axis=1)[:, :k]
-            score[going] = np.take_along_axis(all_score, best, 1)
-            place[going] = np.take_along_axis(all_place, best, 1)
+            got = np.bincount(slot, np.repeat(some.weight, count) * self.weight[entry], len(query) * width)
+            hit = np.flatnonzero(got)
+            row, found = query[hit // width], block[hit // width] * width + hit % width
+            got = np.round(got[hit], 12)
+            better = (got > 0) & (got >= score[row, -1]) & (self.ids[found] != own[row])
+            row, found, got = row[better], found[better], got[better]
+            # The best of a query so far and the new ones, in order; each has at most k places.
+            old = np.unique(row)
+            row = np.concatenate([row, np.repeat(old, k)])
+            found, got = np.concatenate([found, place[old].ravel()]), np.concatenate([got, score[old].ravel()])
+            order = np.lexsort((np.where(found >= 0, self.ids[found], np.iinfo(np.int64).max), -got, row))
+            row = row[order]
+            rank = np.arange(len(row)) - np.searchsorted(row, row)
+            top = rank < k
+            score[row[top], rank[top]], place[row[top], rank[top]] = got[order][top], found[order][top]
         return score, place, seen
 
 
@@ -297,7 +308,7 @@ def score_rows(rows: DataFrame, model: Neighbours, id_column: str) -> DataFrame:
     return rows.mapInArrow(run, f"{id_column} long, score double, evidence {EVIDENCE}")
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", label: str = "toxic", threshold: float = 0.5, folds: int = 5, examples: int = 8192, terms: int = 2048, k: int = 15, chi_square: float = 15.0, least: int = 3) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", label: str = "toxic", threshold: float = 0.5, folds: int = 5, examples: int = 8192, terms: int = 2048, k: int = 15, chi_square: float = 15.0, least: int = 3, ratio: float = 4.0) -> DataFrame:
     """``id_column``, ``held_out``, ``score``, ``predicted`` and ``evidence`` of each row of ``docs``.
 
     Learns from labelled ids whose CRC-32 is not divisible by ``folds``: at most ``examples / 2`` of each class, those of the smallest hashes. Document frequencies are counted over all rows. Null texts count as
@@ -315,7 +326,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text
     # At most ``examples`` ids.
     sample = source.join(F.broadcast(drawn[0].union(drawn[1])), id_column).groupBy(id_column, "label").agg(F.min("text").alias("text"))
     sample = materialise(sample, "examples")
-    chosen = chosen_terms(sample, "text", "label", terms, chi_square, least)
+    chosen = chosen_terms(sample, "text", "label", terms, chi_square, least, ratio)
     vector = materialise(vectors(source, chosen, "text", id_column), "vectors")
     frequency = {r["term"]: r["n"] for r in vector.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n")).collect()}
     n = vector.count()
