@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from tallyloom.runtime import materialise
 
 CYCLE = (3.0, 1.0, 2.0)
+RESULTS = ("__size", "__source_size", "__target", "__copies", "__positions")
 
 
 @dataclass(frozen=True)
@@ -82,11 +83,14 @@ def mixed(docs: DataFrame, text: str | None = "text", source: str = "source", id
     Documents are taken whole. The partial pass takes documents whose middle lies within it, so a source misses its target by
     no more than half a document. Null sources are a source of their own; a null or empty text has size 0 and costs nothing.
     Rows of one id stand side by side, in the order of size and text; rows that are alike in all three are interchangeable.
+    Rows travel as one struct, so no column of theirs can clash; columns named like one of the five results are replaced.
     """
+    row = F.struct(*[F.col(f"`{c}`").alias(c) for c in docs.columns])
+    of = lambda c: F.col("__row")[c]
     key = F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit(""))
-    sized = docs.withColumn("__size", F.col(size).cast("long") if size else size_of(text)).withColumn("__key", key)
-    sized = sized.withColumn("__order", order_of(F.col(id_column), seed))
-    narrow = materialise(sized.select(F.col(source).alias("source"), "__key", "__order", "__size"), "sizes")
+    measured = F.col(size).cast("long") if size else size_of(text)
+    sized = docs.select(row.alias("__row"), measured.alias("__size"), key.alias("__key"), order_of(F.col(id_column), seed).alias("__order"))
+    narrow = materialise(sized.select(of(source).alias("source"), "__key", "__order", "__size"), "sizes")
     counted = materialise(narrow.groupBy("source").agg(F.sum("__size").alias("source_size"), F.count("*").alias("_rows")), "sources")
     # Buckets are ranges of the order, as many as the largest source needs.
     largest = counted.agg(F.coalesce(F.max("_rows"), F.lit(0)).alias("n")).first()["n"]
@@ -99,7 +103,7 @@ def mixed(docs: DataFrame, text: str | None = "text", source: str = "source", id
     plan = plan.select(F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("__key"), F.col("rank").alias("__rank"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"))
     known = materialise(before.join(plan, "__key"), "buckets")
     rows = sized.withColumn("__bucket", bucket).join(known, ["__key", "__bucket"])
-    ties = [F.col(id_column), F.col("__size"), *([F.col(text)] if text else [])]
+    ties = [of(id_column), F.col("__size"), *([of(text)] if text else [])]
     inside = Window.partitionBy("__key", "__bucket").orderBy("__order", *ties).rowsBetween(Window.unboundedPreceding, -1)
     begin = F.col("_before") + F.coalesce(F.sum("__size").over(inside), F.lit(0))
     rows = rows.withColumn("__middle", begin + F.col("__size") / 2)
@@ -111,13 +115,13 @@ def mixed(docs: DataFrame, text: str | None = "text", source: str = "source", id
     used = F.when(F.col("__target") > 0, F.col("__target")).otherwise(F.lit(1.0))
     at = lambda k: position(F.least((F.col("__middle") + k * F.col("__source_size")) / used, F.lit(1.0)), schedule.start(F.col("__rank")))
     rows = rows.withColumn("__positions", F.when(F.col("__copies") > 0, F.transform(F.sequence(F.lit(0), F.col("__copies") - 1), at)).otherwise(F.array().cast("array<double>")))
-    return rows.drop("__key", "__order", "__bucket", "_before", "__rank", "__middle").select(*docs.columns, "__size", "__source_size", "__target", "__copies", "__positions")
+    return rows.select(*[of(c).alias(c) for c in docs.columns if c not in RESULTS], *RESULTS)
 
 
 def curriculum(docs: DataFrame, position_column: str = "position", **options) -> DataFrame:
-    """The mix itself: each row as often as it is taken, with its position, sorted by ranges of it."""
+    """The mix itself: each row as often as it is taken, with its position, sorted by ranges of it. A column of ``docs`` with the position's name is replaced."""
     mix = mixed(docs, **options)
-    placed = mix.withColumn(position_column, F.explode("__positions")).drop("__size", "__source_size", "__target", "__copies", "__positions")
+    placed = mix.withColumn(position_column, F.explode("__positions")).drop(*RESULTS)
     return placed.repartitionByRange(position_column).sortWithinPartitions(position_column)
 
 
@@ -129,10 +133,12 @@ c AS (SELECT *, [3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE][((r - 1) % 3 + 1)::INT]
 l AS (SELECT *, greatest(sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(cap) OVER f, 0), 0) / (sum(w) OVER () - coalesce(sum(w) OVER f, 0)) AS level
   FROM c WINDOW f AS (ORDER BY cap / w, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 m AS (SELECT *, max(CASE WHEN level * w <= cap THEN level END) OVER () AS best FROM l),
-t AS (SELECT source, source_size, CASE WHEN best IS NULL THEN cap ELSE least(cap, best * w) END AS target FROM m),
-x AS (SELECT d.doc_id, d.size, t.source_size, t.target, sum(d.size) OVER (PARTITION BY d.source ORDER BY d.o, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) - d.size / 2.0 AS middle
+t AS (SELECT source, source_size, [1.5::DOUBLE, 1.0::DOUBLE, 0.5::DOUBLE][((r - 1) % 3 + 1)::INT] AS start, CASE WHEN best IS NULL THEN cap ELSE least(cap, best * w) END AS target FROM m),
+x AS (SELECT d.doc_id, d.size, t.source_size, t.target, t.start, sum(d.size) OVER (PARTITION BY d.source ORDER BY d.o, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) - d.size / 2.0 AS middle
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-p AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size + 1e-12) ELSE 1 END AS whole FROM x)
-SELECT doc_id, size::BIGINT AS size, source_size, target, (size * (whole + CASE WHEN target - whole * source_size > 0 AND middle <= target - whole * source_size THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM p
+p AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size + 1e-12) ELSE 1 END AS whole FROM x),
+y AS (SELECT *, whole + CASE WHEN target - whole * source_size > 0 AND middle <= target - whole * source_size THEN 1 ELSE 0 END AS copies,
+  least(middle::DOUBLE / CASE WHEN target > 0 THEN target ELSE 1 END, 1.0::DOUBLE) AS used, 1.0::DOUBLE - start AS bend FROM p),
+z AS (SELECT *, CASE WHEN bend = 0 THEN used ELSE least(greatest(2 * used / (start + sqrt(greatest(start * start + 4 * bend * used, 0))), 0), 1) END AS place FROM y)
+SELECT doc_id, size::BIGINT AS size, source_size, target, (size * copies)::BIGINT AS taken, CASE WHEN copies > 0 THEN round(place, 9) END AS position FROM z
 """

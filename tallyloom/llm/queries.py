@@ -57,7 +57,12 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = materialise(table(spark, sf_dir, "documents").select("doc_id", "source", mixing.size_of("text").alias("size")), "document-sizes")
     mix = mixing.mixed(sizes, text=None, size="size")
-    return mix.select("doc_id", "size", F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("size") * F.col("__copies")).alias("taken"))
+    rows = mix.select(
+        "doc_id", "size", F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("size") * F.col("__copies")).alias("taken"),
+        F.round(F.get("__positions", F.lit(0)), 9).alias("position"),
+    )
+    # In the order of the training; what is not taken has no position.
+    return rows.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

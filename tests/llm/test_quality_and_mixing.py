@@ -90,3 +90,26 @@ def test_schedule_and_curriculum(spark):
     rows = mixing.curriculum(df.drop("position")).collect()
     assert [r.position for r in rows] == sorted(r.position for r in rows)
     assert mixing.mixed(df.limit(0)).collect() == []
+
+
+def test_mixing_leaves_other_columns_alone(spark):
+    df = docs(spark)
+    for clash in ("_before", "__bucket", "__key", "__order", "__rank", "_n", "__row", "__size", "size", "rank", "target"):
+        df = df.withColumn(clash, F.lit(f"own {clash}"))
+    out = mixing.mixed(df)
+    assert out.columns == [c for c in df.columns if c != "__size"] + list(mixing.RESULTS)
+    plain = sorted(map(str, mixing.mixed(docs(spark)).collect()))
+    assert sorted(map(str, out.select(*docs(spark).columns, *mixing.RESULTS).collect())) == plain
+    assert {r["__bucket"] for r in out.collect()} == {"own __bucket"}
+
+
+def test_query_is_in_training_order(spark, tmp_path):
+    from tallyloom.llm.queries import op8_mixing
+
+    docs(spark).drop("position").write.parquet(str(tmp_path / "documents.parquet"))
+    out = op8_mixing(spark, str(tmp_path))
+    plan = out._jdf.queryExecution().toString()
+    assert "rangepartitioning" in plan and "SQRT" in plan.upper()
+    got = out.collect()
+    assert [r.position for r in got if r.position is not None] == sorted(r.position for r in got if r.position is not None)
+    assert all((r.position is None) == (r.taken == 0 and r.size > 0) for r in got if r.size)
