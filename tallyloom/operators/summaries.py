@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -138,3 +138,17 @@ def run_stats(df: DataFrame) -> DataFrame:
         F.count_if(F.col("clean_merchant").isNotNull()).alias("extracted"),
         F.count_if(F.coalesce("merchant_resolved", F.lit(False))).alias("merchant_resolved"),
     )
+
+
+def run_breakdowns(df: DataFrame, dimensions: Mapping[str, str], id_column: str = "tx_id", amount: str = "amount") -> DataFrame:
+    """Rows, amount, share of all rows and two examples (the smallest and the largest id) for each value of each dimension: entity type, categories, state, match, or whatever columns are given.
+
+    ``dimensions``: the name of each and its column. Null is a value. All dimensions are counted in one pass, by partial aggregates.
+    """
+    cells = F.array(*[F.struct(F.lit(name).alias("dimension"), F.col(c).cast("string").alias("value")) for name, c in dimensions.items()])
+    counted = df.select(F.col(id_column).alias("_id"), F.col(amount).alias("_amount"), F.inline(cells)).groupBy("dimension", "value").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("_amount").alias("amount"), F.min("_id").alias("first_id"), F.max("_id").alias("last_id")
+    )
+    # One row a dimension.
+    totals = counted.groupBy("dimension").agg(F.sum("rows").alias("_all"))
+    return counted.join(F.broadcast(totals), "dimension").withColumn("share", F.col("rows") / F.col("_all")).drop("_all")

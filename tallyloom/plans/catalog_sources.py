@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyloom.operators import classify as C
-from tallyloom.operators import entities, quality, versions
+from tallyloom.operators import entities, quality, summaries, versions
 from tallyloom.operators import registry as R
 from tallyloom.plans.catalog_cases import _export
+from tallyloom.plans.catalog_entities import _BANKED, _MATCH, _REG, _dims
 from tallyloom.plans.portable import portable
 from tallyloom.plans.views import table, with_views
 from tallyloom.runtime import shared_path
@@ -155,3 +156,13 @@ SELECT CAST(p_partkey AS STRING) AS id, concat_ws('|', CASE WHEN p_partkey % 4 =
   p_partkey % 4 <> 0 AND p_partkey % 6 <> 0 AND p_partkey % 9 <> 0 AS valid FROM part""")
 add("enabled_definitions", lambda s, d: R.enabled_definitions(_definitions(s, d)).select("id", "priority"), [],
     "SELECT CAST(p_partkey AS STRING) AS id, p_size AS priority FROM part WHERE p_partkey % 9 <> 0 AND p_partkey % 2 = 0")
+
+# ---- what a run found ------------------------------------------------------------------------
+
+_BREAK = {"match": "merchant_match", "merchant category": "merchant_category", "budget category": "budget_category", "tax category": "tax_category", "bank": "bank_entity"}
+_RUN = f"""rn AS (SELECT tx_id, amount, {_MATCH} AS "match", CASE WHEN category_entity = 'shopping' THEN 'Shopping' WHEN category_entity IS NOT NULL THEN 'Restaurants' ELSE 'Unknown' END AS "merchant category",
+  CASE WHEN category_entity = 'shopping' THEN 'Shopping' WHEN category_entity IS NOT NULL THEN 'Living' ELSE 'Uncategorized' END AS "budget category",
+  CASE WHEN direction = 'income' THEN 'Taxable Income' WHEN mcc = 5912 THEN 'Medical Deductible' ELSE 'Non-Deductible' END AS "tax category", bank_entity AS "bank" FROM bk)"""
+add("run_breakdowns", lambda s, d: summaries.run_breakdowns(_dims(s, d), _BREAK), ["named"], " UNION ALL ".join(
+    f"""SELECT '{n}' AS dimension, "{n}" AS value, COUNT(*) AS rows, CAST(SUM(amount) AS DOUBLE) AS amount, min(tx_id) AS first_id, max(tx_id) AS last_id, ROUND(COUNT(*) / any_value(n), 6) AS share
+FROM rn, (SELECT COUNT(*) AS n FROM rn) GROUP BY 2""" for n in _BREAK), _REG, _BANKED, _RUN)
