@@ -34,7 +34,7 @@ def _combined(s, d):
         F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"), F.concat(F.lit("SHOP, "), k.cast("string"), F.lit(' "é"')).alias("description"), F.concat(F.lit("$"), money).alias("amount_original"),
         F.when(k % 10 != 3, money).alias("amount_numeric"), F.col("o_orderstatus").alias("transaction_type"), F.lit("Food").alias("category"), F.when(k % 10 != 4, F.lit("Shop, one")).alias("merchant"), F.lit("USD").alias("currency"),
         text.alias("account_name"), F.lit("12").alias("account_number"), F.lit("bofa").alias("bank"), F.concat(F.lit("f"), F.col("o_custkey").cast("string")).alias("source_file"),
-        F.when(k % 10 == 9, F.lit("line x")).otherwise(k.cast("string")).alias("line_number"), F.when(k % 2 == 0, F.lit("note")).alias("classification_notes"),
+        F.when(k % 10 == 9, F.lit("line x")).otherwise((k + 10**9).cast("string")).alias("line_number"), F.when(k % 2 == 0, F.lit("note")).alias("classification_notes"),
     ]
     whole = k % 20 != 7
     o.where(whole).select(*columns).write.option("header", True).option("escape", '"').csv(f"{root}/whole")
@@ -42,7 +42,7 @@ def _combined(s, d):
     raw, short = S.read_combined(s, [f"{root}/whole", f"{root}/short"])
     key = lambda c: F.regexp_extract(c, r"SHOP, (\d+)", 1).cast("bigint")
     rows = raw.select(key("description").alias("k"), F.lit("row").alias("kind"), "amount", "merchant", F.col("type").alias("code"), "source_file",
-                      F.when(F.col("source_line") == key("description"), F.lit("given")).when(F.col("source_line") > 1, F.lit("counted")).alias("line"), "notes")
+                      F.when(F.col("source_line") == key("description") + 10**9, F.lit("given")).when(F.col("source_line") > 1, F.lit("counted")).alias("line"), "notes")
     none = lambda n: F.lit(None).cast("string").alias(n)
     return rows.unionByName(short.select(key("raw_line").alias("k"), F.col("reason").alias("kind"), none("amount"), none("merchant"), none("code"), none("source_file"), none("line"), none("notes")))
 
