@@ -521,11 +521,11 @@ def removed_spans(docs: DataFrame, unit: Unit, engine: Callable, text: str = "te
     ``engine(fragments, first)`` gets a shard's distinct fragments in ascending order of the smallest document
     that holds each, and tells for each of its windows if a smaller document holds it too. Rows with a null id neither lose nor cause
     a loss; a null text has no symbols; rows with one id count as one document. ``part_bytes``: text dealt to one part.
-    With ``joined`` words are joined by one space, else the white space after each kept word stays.
+    With ``joined`` words are joined by one space, else the white space after each kept word stays. Columns of ``docs`` named like a result are replaced.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    spark = docs.sparkSession
+    spark, docs = docs.sparkSession, docs.drop("__kept", KEEP, "__total", "__removed", PART)
     size = text_bytes(docs, text)
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // (32 << 20))
     parts = max(1, size // part_bytes)
