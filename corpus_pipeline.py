@@ -7,11 +7,13 @@ mixing           each document as often as the mix takes it, in the order of the
 sentencepiece    ids and the text decoded from them are added
 
 Every stage handles null texts, ids and sources, repeated rows and empty tables as its operator says, and all
-but the last return the columns that they got.
+but the last return the columns that they got, whatever their names; the last replaces older columns named ids, n_tokens or decoded.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,10 +25,29 @@ from tallyloom.llm.substring_dedup import remove_repeats
 from tallyloom.runtime import materialise
 
 
+OWN = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def spared(stage: Callable) -> Callable:
+    """A stage that sees other columns under names that nothing else has, so that none can clash with a name that an operator uses."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str, **options) -> DataFrame:
+        extra = {c: f"extra {i} of a document" for i, c in enumerate(c for c in docs.columns if c not in OWN)}
+        out = stage(spark, docs.withColumnsRenamed(extra), sf_dir, **options)
+        # A stage's own result goes before an older column of its name.
+        taken = [new for old, new in extra.items() if old in out.columns]
+        return out.drop(*taken).withColumnsRenamed({new: old for old, new in extra.items() if new not in taken})
+
+    run.__name__ = stage.__name__
+    return run
+
+
+@spared
 def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.accepted(docs)
 
 
+@spared
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = near_duplicates(docs, size=5)
     kept = materialise(found.where(F.col("kept") & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("__kept")).agg(F.count("*").alias("__n")), "kept")
@@ -38,6 +59,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return single.union(first).union(docs.where("doc_id IS NULL"))
 
 
+@spared
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = remove_repeats(docs, joined=False)
     left = F.col("__kept").cast("string")
@@ -47,10 +69,12 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return out.select(*docs.columns)
 
 
+@spared
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.curriculum(docs, position_column="__position").select(*docs.columns)
 
 
+@spared
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str, model: str = MODEL) -> DataFrame:
     out = pieces.encode_decode(docs, model, ids="__ids", decoded="__decoded")
     return out.select(*docs.columns, F.col("__ids").alias("ids"), F.size("__ids").cast("long").alias("n_tokens"), F.col("__decoded").alias("decoded"))
