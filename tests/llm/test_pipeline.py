@@ -6,6 +6,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tallyloom.llm.mixing import CYCLE
@@ -121,7 +122,6 @@ def test_run_equals_plain_stages(spark, tmp_path):
 
     rows = corpus()
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, ids int")
-    docs = docs.drop("ids")
     docs.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     want = plain([r[:5] for r in rows])
@@ -134,10 +134,16 @@ def test_run_equals_plain_stages(spark, tmp_path):
 def test_stages_take_odd_tables(spark, name, stage):
     text = " ".join(f"word{i}" for i in range(70))
     rows = [(1, text, None, 1), (1, text, None, 1), (None, text + " more", "a", 2), (3, None, "a", 3), (4, "", None, None), (5, " ".join(f"other{i}" for i in range(70)) + " tail" * 3, "b", 4)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, position long").withColumnRenamed("position", "label")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, position long")
+    # Names that operators use themselves.
+    for clash in ("ids", "n_tokens", "decoded", "_before", "__bucket", "__kept", "__n", "__total", "__position", "__row", "__spans", "__part", "rejected_by", "digest", "label", "text_", "n_words"):
+        docs = docs.withColumn(clash, F.lit(f"own {clash}"))
     out = stage(spark, docs, "")
     if name != "sentencepiece":
         assert out.columns == docs.columns and out.dtypes == docs.dtypes
+        assert {tuple(r)[4:] for r in out.collect()} == {tuple(f"own {c}" for c in docs.columns[4:])}
+    else:
+        assert out.columns == [c for c in docs.columns if c not in ("ids", "n_tokens", "decoded")] + ["ids", "n_tokens", "decoded"]
     got = collections.Counter(r.doc_id for r in out.collect())
     assert {1, None, 5} <= set(got) and (name != "near_dedup" or got[1] == 1 and got[4] == 1)
     assert stage(spark, docs.limit(0), "").collect() == []
