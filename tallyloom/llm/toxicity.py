@@ -32,6 +32,8 @@ BETWEEN[65:91] = BETWEEN[97:123] = BETWEEN[128:] = False
 BEGINNINGS = (4, 5)
 #: Bounds of blocks held at a time, and blocks of a query that are visited at a time.
 BOUNDS, STEPS = 1 << 21, 16
+#: Votes against a text from the start, as a share of the neighbours asked for.
+AGAINST = 1.0
 EVIDENCE = "array<struct<id:bigint,similarity:double,label:int>>"
 
 
@@ -228,13 +230,13 @@ class Neighbours:
     shift: float = 0.0
 
     def votes(self, queries: Sparse, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Share of toxic votes, nan without a neighbour; scores and places of the neighbours."""
+        """Share of toxic votes, nan without a neighbour; scores and places of the neighbours. Some votes stand against each text from the start, so that few or far neighbours say less."""
         score, place, _ = self.index.top(queries, own, self.k)
         # Votes fall with the distance of unit vectors.
         strength = np.where(place >= 0, 1 / (0.1 + np.sqrt(np.maximum(0, 2 - 2 * score))), 0) * self.class_weight[self.label[place]]
         total = strength.sum(1)
         with np.errstate(invalid="ignore"):
-            return (strength * (self.label[place] == 1)).sum(1) / np.where(total > 0, total, np.nan), score, place
+            return (strength * (self.label[place] == 1)).sum(1) / np.where(total > 0, total + self.k * AGAINST, np.nan), score, place
 
     def calibrated(self, share: np.ndarray) -> np.ndarray:
         return np.where(np.isnan(share), self.rate, 1 / (1 + np.exp(-(self.slope * np.nan_to_num(share) + self.shift))))
@@ -279,7 +281,7 @@ def fit(rows: list, idf: np.ndarray, totals: np.ndarray, k: int) -> Neighbours:
     votes, _, _ = model.votes(examples, ids)
     known = ~np.isnan(votes)
     if len(np.unique(label[known])) < 2:
-        return Neighbours(index, idf, sorted_label, class_weight, k, model.rate, 8.0, -4.0)
+        return Neighbours(index, idf, sorted_label, class_weight, k, model.rate, 16.0, -4.0)
     slope, shift = logistic(votes[known], label[known], share[known] / share[known].mean())
     return Neighbours(index, idf, sorted_label, class_weight, k, model.rate, slope, shift)
 
