@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 from tallyloom.runtime import materialise
 
+#: Numbers gathered at a time.
+GATHERED = 1 << 20
 BLOCK = "block long, top double, ids binary, vectors binary"
 
 
@@ -52,6 +54,16 @@ def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.array([sum(int(x) * int(y) for x, y in zip(p, q)) for p, q in zip(a, b)], np.int64)
 
 
+def _scores(queries: np.ndarray, vectors: np.ndarray, q: np.ndarray, v: np.ndarray, exact: bool) -> np.ndarray:
+    """Products of the pairs (q, v). Whole numbers whose sums stay below 2**53 are exact in any order, so where many pairs are left one matrix product gives all;
+    else rows are gathered for a bounded number of pairs at a time."""
+    if exact and 4 * len(q) > len(queries) * len(vectors):
+        return (queries @ vectors.T)[q, v].astype(np.int64)
+    step = max(1, GATHERED // queries.shape[1])
+    parts = [_products(queries[q[i : i + step]], vectors[v[i : i + step]]) for i in range(0, len(q), step)]
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+
+
 def best_of(query: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     """Positions of the ``k`` best of each query, ties to the smaller id."""
     order = np.lexsort((ids, -scores, query))
@@ -70,6 +82,7 @@ def search_block(query_ids, queries, least, ids, vectors, turn, k: int, first: i
     turned_q, turned_v = queries @ turn, vectors @ turn
     length_q, length_v = np.sqrt((queries**2).sum(1)), np.sqrt((vectors**2).sum(1))
     rest_q, rest_v = np.sqrt((turned_q[:, first:] ** 2).sum(1)), np.sqrt((turned_v[:, first:] ** 2).sum(1))
+    exact = len(ids) > 0 and len(queries) > 0 and np.abs(queries).max() * np.abs(vectors).max() * queries.shape[1] < 2**53
     none = np.zeros(0, np.int64)
     found_q, found_id, found_score = none, none, none
     for begin in range(0, len(ids), run):
@@ -81,10 +94,10 @@ def search_block(query_ids, queries, least, ids, vectors, turn, k: int, first: i
             break
         bound = turned_q[live, :first] @ turned_v[begin:end, :first].T + np.outer(rest_q[live], rest_v[begin:end])
         q, v = np.nonzero(bound + loose[live, None] >= least[live, None])
-        q, v = live[q], v + begin
-        other = query_ids[q] != ids[v]
+        other = query_ids[live[q]] != ids[v + begin]
         q, v = q[other], v[other]
-        score = _products(queries[q], vectors[v])
+        score = _scores(queries[live], vectors[begin:end], q, v, exact)
+        q, v = live[q], v + begin
         good = score >= least[q]
         found_q, found_id, found_score = (np.concatenate(x) for x in ((found_q, q[good]), (found_id, ids[v[good]]), (found_score, score[good])))
         keep = best_of(found_q, found_id, found_score, k)
@@ -127,8 +140,9 @@ def top_products(rows: DataFrame, id_column: str = "vec_id", vector: str = "embe
     vectors = materialise(source.mapInArrow(whole, "id long, v array<double>, length double"), "vectors")
     size = vectors.count()
     gram = np.zeros(width * width)
-    for r in vectors.select("v").mapInArrow(sums, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
-        gram[r.i] = r.v
+    # Twelve bytes a pair of components.
+    summed = vectors.select("v").mapInArrow(sums, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow()
+    gram[np.asarray(summed.column("i"))] = np.asarray(summed.column("v"))
     turn = np.linalg.eigh(gram.reshape(width, width))[1][:, ::-1].copy()
     first = min(first, width)
     tasks = max(1, size // (8 * block_rows))

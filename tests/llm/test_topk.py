@@ -34,3 +34,19 @@ def test_few_rows_repeats_and_empty_table(spark):
     n = 1024 * 1024
     assert got == [(0, 1, 5, n), (0, 2, 5, n), (0, 3, 100, -2 * n), (100, 1, 5, 0), (100, 2, 5, 0), (100, 3, 0, -2 * n)]
     assert top_products(df.limit(0)).collect() == []
+
+
+def test_scores_are_exact_either_way(monkeypatch):
+    from tallyloom.llm import topk
+
+    r = np.random.default_rng(5)
+    monkeypatch.setattr(topk, "GATHERED", 40)
+    for size in (1 << 10, 1 << 28):
+        a, b = (np.floor(r.normal(size=(n, 6)) * size) for n in (30, 50))
+        exact = np.abs(a).max() * np.abs(b).max() * 6 < 2**53
+        assert exact == (size == 1 << 10)
+        for share in (0.9, 0.05):
+            q, v = np.nonzero(r.random((30, 50)) < share)
+            want = [sum(int(x) * int(y) for x, y in zip(a[i], b[j])) for i, j in zip(q, v)]
+            assert topk._scores(a, b, q, v, exact).tolist() == want
+    assert topk._scores(a, b, q[:0], v[:0], False).tolist() == []
