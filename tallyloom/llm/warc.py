@@ -3,7 +3,7 @@
 Headers (id, address, digest, length), never payloads, are shuffled by payload digest to find each payload's first capture; revisit
 records are joined to it. Payloads move once, by page id, to meet their decision, and are written by Spark's text
 writer: each row is a record and the row end is the two line ends that close a record. Reading goes by Content-Length, one
-file at a time; ``records_per_archive`` bounds a file.
+file at a time; ``records_per_archive`` and ``archive_bytes`` bound a file.
 """
 
 from __future__ import annotations
@@ -97,12 +97,15 @@ def records(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     return met.select(F.concat(head, block).alias("record"))
 
 
-def write_archives(pages: DataFrame, path: str, records_per_archive: int = 2000, **options) -> None:
+def write_archives(pages: DataFrame, path: str, records_per_archive: int = 2000, archive_bytes: int = 1 << 29, html: str = "html", **options) -> None:
     """Write ``pages`` as gzipped WARC files below ``path``, on any file system that Spark writes to.
 
-    A null html is an empty payload; a null url leaves its header out.
+    A null html is an empty payload; a null url leaves its header out; of one id all rows are written; other columns take no part, whatever their names. A file holds at most
+    ``records_per_archive`` records, and so few that it stays below ``archive_bytes`` (before compression) even if all are as long as the longest; a single record may be longer.
     """
-    records(pages, **options).write.option("lineSep", END + END).option("compression", "gzip").option("maxRecordsPerFile", records_per_archive).text(path)
+    longest = pages.agg(F.coalesce(F.max(F.octet_length(_payload(html))), F.lit(0)).alias("n")).first()["n"]
+    records_per_archive = max(1, min(records_per_archive, archive_bytes // (longest + 4096)))
+    records(pages, html=html, **options).write.option("lineSep", END + END).option("compression", "gzip").option("maxRecordsPerFile", records_per_archive).text(path)
 
 
 def parse(content: bytes, with_payload: bool) -> Iterator[tuple]:
@@ -153,7 +156,8 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
 
 def resolve_revisits(found: DataFrame) -> DataFrame:
     """``page_id``, ``url``, ``record_type``, ``refers_to``, ``payload_digest`` and ``payload_bytes``; revisits get them from their original."""
-    heads = found.select("page_id", "url", "record_type", "record_id", "refers_to_record", "digest", "payload_bytes")
+    # Written out, so that archives are read once.
+    heads = materialise(found.select("page_id", "url", "record_type", "record_id", "refers_to_record", "digest", "payload_bytes"), "records")
     visits = heads.where("record_type = 'revisit'").groupBy("refers_to_record").agg(F.count("*").alias("_n"))
     originals = heads.where("record_type = 'response'").groupBy("record_id").agg(F.first("page_id").alias("refers_to"), F.first("payload_bytes").alias("_bytes"), F.first("digest").alias("_digest"))
     lookup = visits.join(originals, visits["refers_to_record"] == originals["record_id"]).drop("record_id")

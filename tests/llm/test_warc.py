@@ -35,3 +35,14 @@ def test_empty_table_and_damage(spark, tmp_path):
     assert resolve_revisits(read_archives(spark, str(tmp_path / "none"))).collect() == []
     with pytest.raises(ValueError):
         list(parse(b"junk\r\n\r\n", True))
+
+
+def test_archives_are_bounded_by_bytes(spark, tmp_path):
+    rows = [(i, f"u{i}", f"{i} " + "x" * 10_000) for i in range(40)] + [(99, "long", "y" * 3_000_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    for limit, least in ((1 << 29, 1), (10_000_000, 14), (100, 41)):
+        path = str(tmp_path / f"a{limit}")
+        write_archives(pages, path, archive_bytes=limit)
+        files = [f for f in (tmp_path / f"a{limit}").iterdir() if f.name.endswith(".gz")]
+        assert len(files) >= least
+        assert sorted((r.page_id, len(r.payload)) for r in read_archives(spark, path).collect()) == sorted((i, len(h)) for i, _, h in rows)
