@@ -116,3 +116,12 @@ def test_twenty_thousand_rules(spark):
         i = row.tx_id
         want = f"r{i * 4}" if i % 3 == 0 and i * 4 < 19_000 else f"p{i}" if i % 3 == 1 and i < 1000 else None
         assert row.rule_id == want and row.category_id == ("uncategorized" if want is None else "c" if want[0] == "r" else "d")
+
+
+def test_run_breakdowns(spark):
+    from tallyloom.operators.summaries import run_breakdowns
+
+    df = spark.createDataFrame([("a", 1.0, "x", None), ("b", 2.0, "x", 7), ("c", None, "y", 7)], "tx_id string, amount double, kind string, n int")
+    got = {(r.dimension, r.value): (r.rows, r.amount, r.first_id, r.last_id, round(r["share"], 3)) for r in run_breakdowns(df, {"kind": "kind", "number": "n"}).collect()}
+    assert got == {("kind", "x"): (2, 3.0, "a", "b", 0.667), ("kind", "y"): (1, None, "c", "c", 0.333), ("number", None): (1, 1.0, "a", "a", 0.333), ("number", "7"): (2, 2.0, "b", "c", 0.667)}
+    assert run_breakdowns(df.limit(0), {"kind": "kind"}).count() == 0
