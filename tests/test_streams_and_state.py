@@ -11,7 +11,7 @@ from tallyloom.operators import events as E
 from tallyloom.operators.snapshots import StateStore, micros, state_summary, whole_state
 from tallyloom.sources.key_store import KeyStore, bloom, may_hold
 from tallyloom.streaming.decisions import latest_status, settle_stream
-from tallyloom.streaming.imports import keyed_sink, read_stream, run_available
+from tallyloom.streaming.imports import keyed_sink, read_stream, run_available, table_stream
 from tallyloom.streaming.progress import metric_totals, run_import
 
 
@@ -179,3 +179,16 @@ def test_progress_of_an_import(spark, tmp_path, rows):
     assert metrics == ({"rows": 5, "classified": 3} if rows else {"rows": 0, "classified": 0})
     events = {r.event_type: r.data for r in spark.read.parquet(path("events")).collect()}
     assert set(events) == {"import-started", "import-completed"} and f'"rows":{rows}' in events["import-completed"]
+
+
+def test_a_table_streams_as_one_file_or_as_a_folder(spark, tmp_path):
+    from tallyloom.plans.catalog_events import Q
+
+    labels = spark.createDataFrame([(i, i % 2, int(i % 5 == 0)) for i in range(40)], "doc_id long, quality int, toxic int")
+    labels.repartition(3).write.parquet(str(tmp_path / "many" / "labels.parquet"))
+    labels.toPandas().to_parquet(tmp_path / "labels.parquet")
+    for folder in (tmp_path / "many", tmp_path):
+        assert {(r.kind, r.rows) for r in Q["stream_decisions"][0](spark, str(folder)).collect()} == {("rejected", 8), ("approved", 32)}
+        seen = []
+        run_available(table_stream(spark, str(folder), "labels", labels.schema), lambda batch, n: seen.append(batch.count()), str(tmp_path / f"mark-{folder.name}"), "table")
+        assert sum(seen) == 40
