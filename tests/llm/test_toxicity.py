@@ -126,3 +126,12 @@ def test_copies_of_an_example_do_not_vote_for_themselves():
     model = fit(rows, np.ones(2), np.asarray([5.0, 5.0]), 4)
     share, _, place = model.votes(weighted(np.asarray([0, 1]), np.asarray([0]), np.asarray([1]), np.ones(2)), np.asarray([3]))
     assert 0 < share[0] < 1 and share[0] > model.votes(weighted(np.asarray([0, 1]), np.asarray([1]), np.asarray([1]), np.ones(2)), np.asarray([8]))[0][0] == 0 and set(model.index.ids[place[0]]) == {0, 1, 2, 4}
+
+
+def test_document_frequencies_are_added_up_in_tasks(spark):
+    from tallyloom.llm.toxicity import document_frequencies
+
+    rows = [(i, [t for t in range(5) if i % (t + 1) == 0]) for i in range(60)] + [(99, []), (100, None)]
+    vector = spark.createDataFrame(rows, "doc_id long, terms array<int>").repartition(3)
+    assert document_frequencies(vector, 6) == {0: 60, 1: 30, 2: 20, 3: 15, 4: 12}
+    assert document_frequencies(vector.limit(0), 0) == {}
