@@ -125,3 +125,18 @@ def test_run_breakdowns(spark):
     got = {(r.dimension, r.value): (r.rows, r.amount, r.first_id, r.last_id, round(r["share"], 3)) for r in run_breakdowns(df, {"kind": "kind", "number": "n"}).collect()}
     assert got == {("kind", "x"): (2, 3.0, "a", "b", 0.667), ("kind", "y"): (1, None, "c", "c", 0.333), ("number", None): (1, 1.0, "a", "a", 0.333), ("number", "7"): (2, 2.0, "b", "c", 0.667)}
     assert run_breakdowns(df.limit(0), {"kind": "kind"}).count() == 0
+
+
+def test_an_id_in_upper_case_is_wrong_though_its_digest_has_no_letter(spark, tmp_path):
+    import datetime as dt
+
+    from tallyloom.plans.catalog_state import Q
+
+    # The first 32 hex digits of this row's digest are 0 to 9.
+    row = (636006, 3, 1, 7, 1.0, 10.0, 0.0, 0.01, "N", "O", dt.datetime(1996, 9, 13))
+    names = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp"
+    spark.createDataFrame([row], names).write.parquet(str(tmp_path / "lineitem.parquet"))
+    run = lambda name: [tuple(r) for r in Q[name][0](spark, str(tmp_path)).drop("key").collect()]
+    assert run("closed_shape") == [("id", False)]
+    assert run("closed_shape_counts") == [("id", "Must be a valid UUID", 1)]
+    assert run("split_valid") == [("quarantine",)]
