@@ -192,3 +192,17 @@ def test_a_table_streams_as_one_file_or_as_a_folder(spark, tmp_path):
         seen = []
         run_available(table_stream(spark, str(folder), "labels", labels.schema), lambda batch, n: seen.append(batch.count()), str(tmp_path / f"mark-{folder.name}"), "table")
         assert sum(seen) == 40
+
+
+def test_a_micro_batch_has_as_many_files_as_keep_them_small(spark, tmp_path, monkeypatch):
+    from tallyloom.plans import catalog_state
+
+    rows = spark.range(1000)
+    monkeypatch.setattr(catalog_state, "FILE_ROWS", 100)
+    folder, lanes = catalog_state._files(rows, "dealt", "id")
+    files = [p for p in spark.read.parquet(folder).inputFiles()]
+    assert lanes == 3 and len(files) == 12
+    assert max(spark.read.parquet(f).count() for f in files) < 200
+    seen = []
+    run_available(read_stream(spark, folder, rows.schema, files_per_trigger=lanes), lambda batch, n: seen.append(batch.count()), str(tmp_path / "mark"), "dealt")
+    assert len(seen) == 4 and sum(seen) == 1000
