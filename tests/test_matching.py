@@ -89,3 +89,32 @@ def test_a_crowded_segment_is_no_product(spark):
     frame = spark.createDataFrame([(1, n) for n in names], "g int, n string").withColumn("n", F.col("n"))
     pairs = similar_pairs(frame, ["g"], "n", 3, crowd=50)
     assert sorted((p.a.name, p.b.name) for p in pairs.collect()) == sorted([(max(names[0], names[-3]), min(names[0], names[-3])), (max(names[1], names[-2]), min(names[1], names[-2])), (names[-1], names[2])])
+
+
+def test_frames_of_a_time_window_are_summed_and_not_gathered(spark):
+    import datetime as dt
+    import random
+
+    from tallyloom.operators import duplicates
+
+    r = random.Random(3)
+    day = dt.date(2024, 1, 1)
+    rows = [(f"t{i:03d}", day + dt.timedelta(days=r.randrange(60)), r.choice([1.0, 2.0]), r.choice([1, -1]), r.choice(["m", "n"])) for i in range(200)]
+    frame = spark.createDataFrame(rows, "tx_id string, date date, amount double, sign int, merchant string")
+    rules = {x["id"]: x for x in duplicates.load_duplicate_rules()}
+    refund, transfer = rules["refund-detection"], rules["transfer-matching"]
+    tests = {
+        "refund-detection": lambda a, b: a[4] == b[4] and a[2] == b[2] and a[3] > 0 > b[3] and 0 <= (a[1] - b[1]).days <= 30,
+        "transfer-matching": lambda a, b: a[2] == b[2] and a[3] != b[3] and abs((a[1] - b[1]).days) <= 1,
+    }
+    made = []
+    kept = duplicates.materialise
+    duplicates.materialise = lambda df, label: made.append(df._jdf.queryExecution().optimizedPlan().toString()) or kept(df, label)
+    try:
+        for rule in (refund, transfer):
+            got = {(x.tx_id, x.match_id, x.matches) for x in duplicates.rule_links(frame, rule).collect()}
+            hits = {a[0]: [b[0] for b in rows if tests[rule["id"]](a, b)] for a in rows}
+            assert got == {(i, min(h), len(h)) for i, h in hits.items() if h}
+    finally:
+        duplicates.materialise = kept
+    assert len(made) == 2 and not any("collect_list" in plan for plan in made)
