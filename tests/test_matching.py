@@ -118,3 +118,11 @@ def test_frames_of_a_time_window_are_summed_and_not_gathered(spark):
     finally:
         duplicates.materialise = kept
     assert len(made) == 2 and not any("collect_list" in plan for plan in made)
+
+
+def test_texts_visit_only_shards_of_names_that_may_be_in_them(spark):
+    from tallyloom.operators import contained
+
+    texts = spark.createDataFrame([("xxabcyy",), ("q" * 50,), ("\u00e9\u00e9bc",)], "text string")
+    got = contained._visits(texts, {"abc": 1, "b": 2, "zz": 3, "\u00e9b": 2}).collect()
+    assert sorted((r.text, r.shard) for r in got) == sorted([("xxabcyy", 1), ("xxabcyy", 2), ("\u00e9\u00e9bc", 2)])
