@@ -140,3 +140,19 @@ def test_an_id_in_upper_case_is_wrong_though_its_digest_has_no_letter(spark, tmp
     assert run("closed_shape") == [("id", False)]
     assert run("closed_shape_counts") == [("id", "Must be a valid UUID", 1)]
     assert run("split_valid") == [("quarantine",)]
+
+
+def test_only_the_first_rule_of_a_regex_is_a_candidate(spark, monkeypatch):
+    from tallyloom.operators import rule_index
+
+    rules = [Rule(f"r{i}", rf"SHOP {i % 3}\d*", True, None, None, None, 0.5, 1) for i in range(60)]
+    held = []
+    kept = rule_index._candidates
+    monkeypatch.setattr(rule_index, "_candidates", lambda texts, literals: held.append(literals) or kept(texts, literals))
+    monkeypatch.setattr(rule_index, "BATCH", 2)
+    texts = spark.createDataFrame([("SHOP 0",), ("SHOP 12",), ("SHOP 2",), ("SHOP 9",)], "text string")
+    assert {r.text: r["rank"] for r in rule_index.best_ranks(texts, rules).collect()} == {"SHOP 0": 0, "SHOP 12": 1, "SHOP 2": 2}
+    assert sorted(i for some in held[0].values() for i in some) == [0, 1, 2]
+    # Regexes without a literal are tried in their order as well.
+    loose = [Rule(f"l{i}", p, True, None, None, None, 0.5, 1) for i, p in enumerate([r"[A-Z]+ \d", r"[A-Z]+ \d+", r"[A-Z]+ \d"])]
+    assert {r.text: r["rank"] for r in rule_index.best_ranks(texts, loose).collect()} == {"SHOP 0": 0, "SHOP 12": 1, "SHOP 2": 0, "SHOP 9": 0}
