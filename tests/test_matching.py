@@ -91,6 +91,21 @@ def test_a_crowded_segment_is_no_product(spark):
     assert sorted((p.a.name, p.b.name) for p in pairs.collect()) == sorted([(max(names[0], names[-3]), min(names[0], names[-3])), (max(names[1], names[-2]), min(names[1], names[-2])), (names[-1], names[2])])
 
 
+def test_names_of_small_groups_are_compared_as_they_are(spark):
+    """Few short names a group all share segments, so cutting them up finds most pairs many times."""
+    from tallyloom.operators import duplicates
+
+    names = [f"shop {i}" for i in range(40)]
+    frame = spark.createDataFrame([(g, n) for g in range(3) for n in names], "g int, n string")
+    pairs = similar_pairs(frame, ["g"], "n", 3)
+    assert "Generate" not in pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert pairs.count() == 3 * 40 * 39 // 2
+    rows = spark.createDataFrame([(f"t{i:02}", "2024-01-01", 5.0, n) for i, n in enumerate([*names, names[0], "another name"])], "tx_id string, date string, amount double, merchant string")
+    rule = next(r for r in duplicates.load_duplicate_rules() if r["id"] == "fuzzy-merchant-levenshtein")
+    got = {r.tx_id: (r.match_id, r.matches) for r in duplicates.rule_links(rows.withColumn("date", F.col("date").cast("date")), rule).collect()}
+    assert got == {f"t{i:02}": ("t00", 40) for i in range(1, 41)}
+
+
 def test_frames_of_a_time_window_are_summed_and_not_gathered(spark):
     import datetime as dt
     import random
