@@ -168,6 +168,25 @@ def test_decisions_meet_items_before_after_and_never(spark, tmp_path):
     assert [c for c in changes if c[0] in ("after", "never")] == [("after", 1, "pending-review"), ("after", 2, "corrected"), ("never", 1, "pending-review"), ("never", 2, "overdue")]
 
 
+def test_transactions_of_one_bucket_are_settled_one_by_one(spark, tmp_path):
+    """All lie in one bucket: what comes for some leaves the wait of the others as it was, and Python is called for buckets and not for transactions."""
+    from tallyloom.streaming import decisions as made
+
+    at = lambda h: dt.datetime(2024, 1, 1) + dt.timedelta(hours=h)
+    items = [[("a", at(0), "M", "C"), ("b", at(20), "M", "C")], [("c", at(30), "M", "C")], [("d", at(40), "M", "C")], [("e", at(60), "M", "C")]]
+    chosen = [[("x", at(0), 1, "approved", "ann", None, None)], [("b", at(21), 2, "rejected", "ann", None, None)], [("c", at(39), 3, "corrected", "bob", "N", None)], []]
+    kinds = "tx_id string, ts timestamp, seq long, kind string, decided_by string, merchant string, category string"
+    (tmp_path / "a").mkdir()
+    (tmp_path / "b").mkdir()
+    rows = settle_stream(stream_of(spark, tmp_path / "a", items, "tx_id string, ts timestamp, detected_merchant string, detected_category string"), stream_of(spark, tmp_path / "b", chosen, kinds), 24, "1 hour", buckets=1)
+    assert "bucket" in rows._jdf.queryExecution().analyzed().toString() and made.STATE.startswith("tx_id array")
+    out = str(tmp_path / "out")
+    run_available(rows, lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/batch_id={n}"), str(tmp_path / "mark"), "buckets")
+    got = sorted((r.tx_id, r.seq, r.status, r.merchant) for r in spark.read.parquet(out).collect())
+    assert got == [("a", 1, "pending-review", "M"), ("a", 2, "overdue", "M"), ("b", 1, "pending-review", "M"), ("b", 2, "rejected", "M"), ("c", 1, "pending-review", "M"), ("c", 2, "corrected", "N"),
+                   ("d", 1, "pending-review", "M"), ("e", 1, "pending-review", "M"), ("x", 1, "orphaned", None)]
+
+
 @pytest.mark.parametrize("rows", [5, 0])
 def test_progress_of_an_import(spark, tmp_path, rows):
     batches = [[(f"t{i}", float(i)) for i in range(3)], [(f"t{i}", float(i)) for i in range(3, rows)]] if rows else [[]]
