@@ -27,6 +27,22 @@ def test_filters_hold_what_was_added():
     assert not may_hold(bloom(inside[:0]), inside).any()
 
 
+def test_filters_take_memory_for_some_keys_at_a_time(spark, tmp_path):
+    import tracemalloc
+
+    hashes = np.random.default_rng(2).integers(-(2**63), 2**63, 1_000_000)
+    tracemalloc.start()
+    made = bloom(hashes)
+    assert may_hold(made, hashes).all()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20
+    # The keys of a bucket are dealt to many filters, whatever the number of buckets.
+    KeyStore(str(tmp_path / "keys"), "k", buckets=1).add(keys(spark, [f"k{i}" for i in range(5000)]), 0)
+    sizes = [r["keys"] for r in spark.read.parquet(str(tmp_path / "keys" / "filters")).select("keys").collect()]
+    assert sum(sizes) == 5000 and max(sizes) < 200
+
+
 def test_a_batch_opens_only_files_that_may_hold_its_keys(spark, tmp_path):
     store = KeyStore(str(tmp_path / "keys"), "k", buckets=8)
     for batch in range(5):
