@@ -43,6 +43,20 @@ def test_filters_take_memory_for_some_keys_at_a_time(spark, tmp_path):
     assert sum(sizes) == 5000 and max(sizes) < 200
 
 
+@pytest.mark.parametrize("sent", [100, 1])
+def test_a_frequent_merchant_does_not_meet_its_category_in_one_task(spark, monkeypatch, sent):
+    from tallyloom.operators import classify
+
+    monkeypatch.setattr(classify, "SENT", sent)
+    table = spark.createDataFrame([("one", "c", "r", 0.9), ("two", "d", "s", None)], "merchant string, category string, rule_id string, confidence double")
+    rows = spark.range(2000).select("id", F.when(F.col("id") < 1900, "one").when(F.col("id") < 1950, "two").when(F.col("id") < 1990, "none").alias("detected_merchant"))
+    found = classify.category_of_merchant(rows, table)
+    got = {(r.detected_merchant, r.detected_category, r.category_confidence): r.n for r in found.groupBy("detected_merchant", "detected_category", "category_confidence").agg(F.count("*").alias("n")).collect()}
+    assert got == {("one", "c", 0.9): 1900, ("two", "d", 0.95): 50, ("none", "uncategorized", 0.3): 40, (None, "uncategorized", 0.3): 10}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert ("BroadcastHashJoin" in plan) if sent == 100 else ("_piece" in plan)
+
+
 def test_a_batch_opens_only_files_that_may_hold_its_keys(spark, tmp_path):
     store = KeyStore(str(tmp_path / "keys"), "k", buckets=8)
     for batch in range(5):
