@@ -24,6 +24,10 @@ from tallyloom.llm.components import components
 from tallyloom.runtime import materialise
 
 
+#: Ids (8 bytes each) that are broadcast.
+SENT = 1_000_000
+
+
 def shingles(column, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct hashed shingles of each row in order, and where each row begins, with the end."""
     data, offsets = grams.utf8(column)
@@ -219,6 +223,13 @@ def _large(rows: DataFrame, percent: int, limit: int) -> DataFrame:
     return links.union(last)
 
 
+def _texts(source: DataFrame, wanted: DataFrame, text: str, id_column: str) -> DataFrame:
+    """The texts that are to be compared. They are few of all, so the others are left out before anything is shuffled; beyond ``SENT`` ids all are."""
+    if wanted.limit(SENT + 1).count() <= SENT:
+        source = source.join(F.broadcast(wanted.select("doc")), F.col(id_column) == F.col("doc"), "left_semi")
+    return source.join(wanted, F.col(id_column) == F.col("doc")).select(text, "doc", "cluster", "digest")
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", id_column: str = "doc_id", size: int = 4, percent: int = 80, slots: int = 96, rows: int = 4, limit: int = 4_000_000) -> DataFrame:
     """``id_column``, ``n_shingles``, ``component_id`` and ``kept`` for each row of ``docs``.
 
@@ -239,8 +250,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_column: str = "doc_i
     clusters = components(ties).select(F.col("node").alias("doc"), F.col("label").alias("cluster"))
     width = clusters.join(same.select("doc", "n"), "doc").groupBy("cluster").agg(F.sum("n").alias("total"))
     width = materialise(width, "width")
-    wanted = clusters.join(same.select("doc", "digest"), "doc")
-    text_of = source.join(wanted, F.col(id_column) == F.col("doc")).select(text, "doc", "cluster", "digest")
+    wanted = materialise(clusters.join(same.select("doc", "digest"), "doc"), "wanted")
+    text_of = _texts(source, wanted, text, id_column)
     sets = materialise(text_of.mapInArrow(_sets(text, size), "doc long, cluster long, members binary"), "sets")
     load = width.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("n"), F.coalesce(F.max("total"), F.lit(0)).alias("most")).first()
     rated = sets.join(width, "cluster")

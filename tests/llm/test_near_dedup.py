@@ -111,3 +111,19 @@ def test_patterns_that_cancel_in_a_polynomial_hash(spark):
     rows = [(1, word(1024, "a", "b")), (2, word(1024, "b", "a")), (3, word(2048, "a", "b")), (4, word(2048, "b", "a")), (5, "x y z " + word(1024, "a", "b")), (6, "x y z " + word(1024, "b", "a")), (7, word(1024, "A", "b"))]
     out = sorted(tuple(r) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert out == brute(rows) and [r[3] for r in out] == [True] * 6 + [False]
+
+
+@pytest.mark.parametrize("sent", [1_000_000, 1])
+def test_only_texts_that_are_compared_are_shuffled(spark, monkeypatch, sent):
+    from pyspark.sql import functions as F
+
+    from tallyloom.llm import near_dedup
+
+    monkeypatch.setattr(near_dedup, "SENT", sent)
+    base = " ".join(f"w{i}" for i in range(100))
+    texts = [base, base + " end", "other " + base] + [" ".join(f"x{i}-{j}" for j in range(50)) for i in range(20)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    wanted = docs.where("doc_id < 3").select(F.col("doc_id").alias("doc"), F.lit(0).alias("cluster"), F.lit(b"").alias("digest"))
+    found = near_dedup._texts(docs, wanted, "text", "doc_id")
+    assert found.count() == 3 and ("LeftSemi" in found._jdf.queryExecution().executedPlan().toString()) == (sent > 1)
+    assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs).collect()} == {i: 0 if i < 3 else i for i in range(23)}
