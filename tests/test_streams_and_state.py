@@ -96,6 +96,25 @@ def test_keyed_sink_stores_each_key_once_and_replays(spark, tmp_path):
     assert looked[0] == (0, 0) and looked[2][1] == 0
 
 
+def test_a_batch_before_which_nothing_is_known_is_not_held(spark, tmp_path, monkeypatch):
+    from tallyloom.functions.skew import first_per_key
+
+    def never(*_):
+        raise AssertionError("there is nothing to look up")
+
+    sink = keyed_sink(str(tmp_path / "ledger"), "k", buckets=2)
+    monkeypatch.setattr(KeyStore, "lookup", never)
+    frame = keys(spark, ["a", "b", "a", None, None]).withColumn("v", F.lit(1))
+    sink(frame, 0)
+    sink(frame, 0)
+    stored = sorted(((r.k or "", r.v) for r in spark.read.parquet(str(tmp_path / "ledger" / "batch_id=0")).collect()))
+    assert stored == [("", 1), ("a", 1), ("b", 1)]
+    once = first_per_key(frame, ["k"], [F.xxhash64("k", "v")])
+    # The key travels once.
+    assert once.columns == ["k", "v"] and "struct(k" not in once._jdf.queryExecution().optimizedPlan().toString()
+    assert first_per_key(frame.select("k"), ["k"], [F.col("k")]).count() == 3
+
+
 FIELDS = {"amount": "decimal(18,2)", "note": "string", "flag": "boolean"}
 
 
