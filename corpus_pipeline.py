@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions.skew import first_per_key
 from tallyloom.llm import mixing, pieces, quality_rules
-from tallyloom.llm.near_dedup import near_duplicates
+from tallyloom.llm.near_dedup import SENT, near_duplicates
 from tallyloom.llm.queries import MODEL
 from tallyloom.llm.substring_dedup import remove_repeats
 from tallyloom.runtime import materialise
@@ -50,11 +50,13 @@ def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 @spared
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = near_duplicates(docs, size=5)
-    kept = materialise(found.where(F.col("kept") & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("__kept")).agg(F.count("*").alias("__n")), "kept")
-    once, often = kept.where("__n = 1").select("__kept"), kept.where("__n > 1").select("__kept")
-    single = docs.join(once, F.col("doc_id") == F.col("__kept"), "left_semi")
+    judged = found.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("__id")).agg(F.count_if("kept").alias("__n"))
+    # Ids that go or have several rows are few of all, so the texts stay where they are; beyond ``SENT`` such ids they are joined.
+    other = materialise(judged.where("__n <> 1"), "other")
+    sent = F.broadcast if other.count() <= SENT else lambda ids: ids
+    single = docs.where("doc_id IS NOT NULL").join(sent(other), F.col("doc_id") == F.col("__id"), "left_anti")
     # Of rows with one id, the first in a fixed order stays.
-    repeated = docs.join(often, F.col("doc_id") == F.col("__kept"), "left_semi")
+    repeated = docs.join(sent(other.where("__n > 1")), F.col("doc_id") == F.col("__id"), "left_semi")
     first = first_per_key(repeated, ["doc_id"], [F.xxhash64(*docs.columns)])
     return single.union(first).union(docs.where("doc_id IS NULL"))
 

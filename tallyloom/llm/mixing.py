@@ -84,12 +84,14 @@ def mixed(docs: DataFrame, text: str | None = "text", source: str = "source", id
     no more than half a document. Null sources are a source of their own; a null or empty text has size 0 and costs nothing.
     Rows of one id stand side by side, in the order of size and text; rows that are alike in all three are interchangeable.
     Rows travel as one struct, so no column of theirs can clash; columns named like one of the five results are replaced.
+    The text travels beside the struct: a window that sorts by a part of a struct takes that part along once more.
     """
-    row = F.struct(*[F.col(f"`{c}`").alias(c) for c in docs.columns])
-    of = lambda c: F.col("__row")[c]
+    row = F.struct(*[F.col(f"`{c}`").alias(c) for c in docs.columns if c != text])
+    of = lambda c: F.col("__text") if c == text else F.col("__row")[c]
     key = F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit(""))
     measured = F.col(size).cast("long") if size else size_of(text)
-    sized = docs.select(row.alias("__row"), measured.alias("__size"), key.alias("__key"), order_of(F.col(id_column), seed).alias("__order"))
+    beside = [F.col(f"`{text}`").alias("__text")] if text else []
+    sized = docs.select(row.alias("__row"), *beside, measured.alias("__size"), key.alias("__key"), order_of(F.col(id_column), seed).alias("__order"))
     narrow = materialise(sized.select(of(source).alias("source"), "__key", "__order", "__size"), "sizes")
     counted = materialise(narrow.groupBy("source").agg(F.sum("__size").alias("source_size"), F.count("*").alias("_rows")), "sources")
     # Buckets are ranges of the order, as many as the largest source needs.

@@ -147,3 +147,21 @@ def test_stages_take_odd_tables(spark, name, stage):
     got = collections.Counter(r.doc_id for r in out.collect())
     assert {1, None, 5} <= set(got) and (name != "near_dedup" or got[1] == 1 and got[4] == 1)
     assert stage(spark, docs.limit(0), "").collect() == []
+
+
+@pytest.mark.parametrize("sent", [1, 1000])
+def test_near_copies_go_without_a_shuffle_of_all_texts(spark, monkeypatch, sent):
+    monkeypatch.setattr(corpus_pipeline, "SENT", sent)
+    words = lambda k, n: " ".join(f"{k}w{i}" for i in range(n))
+    rows = [(i, words(i, 40), "a") for i in range(20)] + [(100 + i, words(i, 40), "b") for i in range(5)] + [(7, words(7, 40), "a"), (None, words(3, 40), None), (None, "", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = corpus_pipeline.drop_near_copies(spark, docs, "")
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        got = collections.Counter(r.doc_id for r in out.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == collections.Counter([*range(20), None, None])
+    assert ("SortMergeJoin" in plan) == (sent == 1)

@@ -103,6 +103,11 @@ def test_mixing_leaves_other_columns_alone(spark):
     assert {r["__bucket"] for r in out.collect()} == {"own __bucket"}
 
 
+def test_a_text_travels_once(spark):
+    plan = mixing.mixed(docs(spark))._jdf.queryExecution().optimizedPlan().toString()
+    assert "__text" in plan and ".text AS" not in plan
+
+
 def test_query_is_in_training_order(spark, tmp_path):
     from tallyloom.llm.queries import op8_mixing
 
