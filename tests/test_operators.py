@@ -129,6 +129,23 @@ def test_near_duplicates_equal_brute_force(spark, floor):
     assert sorted((r.tx_id, r.matches, round(r.best_score, 9)) for r in got.collect()) == sorted(want)
 
 
+def test_only_points_with_matches_meet_cells(spark, monkeypatch):
+    """Points at the borders of tiles, below zero, and of one source alone; what is written and looked around is only what has matches."""
+    import datetime
+
+    start, rows = datetime.date(1970, 1, 1) - datetime.timedelta(9), []
+    for day in range(0, 20):
+        for i, c in enumerate((-1049, -1000, -951, -1, 0, 48, 49, 950, 999, 1000, 1049)):
+            rows.append((f"t{day:02d}-{i:02d}", start + datetime.timedelta(day), Decimal(c) / 100, "abc"[(day // 3 + i) % 3]))
+    rows += [(f"far{i}", start + datetime.timedelta(400 + 2 * i), Decimal(5), "a") for i in range(300)]
+    df = spark.createDataFrame(rows, "tx_id string, date date, amount decimal(18,2), source string")
+    kept, made = duplicates.materialise, {}
+    monkeypatch.setattr(duplicates, "materialise", lambda frame, label: made.setdefault(label, kept(frame, label)))
+    got = {r.tx_id: r.matches for r in duplicates.near_duplicates(df).collect()}
+    want = {a[0]: n for a in rows if (n := sum(a[3] != b[3] and abs((a[1] - b[1]).days) < 2 and abs(a[2] - b[2]) < Decimal("0.5") for b in rows))}
+    assert got == want and made["points"].count() == len(want) < 300
+
+
 def test_near_duplicate_pairs_meet_once(spark):
     pairs = duplicates.near_duplicate_points(near_rows(spark))
     total = pairs.agg(F.sum("row_pairs")).first()[0]
