@@ -24,6 +24,28 @@ def test_payments_meet_windows_of_their_own_card(spark):
     assert trailing_windows(left.limit(0), ["card"], 5).count() == 0
 
 
+@pytest.mark.parametrize("reach", [0, 5])
+def test_windows_are_made_for_days_asked_about(spark, reach):
+    """Days below zero and on both sides of every stretch; without ``on`` all days up to ``reach`` after a charge."""
+    r = random.Random(5)
+    charges = [(f"c{i:03d}", r.choice("abc"), r.randrange(-110, 110), r.randrange(1, 50)) for i in range(250)]
+    left = spark.createDataFrame(charges, "tx_id string, card string, day long, cents long")
+    asked = {(r.choice("abcd"), r.randrange(-115, 115)) for _ in range(60)}
+    on = spark.createDataFrame([*asked, *asked, (None, 3), ("a", None)], "card string, day long")
+
+    def brute(days):
+        out = []
+        for card, day in days:
+            for back in range(reach + 1):
+                inside = [c for c in charges if c[1] == card and day - back <= c[2] <= day]
+                if any(c[2] == day - back for c in inside):
+                    out.append((card, day, back, sum(c[3] for c in inside), len(inside), min(c[0] for c in inside)))
+        return sorted(out)
+
+    assert sorted(map(tuple, trailing_windows(left, ["card"], reach, on).collect())) == brute(asked)
+    assert sorted(map(tuple, trailing_windows(left, ["card"], reach).collect())) == brute({(c[1], c[2] + k) for c in charges for k in range(reach + 1)})
+
+
 def brute_inside(texts, names):
     out = {}
     for text in texts:
