@@ -24,6 +24,18 @@ def test_payments_meet_windows_of_their_own_card(spark):
     assert trailing_windows(left.limit(0), ["card"], 5).count() == 0
 
 
+def test_payments_are_worked_out_once(spark, monkeypatch):
+    from tallyloom.operators import card_payments
+
+    kept, made = card_payments.materialise, {}
+    monkeypatch.setattr(card_payments, "materialise", lambda frame, label: made.setdefault(label, kept(frame, label)))
+    charges = spark.createDataFrame([("c1", "a", 10, 500), ("c2", "a", 12, 250)], "tx_id string, card string, day long, cents long")
+    payments = spark.range(3).selectExpr("concat('p', id) AS tx_id", "'a' AS card", "12L AS day", "250L * id AS cents")
+    found = settled_payments(payments, charges, ["card"], 5)
+    assert made["payments"].columns == ["tx_id", "card", "day", "cents"] and "Range (" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.tx_id, r.windows) for r in found.collect()] == [("p1", 1)]
+
+
 @pytest.mark.parametrize("reach", [0, 5])
 def test_windows_are_made_for_days_asked_about(spark, reach):
     """Days below zero and on both sides of every stretch; without ``on`` all days up to ``reach`` after a charge."""
