@@ -156,3 +156,13 @@ def test_only_the_first_rule_of_a_regex_is_a_candidate(spark, monkeypatch):
     # Regexes without a literal are tried in their order as well.
     loose = [Rule(f"l{i}", p, True, None, None, None, 0.5, 1) for i, p in enumerate([r"[A-Z]+ \d", r"[A-Z]+ \d+", r"[A-Z]+ \d"])]
     assert {r.text: r["rank"] for r in rule_index.best_ranks(texts, loose).collect()} == {"SHOP 0": 0, "SHOP 12": 1, "SHOP 2": 0, "SHOP 9": 0}
+
+
+def test_a_filter_on_the_confidence_runs_no_rule_again(spark):
+    from tallyloom.operators.classify import Rule, classify_batch
+
+    rows = spark.range(3).selectExpr("concat('SHOP ', id) AS description", "concat('X', id) AS merchant", "'expense' AS type")
+    rules = [Rule("one", "SHOP [1]", True, confidence=0.95), Rule("two", "SHOP .", True, confidence=0.5)]
+    kept = classify_batch(rows, rules, min_confidence="high")
+    assert [(r.description, r.rule_id) for r in kept.collect()] == [("SHOP 1", "one")]
+    assert kept._jdf.queryExecution().optimizedPlan().toString().count("SHOP [1]") == 2
