@@ -405,8 +405,7 @@ SELECT COUNT(*) AS total, COUNT(*) FILTER (merchant_expected) AS merchant_rows,
   COUNT(*) FILTER (merchant_expected AND clean_merchant IS NULL) AS failed, ROUND(AVG(removed) FILTER (merchant_expected), 6) AS avg_noise,
   CAST(SUM(removed) FILTER (merchant_expected) AS BIGINT) AS noise_total, ROUND(AVG(length(clean_merchant)), 6) AS avg_length, MIN(length(clean_merchant)) AS min_length,
   MAX(length(clean_merchant)) AS max_length FROM s3""", *_STAGES3)
-add("stage_reports", lambda s, d: quality.stage_report(_clean(s, d), 1).withColumn("stage", F.lit(1)).unionByName(
-    quality.stage_report(_clean(s, d), 3).withColumn("stage", F.lit(3))), ["statement_rows"],
+add("stage_reports", lambda s, d: quality.stage_reports(_clean(s, d), [1, 3]), ["statement_rows"],
     "SELECT COUNT(*) AS valid, CAST(0 AS BIGINT) AS invalid, unnest([1, 3])::BIGINT AS stage FROM statement_rows")
 _TEXT_NOISE = [{"name": "mail", "regex": r"[A-Za-z0-9._]+@[A-Za-z0-9.]+", "priority": 1}, {"name": "marks", "regex": r"[%#$&*]{3,}", "priority": 2},
                {"name": "numbers", "regex": r"\b[0-9]{4,}\b", "priority": 3, "keep_as_context": True}]

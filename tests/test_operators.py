@@ -292,3 +292,23 @@ def test_all_category_breakdowns(spark):
     rows = values(got, "dimension", "rows")
     assert [d for d, _ in rows] == ["account_category", "budget_category", "payment_method", "tax_category"]
     assert len({n for _, n in rows}) == 1
+
+
+def test_extraction_is_compiled_and_read_once(spark, capsys):
+    """No method passes the 8,000 bytes up to which Java compiles it, and reports of two stages read the rows once."""
+    import re
+
+    from tallyloom.operators import extraction
+
+    rows = spark.range(4).selectExpr(
+        "concat(element_at(array('CLIP HOT BOLT AUT. 12', 'intereses', 'ıNTERESES', 'Paypal *one  two AGREGADOR'), cast(id + 1 AS int)), '') AS description",
+        "CAST(array() AS array<string>) AS context_lines", "CAST(NULL AS string) AS beneficiary_name", "CAST(1 AS decimal(18,2)) AS deposit", "CAST(NULL AS decimal(18,2)) AS retiro")
+    made = extraction.extract(rows)
+    assert [(r.type, r.clean_merchant, r.removed_noise) for r in made.collect()] == [
+        ("card-purchase", "BOLT", ["AUT. 12", "HOT"]), ("interest-earned", None, []), ("unknown", "ıNTERESES", []), ("unknown", "one two", [])]
+    made.explain("codegen")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) < 8000
+    reports = quality.stage_reports(made, [1, 3])
+    assert sorted(map(tuple, reports.collect())) == sorted((*quality.stage_report(made, n).first(), n) for n in (1, 3))
+    assert reports._jdf.queryExecution().optimizedPlan().toString().count("Range (") == 1
