@@ -81,3 +81,15 @@ def test_only_touched_chains_are_walked(spark):
     assert {r.id for r in changed.collect()} == {f"a{i}" for i in range(21)}
     same, _, nothing = update_canonical(after, kept, links.limit(0))
     assert nothing.count() == 0 and got(same) == got(after)
+
+
+def test_loops_take_rounds_by_their_own_length(spark, monkeypatch):
+    """64 loops of four with tails of six: the rounds follow them and not the number of entities."""
+    from tallyloom.operators import graph
+
+    edges = [(f"{n}-{i}", f"{n}-{0 if i == 3 else i + 1 if i < 3 else i - 1}") for n in range(64) for i in range(10)]
+    rounds, double = [], graph._double
+    monkeypatch.setattr(graph, "_double", lambda *a: rounds.append(1) or double(*a))
+    got = canonicalise(spark.createDataFrame(edges, "src string, dst string")).where("id LIKE '7-%'")
+    assert {r.id: (r.canonical_id, r.hops, r.loop) for r in got.collect()} == {f"7-{i}": (f"7-{i if i < 4 else 3}", 4 + max(0, i - 3), True) for i in range(10)}
+    assert len(rounds) <= 8
