@@ -312,3 +312,37 @@ def test_extraction_is_compiled_and_read_once(spark, capsys):
     reports = quality.stage_reports(made, [1, 3])
     assert sorted(map(tuple, reports.collect())) == sorted((*quality.stage_report(made, n).first(), n) for n in (1, 3))
     assert reports._jdf.queryExecution().optimizedPlan().toString().count("Range (") == 1
+
+
+def test_links_of_all_rules_are_found_for_points_and_merged_where_the_row_is(spark):
+    """As the union of all rules by row, with copies, ids of several rows, null ids and null fields; without repeated ids nothing is grouped by row and match."""
+    import datetime
+    import random
+
+    r = random.Random(4)
+    names = "tx_id string, date date, amount decimal(18,2), sign int, merchant string, bank string, source string, status string, description string, type string"
+
+    def rows(ids):
+        out = []
+        for i in ids:
+            day = None if r.random() < 0.05 else datetime.date(2024, 1, 1) + datetime.timedelta(r.randrange(3))
+            out.append((i, day, r.choice([None, Decimal(1), Decimal(1), Decimal("1.01"), Decimal(3)]), r.choice([1, -1, -1, None]), r.choice(["shop a", "shop a", "shop b", None]), r.choice(["bofa", "stripe", "wise", "apple-card", None]),
+                        r.choice(["x", "y", None]), r.choice(["pending", "posted"]), r.choice(["d", None]), r.choice(["expense", "transfer"])))
+        return spark.createDataFrame(out, names)
+
+    rules = [dict(x, enabled=True) for x in duplicates.load_duplicate_rules()]
+    enabled = duplicates.load_duplicate_rules()
+    single = [f"t{i:03}" for i in range(150)]
+    several = [*single[:80], *single[:30], *[None] * 20]
+    for ids, some, kw in ((single, enabled, {}), (several, [x for x in rules if not x.get("opposite_sign")], {"share": 0.001, "floor": 2}), (several, enabled[7:11], {})):
+        df = rows(ids).cache()
+        union = None
+        for rule in (x for x in some if x["enabled"]):
+            one = duplicates.rule_links(df, rule)
+            union = one if union is None else union.unionByName(one)
+        best = union.groupBy("tx_id", "match_id").agg(F.max(F.struct("priority", "rule_id", "confidence", "matches")).alias("b"), F.count(F.lit(1)).alias("rules_hit"))
+        want = best.select("tx_id", "match_id", "b.rule_id", "b.priority", "b.confidence", "b.matches", "rules_hit")
+        found = duplicates.duplicate_links(df, some, **kw)
+        assert found.columns == want.columns and sorted(map(tuple, found.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+        if ids is single and some is enabled:
+            assert found.count() > 300 and "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString()
