@@ -175,3 +175,25 @@ def test_texts_visit_only_shards_of_names_that_may_be_in_them(spark):
     texts = spark.createDataFrame([("xxabcyy",), ("q" * 50,), ("\u00e9\u00e9bc",)], "text string")
     got = contained._visits(texts, {"abc": 1, "b": 2, "zz": 3, "\u00e9b": 2}).collect()
     assert sorted((r.text, r.shard) for r in got) == sorted([("xxabcyy", 1), ("xxabcyy", 2), ("\u00e9\u00e9bc", 2)])
+
+
+def test_names_that_begin_alike_are_cut_behind_their_beginning(spark, monkeypatch):
+    """A text need not visit each cut of a hot beginning: groups of names fit the limit, but for names that nothing but their ends tells apart."""
+    from tallyloom.operators import contained
+
+    names = {str(i): f"k{i}" for i in range(3000)} | {"shop " + str(i): f"s{i}" for i in range(500)} | {"x" * 300: "long", "aéb": "e", "aéc": "e"}
+    seen, kept = [], contained._visits
+    monkeypatch.setattr(contained, "_visits", lambda texts, heads: seen.append(heads) or kept(texts, heads))
+    texts = {"ref 10012345 shop 49", "shop 4999", "7", "xx", "x" * 301, "aé", "baébc 29999", "29"}
+    frame, held = spark.createDataFrame([(t,) for t in texts], "text string"), spark.createDataFrame(list(names.items()), "name string, owner string")
+    got = {r.text: (r.name, r.owner) for r in contained.longest_contained(frame, held, limit=60, per_task=2).collect()}
+    assert got == brute_inside(texts, names)
+    heads = list(seen[0])
+    assert all(sum(len(n) for n in names if n.startswith(h)) <= 60 or h[0] == "x" for h in heads)
+    assert not any(a != b and a.startswith(b) for a in heads for b in heads)
+    every = contained.all_contained(frame, held, limit=60, per_task=2).collect()
+    assert sorted((r.text, r.name, r.owner) for r in every) == sorted((t, n, o) for t in texts for n, o in names.items() if n in t)
+    # Beginnings that stay alike however often they are cut.
+    monkeypatch.setattr(contained, "ROUNDS", 2)
+    got = {r.text: (r.name, r.owner) for r in contained.longest_contained(frame, held, limit=60, per_task=2).collect()}
+    assert got == brute_inside(texts, names)
