@@ -166,3 +166,32 @@ def test_a_filter_on_the_confidence_runs_no_rule_again(spark):
     kept = classify_batch(rows, rules, min_confidence="high")
     assert [(r.description, r.rule_id) for r in kept.collect()] == [("SHOP 1", "one")]
     assert kept._jdf.queryExecution().optimizedPlan().toString().count("SHOP [1]") == 2
+
+
+@pytest.mark.parametrize("pattern, tail", [(r"SHOP .* REF\. 1\d*07", "07"), (r"A(BC)", ""), (r"AB|CB", ""), (r"AB+", ""), (r"REF\. 10", "REF. 10"), (r"ABC$", ""), (r"X (A|B) Y", " Y")])
+def test_last_literals(pattern, tail):
+    from tallyloom.operators.rule_index import last_literal
+
+    assert last_literal(pattern) == tail
+
+
+def test_more_rules_than_the_driver_holds(spark, monkeypatch):
+    """A list over the bound, and a table with repeated places and null patterns, give what compiled rules give."""
+    from tallyloom.operators import rule_index
+    from tallyloom.operators.classify import RULE_SCHEMA
+
+    monkeypatch.setattr(rule_index, "MOST_RULES", 60)
+    r = random.Random(6)
+    words = ["UBER", "STARBUCKS", "PAYROLL", "RENT", "CAFÉ", "SHOP"]
+    rules = [Rule(f"s{i}", rf"SHOP {r.choice(words)} REF\. 1\d*{i % 10}{r.choice(['', '7'])}", True, f"m{i}", "c", None, 0.9, i % 5) for i in range(150)]
+    rules += [Rule(f"p{i}", f"{r.choice(words).lower()} {i % 9}", False, None, "d", "income", None, i % 4) for i in range(40)] + [Rule("digit", r".*\d", True, "end", priority=-1), Rule("flag", "(?i)rent.*", True, "flag", priority=1), Rule("any", "[A-Z]+ .*", True, None, None, None, 0.2, -5)]
+    text = lambda: r.choice([None, "", f"shop {r.choice(words)} ref. 1{r.randrange(1000)}", f"{r.choice(words)} {r.randrange(12)}", "zz"])
+    df = spark.createDataFrame([(i, text(), text(), "expense", "old") for i in range(400)], "tx_id long, description string, merchant string, type string, category_id string")
+    for by_priority in (True, False):
+        want = classify(df, rules, by_priority)
+        assert results(classify_indexed(df, rules, by_priority, limit=40, per_task=20).select(want.columns)) == results(want)
+    each = [(7, x.id, x.pattern, x.is_regex, x.merchant, x.category, x.type, x.confidence, 1) for x in (Rule("a", r"SHOP UBER.*", True), Rule("b", r"RENT 1", False), Rule("c", None, True))]
+    table = spark.createDataFrame([*each, *each], f"place long, {RULE_SCHEMA}")
+    want = classify(df, [Rule("a", r"SHOP UBER.*", True), Rule("b", r"RENT 1", False)])
+    got = classify_indexed(df, table).select(want.columns)
+    assert got.count() == 400 and got.where("rule_id IS NOT NULL").count() == want.where("rule_id IS NOT NULL").count() > 0
