@@ -346,3 +346,29 @@ def test_links_of_all_rules_are_found_for_points_and_merged_where_the_row_is(spa
         assert found.columns == want.columns and sorted(map(tuple, found.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
         if ids is single and some is enabled:
             assert found.count() > 300 and "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("spots", [50_000, 40])
+def test_best_partners_are_found_in_tiles_without_a_join(spark, monkeypatch, spots):
+    """Runs of spots of one source, spots of several, borders of tiles and days below zero; ties go to the smaller id."""
+    import datetime
+    import random
+
+    r = random.Random(8)
+    start, rows = datetime.date(1970, 1, 1) - datetime.timedelta(9), []
+    for i in range(400):
+        # Most of a stretch of cents has one source.
+        day, c = r.randrange(20), r.choice([-1049, -1000, 0, 950, 1900]) + r.randrange(110)
+        rows.append((f"t{r.randrange(10**6):06}-{i}", start + datetime.timedelta(day), Decimal(c) / 100, "abc"[c // 40 % 3] if r.random() < 0.8 else r.choice("abcd")))
+    df = spark.createDataFrame(rows, "tx_id string, date date, amount decimal(18,2), source string")
+    plans, kept = {}, duplicates.materialise
+    monkeypatch.setattr(duplicates, "SPOTS", spots)
+    monkeypatch.setattr(duplicates, "materialise", lambda frame, label: plans.update({label: frame._jdf.queryExecution().optimizedPlan().toString()}) or kept(frame, label))
+    got = {x.tx_id: (x.matches, x.best_partner, round(x.best_score, 9)) for x in duplicates.near_duplicates(df).collect()}
+    want = {}
+    for a in rows:
+        hits = [(-round(1 - 0.15 * abs((a[1] - b[1]).days) - 0.014 * int(abs(a[2] - b[2]) * 100), 9), b[0]) for b in rows if a[3] != b[3] and abs((a[1] - b[1]).days) < 2 and abs(a[2] - b[2]) < Decimal("0.5")]
+        if hits:
+            want[a[0]] = (len(hits), min(hits)[1], -min(hits)[0])
+    assert got == want and len(want) > 300
+    assert "Join" not in plans["links"] and "Join" not in plans["points"]
