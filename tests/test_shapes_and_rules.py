@@ -195,3 +195,19 @@ def test_more_rules_than_the_driver_holds(spark, monkeypatch):
     want = classify(df, [Rule("a", r"SHOP UBER.*", True), Rule("b", r"RENT 1", False)])
     got = classify_indexed(df, table).select(want.columns)
     assert got.count() == 400 and got.where("rule_id IS NOT NULL").count() == want.where("rule_id IS NOT NULL").count() > 0
+
+
+def test_a_split_runs_checks_once_and_not_in_its_filters(spark):
+    from tallyloom.operators import quality
+    from tallyloom.operators.shapes import Shape, conform, record, text
+
+    rows = spark.range(6).select(F.sha2(F.col("id").cast("string"), 256).alias("id"), F.col("id").alias("n"), F.lit(1).alias("a.b"))
+    checked = conform(rows, record(id=text(pattern="[0-5].*"), n=Shape("whole", low=1)), ignore=("a.b",))
+    good, bad = quality.split_valid(checked)
+    assert good.columns == checked.columns
+    want = {r.n: not r.problems for r in checked.collect()}
+    assert {r.n for r in good.collect()} == {n for n, ok in want.items() if ok} and {r.n for r in bad.collect()} == {n for n, ok in want.items() if not ok}
+    assert 0 < good.count() < 6 and good.count() + bad.count() == 6
+    for side in (good, bad):
+        plan = side.select("n")._jdf.queryExecution().optimizedPlan().toString()
+        assert not any("sha2" in line for line in plan.splitlines() if "Filter" in line)
