@@ -348,6 +348,18 @@ def test_links_of_all_rules_are_found_for_points_and_merged_where_the_row_is(spa
             assert found.count() > 100 and "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_near_duplicates_without_ids(spark):
+    """Points without an id are counted; a spot whose lead has none gives its source the next id, others go on to spots around."""
+    import datetime
+
+    day = datetime.date(2024, 1, 1)
+    rows = [(None, day, 5, "a"), ("b1", day, 5, "b"), ("c1", day, 5, "c"), ("a2", day, 8, "a"), (None, day, 60, "a"), ("d1", day, 59, "d"), (None, day, 300, "a"), (None, day, 301, "b")]
+    df = spark.createDataFrame([(i, d, Decimal(c) / 100, s) for i, d, c, s in rows], "tx_id string, date date, amount decimal(18,2), source string")
+    got = {(r.source, int(r.amount * 100)): (r.matches, r.best_partner, r.best_score and round(r.best_score, 3)) for r in duplicates.near_duplicates(df).collect()}
+    assert got == {("a", 5): (2, "b1", 1.0), ("b", 5): (3, "a2", 0.958), ("c", 5): (3, "a2", 0.958), ("a", 8): (2, "b1", 0.958), ("a", 60): (1, "d1", 0.986), ("d", 59): (1, None, None),
+                   ("a", 300): (1, None, None), ("b", 301): (1, None, None)}
+
+
 @pytest.mark.parametrize("spots", [50_000, 40])
 def test_best_partners_are_found_in_tiles_without_a_join(spark, monkeypatch, spots):
     """Runs of spots of one source, spots of several, borders of tiles and days below zero; ties go to the smaller id."""
